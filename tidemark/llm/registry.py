@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.byte_bpe import op9_byte_bpe
 from tidemark.llm.flac import op2_flac_media
 from tidemark.llm.mixing import op5_mixing
+from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
+    "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op9_byte_bpe": op9_byte_bpe,
