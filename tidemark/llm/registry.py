@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
 from tidemark.llm.flac import op2_flac_media
+from tidemark.llm.language import op7_language
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.token_counts import op4_token_counts
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
+    "op7_language": op7_language,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
