@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
+from tidemark.llm.fingerprints import op10_fingerprints
 from tidemark.llm.flac import op2_flac_media
 from tidemark.llm.language import op7_language
 from tidemark.llm.mixing import op5_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op7_language": op7_language,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE: dict[str, str] = {}
