@@ -13,6 +13,7 @@ from tidemark.llm.language import op7_language
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.personal_data import op8_personal_data
 from tidemark.llm.simhash import op3_simhash
+from tidemark.llm.substring import op6_substring_dedup
 from tidemark.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language": op7_language,
     "op8_personal_data": op8_personal_data,
     "op9_byte_bpe": op9_byte_bpe,
