@@ -163,6 +163,33 @@ def bpe_decode(encoded: DataFrame, path: str, rank_path: str, id_col: str = "doc
     return arrow_map(encoded.select(id_col, ids_col), decode, f"doc_id {kind}, ids binary, decoded binary")
 
 
+def bpe_pairs(docs: DataFrame, path: str, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode each text in one pass: doc_id, n_tokens, ids (packed), ids_sha256 and
+    decoded_sha256, and whether the decoded bytes are the text's."""
+    shared, paths = _shared(docs.sparkSession, path, rank_path), (path, rank_path)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = bpe_for(paths, *shared.value)
+        for batch in batches:
+            texts = batch.column(1).fill_null("").to_pylist()
+            encoded = bpe.encode(texts)
+            decoded = [bpe.decode(x) for x in encoded]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in encoded], pa.int64()),
+                    pa.array(encoded, pa.binary()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    pa.array([x == t.encode() for x, t in zip(decoded, texts, strict=True)], pa.bool_()),
+                ],
+                ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "decodes"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return arrow_map(docs.select(id_col, text_col), both, f"doc_id {kind}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string, decodes boolean")
+
+
 def bpe_digests(docs: DataFrame, path: str, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text in one pass: doc_id, n_tokens, ids_sha256 and
     decoded_sha256, for stores that keep the texts elsewhere."""

@@ -229,12 +229,15 @@ def _has_letter(piece: Piece) -> np.ndarray:
     return has
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (the share of letters in spans of that language); with spans
-    also an array of (lang, first word, words) that covers the words of the text."""
+    also an array of (lang, first word, words) that covers the words of the text.  Columns
+    of docs named in keep come along as keep_<name>."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:int,words:int>>" * spans
+    schema += "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names_out = ["doc_id", "lang_pred", "score", *["spans"] * spans, *(f"keep_{c}" for c in keep)]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +265,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 columns = [batch.column(0).slice(piece.first, piece.rows), pa.array(names[chosen], pa.string()), pa.array(score)]
                 if spans:
                     columns.append(pa.array(found, span_type))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans"][: len(columns)])
+                columns += [batch.column(2 + i).slice(piece.first, piece.rows) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names_out)
 
-    return arrow_map(docs.select(id_col, text_col), label, schema)
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col), *(F.col(c).alias(f"keep_{c}") for c in keep)), label, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -5,7 +5,7 @@ belongs to), a min-cost flow on the driver routes the patterns' words to the
 sources' quotas (a second use of a word costs more than the first), and seeded
 documents are taken until each pattern has given its words.  Only the sums by
 pattern and by source reach the driver, and their number is checked; documents are
-chosen by joins and windows over one of 65,536 slices of a pattern.
+chosen by joins and windows over one of 4,096 slices of a pattern.
 
 Edge cases: a null text or one without words has size 0 and nothing is taken of
 it; a null source is a source of its own, last in order; documents with equal
@@ -26,7 +26,7 @@ from tidemark.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Patterns and sources that the driver takes at most; each has one row there.
 MAX_PATTERNS, MAX_SOURCES = 20_000, 20_000
-SLICE_BITS = 16
+SLICE_BITS = 12
 
 
 def word_count(text: Column) -> Column:

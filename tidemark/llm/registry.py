@@ -10,6 +10,7 @@ from tidemark.llm.byte_bpe import op9_byte_bpe
 from tidemark.llm.fingerprints import op10_fingerprints
 from tidemark.llm.flac import op2_flac_media
 from tidemark.llm.language import op7_language
+from tidemark.llm.lines import op1_line_dedup
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.personal_data import op8_personal_data
 from tidemark.llm.simhash import op3_simhash
@@ -17,6 +18,7 @@ from tidemark.llm.substring import op6_substring_dedup
 from tidemark.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_flac_media": op2_flac_media,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
