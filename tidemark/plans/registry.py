@@ -1,10 +1,8 @@
-"""Named queries over the test tables, and the DuckDB SQL that each must agree with."""
+"""All named queries over the test tables, and the DuckDB SQL that each must agree with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import articles, features, indicators, retrieval, smart_money, streams, tables, trends, usage  # noqa: F401
+from tidemark.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
