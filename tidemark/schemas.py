@@ -1,10 +1,8 @@
-"""The relations of the engine, as Spark schemas: one source of truth for readers and writers."""
+"""The relations of the engine, as schema strings that readers and writers take."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+SCHEMAS: dict[str, str] = {
     "articles": "id string, headline string, summary string, content_hash string, source_name string, source_type string, url string, published_at timestamp, fetched_at timestamp, event_type string, sentiment_score double, urgency string, suggested_direction string, affected_sectors array<string>, affected_tickers array<string>, classification_summary string, importance_score double, embedding array<float>, raw_data map<string,string>, ipo_scanned_at timestamp, event_scanned_at timestamp, embed_attempts int, duplicate_of string, dedup_checked boolean, countries array<string>",
     "ticker_mentions": "ticker string, article_id string, sentiment_score double, urgency string, mentioned_at timestamp",
     "user_config": "key string, value string, updated_at timestamp",
@@ -31,8 +29,6 @@ _DDL = {
     "kr_investor_flows": "ticker string, trade_date date, inst_net double, foreign_net double, retail_net double, pension_net double, financial_inv_net double, trust_net double, total_value double, flow_unit string, source string",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 #: What makes a row of a relation the same row; writers upsert or skip by it.
 KEYS: dict[str, tuple[str, ...]] = {
     "articles": ("id",), "ticker_mentions": ("ticker", "article_id"), "user_config": ("key",), "sent_alerts": ("article_id", "alert_type"), "price_alerts": ("ticker", "alert_date"),

@@ -6,8 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def build(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; conf overrides single settings (dots as underscores aren't
-    translated: pass a dict with ** for dotted names)."""
+    """A session in UTC with adaptive execution; conf gives or overrides single settings."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
