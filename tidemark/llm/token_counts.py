@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import arrow_map
 
 #: Entries of each of the two tables of counts that a Python worker keeps.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Vocabulary files over this size are not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -92,6 +92,7 @@ class TokenCounter:
     ends, whose pre-tokens never hold white space."""
 
     def __init__(self, vocabulary: bytes, entries: int = CACHE_ENTRIES):
+        self.vocabulary, self.library = vocabulary, None
         spec = json.loads(vocabulary)
         model = spec["model"]
         ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
@@ -117,10 +118,21 @@ class TokenCounter:
     def _count_chunk(self, chunk: str) -> int:
         """chunk: text without special strings, taken apart at white space or whole."""
         if not chunk.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in chunk):
+                return self._library_count(chunk)
             # each character is lowered by itself: no final sigma
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         return sum(map(self.by_word.__getitem__, self.words.findall(chunk.lower())))
 
+    def _library_count(self, chunk: str) -> int:
+        """For characters that are newer than Python's Unicode tables: which of them are
+        letters, the library knows by tables of its own version."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.vocabulary.decode())
+        return len(self.library.encode(chunk, add_special_tokens=False).ids)
+
     def count(self, text: str) -> int:
         n = 0
         parts = [text]
