@@ -26,9 +26,9 @@ from tidemark.llm.common import arrow_map
 from tidemark.llm.token_counts import byte_characters, read_vocabulary
 
 #: Entries of the table of encoded pieces that a Python worker keeps, and the longest piece kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 #: Texts are encoded this many characters at a time.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 
 
 class ByteBpe:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -47,11 +48,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing reads any more: it does so when the
+    driver's garbage is collected, which may be long after lineage was cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table below spark.checkpoint.dir and read it back: the
     lineage ends there, so a lost executor costs a re-read, not a re-run.  The
     files go when the application ends."""
     spark = df.sparkSession
+    release(spark)
     path = f"{checkpoint_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

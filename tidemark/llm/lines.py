@@ -4,10 +4,11 @@ A line is the set of its words; lines with equal sets are one class.  Words are
 ordered by rarity (counts over the whole corpus in a table of fixed size, then by
 hash), and two sets with a Jaccard similarity of at least `NUM / DEN` share a word of
 their prefixes.  Under each prefix word the classes meet; length, position and
-parity-bitmap bounds drop pairs that can't be similar, and the members of the
-pairs that are left are compared exactly, each pair under its first common word
-only.  Pairs are counted in the tasks, never written.  A word with very many
-classes is dealt in block pairs, so no task holds more than two blocks.
+parity-bitmap bounds drop pairs that can't be similar.  What is left of a word's
+classes is written as a spanning forest, not as pairs; connected classes form a
+group, whose lines are fetched once and compared exactly.  Similar pairs are
+counted in the tasks, never written.  Words and groups with very many classes are
+dealt in block pairs, so no task holds more than two blocks.
 
 A line is removed if an earlier line, by (doc_id, line number), has an equal or a
 similar set; both are judged on the input.
@@ -28,14 +29,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, boundaries, cut, runs
+from tidemark.llm.components import components
 from tidemark.llm.kernels import Piece, mix64, pieces
+from tidemark.llm.simhash import forest
 
 NUM, DEN = 4, 5
 #: Cells of the table of word counts; more words than cells share them.
 CELL_BITS = 20
-#: Classes under one word that are compared in one task at most.
-LIMIT = 4096
+#: Classes under one word whose bounds are looked at in one task at most, and classes of a
+#: group that are compared exactly.
+LIMIT, GROUP_LIMIT = 4096, 1024
 NO_ID = -(1 << 63)
+#: Counts end here: more often is as often, for the order.
+_MOST = (1 << 21) - 1
+_BLOCK_CELLS = 1 << 14
+#: Sizes and places are packed into 16 bits; lines of so many words or more aren't bounded.
+_LONGEST = (1 << 16) - 1
 
 
 def _cells(words: np.ndarray) -> np.ndarray:
@@ -43,26 +52,41 @@ def _cells(words: np.ndarray) -> np.ndarray:
 
 
 def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often the words of each cell occur: the same small table whatever the corpus."""
+    """How often the words of each cell occur: the same small table whatever the corpus.
+
+    Tasks give blocks of counts, which are added block by block.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        total = np.zeros(1 << CELL_BITS, dtype="<i8")
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 if len(piece.starts):
                     total += np.bincount(_cells(piece.word_hashes()), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+        blocks = np.minimum(total, _MOST).astype("<i4").reshape(-1, _BLOCK_CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # the blocks are of a fixed number
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums.setdefault(block, np.zeros(_BLOCK_CELLS, dtype=np.int64))
+                sums[block] += np.frombuffer(counts, dtype="<i4")
+        rows = [np.minimum(x, _MOST).astype("<i4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
 
-    found = arrow_map(docs.select(text_col), count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return np.minimum(table, (1 << 21) - 1).astype(np.int32)
+    schema = "block int, counts binary"
+    found = arrow_map(arrow_map(docs.select(text_col), count, schema).repartition("block"), add, schema).collect()  # 1 << CELL_BITS counts in all
+    table = np.zeros((1 << CELL_BITS) // _BLOCK_CELLS * _BLOCK_CELLS, dtype=np.int32).reshape(-1, _BLOCK_CELLS)
+    for r in found:
+        table[r.block] = np.frombuffer(r.counts, dtype="<i4")
+    return table.reshape(-1)
 
 
-def line_sets(piece: Piece, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
+def line_sets(piece: Piece, rarity: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Distinct words of the lines of a piece that have words: the words of all lines by
-    (rarity, hash), where each line's begin (and the end), its row, its number in the row."""
+    (rarity, hash), where each line's begin (and the end), its row, its number in the row.
+    Without rarity all words count as equally rare."""
     words = piece.word_hashes()
     row = piece.word_rows()
     breaks = np.flatnonzero(piece.data == 10)
@@ -70,7 +94,7 @@ def line_sets(piece: Piece, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
     number = before - np.searchsorted(breaks, piece.row_bytes[:-1])[row]
     begin = boundaries([row, number])
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
-    rare = rarity[_cells(words)]
+    rare = np.zeros(len(words), dtype=np.int64) if rarity is None else rarity[_cells(words)]
     key = line.astype(np.uint64) << np.uint64(42) | rare.astype(np.uint64) << np.uint64(21) | (words >> np.uint64(23)) & np.uint64((1 << 21) - 1)
     order = np.argsort(key)
     sorted_words, sorted_key = words[order], key[order]
@@ -94,7 +118,9 @@ def least_overlap(total: np.ndarray) -> np.ndarray:
 
 
 def line_classes(keyed: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """did, th, line, c1, c2 (which tell classes apart), n, prefix and bits of each line with words."""
+    """did, th, line, c1, c2 (which tell classes apart), prefix and two words of parity bits of
+    each line with words.  A prefix word is packed into a long: 32 bits of its hash, the
+    line's size and its place in the line's order, both up to _LONGEST."""
     shared = keyed.sparkSession.sparkContext.broadcast(rarity)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +131,19 @@ def line_classes(keyed: DataFrame, rarity: np.ndarray) -> DataFrame:
                 words, starts, row, number = line_sets(piece, shared.value)
                 n = np.diff(starts)
                 c1, c2 = _set_hashes(words, starts[:-1], n)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), starts[:-1])
-                size = prefix_length(n)
+                bit, half = np.uint64(1) << (words & np.uint64(63)), words & np.uint64(64) > 0
+                bits = [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), starts[:-1]).view(np.int64) for k in (False, True)]
+                size = np.where(n > 1, prefix_length(n), 0)  # a single word has no similar set but its own
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(starts[:-1], size)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words[at].view(np.int64)))
+                place = at - np.repeat(starts[:-1], size)
+                packed = (words[at] >> np.uint64(32) << np.uint64(32)).view(np.int64) | np.minimum(np.repeat(n, size), _LONGEST) << 16 | np.minimum(place, _LONGEST)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed))
                 of = pa.array(row + piece.first)
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number.astype(np.int32)), pa.array(c1), pa.array(c2), pa.array(n.astype(np.int32)), prefix, pa.array(bits.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["did", "th", "line", "c1", "c2", "n", "prefix", "bits"])
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number.astype(np.int32)), pa.array(c1), pa.array(c2), prefix, *map(pa.array, bits)]
+                yield pa.RecordBatch.from_arrays(columns, ["did", "th", "line", "c1", "c2", "prefix", "bits1", "bits2"])
 
-    return arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, line int, c1 bigint, c2 bigint, n int, prefix array<bigint>, bits bigint")
+    return arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, line int, c1 bigint, c2 bigint, prefix array<bigint>, bits1 bigint, bits2 bigint")
 
 
 def _set_hashes(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +151,7 @@ def _set_hashes(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[n
     return c1.view(np.int64), mix64(np.add.reduceat(mix64(words), starts)).view(np.int64)
 
 
-def _possible_pairs(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _possible_pairs(n: np.ndarray, pos: np.ndarray, bits: list[np.ndarray], ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of one run, sizes ascending, that the bounds leave."""
     at = np.arange(len(n))
     step = 1
@@ -133,35 +162,43 @@ def _possible_pairs(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, ends: np.n
             return
         other = at + step
         need = least_overlap(n[at] + n[other])
-        near = 1 + np.minimum(n[at] - pos[at], n[other] - pos[other]) - 1 >= need
-        near &= (n[at] + n[other] - np.bitwise_count(bits[at] ^ bits[other]).astype(np.int64)) // 2 >= need
+        near = np.minimum(n[at] - pos[at], n[other] - pos[other]) >= need
+        # each word of one set alone flips one of the 128 parities
+        apart = sum(np.bitwise_count(b[at] ^ b[other]).astype(np.int64) for b in bits)
+        near &= (n[at] + n[other] - apart) // 2 >= need
+        near |= n[other] == _LONGEST
         yield at[near], other[near]
         step += 1
 
 
-def _candidates(keys: list[str], limit: int):
-    """Members of pairs that may be similar, from rows sorted by keys and n."""
+def _meet(keys: list[str], limit: int):
+    """Edges (a, b) that connect the classes of each word that may be similar, from rows
+    sorted by keys and size; of a word over the limit, itself (token) instead."""
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "b1", "b2", "c1", "over"]
-        for table, over in runs(batches, keys, limit):
+    def with_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("token", pa.array(batch.column("packed").to_numpy() >> 32))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, over in runs(with_token(batches), keys, limit):
             if over:
-                chosen = np.arange(table.num_rows)
-            else:
-                key_columns = [table.column(k).to_numpy() for k in keys]
-                starts = boundaries(key_columns)
-                ends = np.repeat(np.append(starts[1:], table.num_rows), np.diff(np.append(starts, table.num_rows)))
-                n, pos = table.column("n").to_numpy().astype(np.int64), table.column("pos").to_numpy().astype(np.int64)
-                hit = np.zeros(table.num_rows, dtype=bool)
-                for i, j in _possible_pairs(n, pos, table.column("bits").to_numpy().view(np.uint64), ends):
-                    hit[i] = hit[j] = True
-                chosen = np.flatnonzero(hit)
-            some = table.take(pa.array(chosen)).combine_chunks()
-            blocks = [some.column(k).combine_chunks() if k in keys else pa.array(np.zeros(len(chosen), np.int32)) for k in ("b1", "b2")]
-            columns = [some.column("token").combine_chunks(), *blocks, some.column("c1").combine_chunks(), pa.array(np.full(len(chosen), over))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return pick
+                token = table.column("token").to_numpy()[:1]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(token)], ["a", "b", "token"])
+                continue
+            starts = boundaries([table.column(k).to_numpy() for k in keys])
+            ends = np.repeat(np.append(starts[1:], table.num_rows), np.diff(np.append(starts, table.num_rows)))
+            packed = table.column("packed").to_numpy()
+            n, pos = packed >> 16 & _LONGEST, packed & _LONGEST
+            root = np.arange(table.num_rows)
+            for i, j in _possible_pairs(n, pos, [table.column(b).to_numpy().view(np.uint64) for b in ("bits1", "bits2")], ends):
+                new = root[i] != root[j]
+                if new.any():
+                    root = forest(len(root), np.concatenate([np.arange(len(root)), i[new]]), np.concatenate([root, j[new]]))
+            child = np.flatnonzero(root != np.arange(len(root)))
+            c1 = table.column("c1").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c1[child]), pa.array(c1[root[child]]), pa.nulls(len(child), pa.int64())], ["a", "b", "token"])
+
+    return meet
 
 
 def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
@@ -183,23 +220,22 @@ def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c1, c2, links and earlier of classes: how many similar ones they have, each pair under
-    its first common word, and whether one of them occurs before."""
-    for table, _ in runs(batches, ["token", "b1", "b2"], 1 << 62):  # two blocks at most
-        token, b1, b2 = (table.column(k).to_numpy() for k in ("token", "b1", "b2"))
+    """c1, c2, links and earlier of classes: how many similar ones they have in their group,
+    and whether one of them occurs before."""
+    keys = ["group", "b1", "b2"]
+    for table, _ in runs(batches, keys, 1 << 62):  # two blocks at most
+        group, b1, b2 = (table.column(k).to_numpy() for k in keys)
         c1, c2, block, did, line = (table.column(k).to_numpy() for k in ("c1", "c2", "block", "did", "line"))
         column = table.column("words").combine_chunks()
         values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
         links, earlier = np.zeros(len(c1), dtype=np.int64), np.zeros(len(c1), dtype=bool)
-        starts = boundaries([token, b1, b2])
+        starts = boundaries([group, b1, b2])
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c1)], strict=True):
             if b - a < 2:
                 continue
             words = [values[offsets[i] : offsets[i + 1]] for i in range(a, b)]
-            n = np.array([len(w) for w in words])
+            n = np.array([len(w) for w in words], dtype=np.float32)
             similar = _overlaps(words) * (NUM + DEN) >= NUM * (n[:, None] + n[None, :])
-            # words in front of the one they meet under: with one in common, they meet there
-            similar &= _overlaps([w[: int(np.flatnonzero(w == token[a])[0])] for w in words]) == 0
             if b1[a] != b2[a]:
                 similar &= block[a:b, None] != block[None, a:b]
             np.fill_diagonal(similar, False)
@@ -211,63 +247,70 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c1[some]), pa.array(c2[some]), pa.array(links[some]), pa.array(earlier[some])], ["c1", "c2", "links", "earlier"])
 
 
-def _block_of(blocks: Column) -> Column:
-    return F.pmod(F.xxhash64("c1"), blocks).cast("int")
+def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for each pair of blocks that its own is in: b1, b2, block."""
+    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c1"), "blocks").cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).drop("blocks", "other")
 
 
-def similar_classes(keyed: DataFrame, classes: DataFrame, rarity: np.ndarray, limit: int = LIMIT) -> DataFrame:
-    """c1, c2, links, earlier of the classes that have a similar one."""
-    shared = keyed.sparkSession.sparkContext.broadcast(rarity)
-    postings = classes.where("n > 1").select(F.posexplode("prefix").alias("pos", "token"), "c1", "n", "bits").select("token", "c1", "n", "pos", "bits")
-    met = postings.repartition("token").sortWithinPartitions("token", "n", "c1")
-    members = cut(arrow_map(met, _candidates(["token"], limit), "token bigint, b1 int, b2 int, c1 bigint, over boolean"))
-    large = members.where("over").groupBy("token").agg(F.ceil(F.count("*") / (limit // 2)).cast("int").alias("blocks"))
-    chosen = members.where("not over").select("token", "b1", "b2", "c1", F.lit(0).alias("block"))
+def candidate_groups(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """c1 and group of the classes that may be similar to another: no similar pair is split."""
+    schema = "a bigint, b bigint, token bigint"
+    postings = classes.select(F.explode("prefix").alias("packed"), "c1", "bits1", "bits2")
+    token = F.shiftright("packed", 32)
+    met = postings.repartition(token).sortWithinPartitions("packed", "c1")
+    found = cut(arrow_map(met, _meet(["token"], limit), schema))
+    edges = found.where("token is null").select("a", "b")
+    large = found.where("token is not null").select("token").distinct()
     if large.limit(1).count():
-        dealt = (
-            postings.join(large, "token")
-            .withColumn("block", _block_of(F.col("blocks")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "c1", "n", "pos", "bits", "block")
-        )
-        keys = ["token", "b1", "b2"]
-        more = arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "c1"), _candidates(keys, 1 << 62), "token bigint, b1 int, b2 int, c1 bigint, over boolean")
-        chosen = chosen.unionByName(more.join(large, "token").select("token", "b1", "b2", "c1", _block_of(F.col("blocks")).alias("block")))
+        known = postings.withColumn("of", token).join(large.withColumnRenamed("token", "of"), "of")
+        sizes = cut(known.groupBy("of").agg(F.count("*").alias("often")))
+        dealt = _in_block_pairs(known.join(sizes, "of"), F.ceil(F.col("often") * 2 / limit).cast("int"))
+        placed = dealt.repartition("of", "b1", "b2").sortWithinPartitions("of", "b1", "b2", "packed", "c1")
+        more = arrow_map(placed.select("packed", "c1", "bits1", "bits2", "b1", "b2"), _meet(["token", "b1", "b2"], 1 << 62), schema)
+        edges = edges.unionByName(more.select("a", "b"))
+    tied = components(edges)
+    return tied.select(F.col("node").alias("c1"), F.col("root").alias("group")).unionByName(tied.select(F.col("root").alias("c1"), F.col("root").alias("group")).distinct())
+
+
+def similar_classes(keyed: DataFrame, classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """c1, c2, links, earlier of the classes that have a similar one."""
+    members = cut(candidate_groups(classes, limit))
+    sizes = members.groupBy("group").agg(F.count("*").alias("often"))
+    dealt = _in_block_pairs(members.join(sizes, "group"), F.ceil(F.col("often") * 2 / min(limit, GROUP_LIMIT)).cast("int")).drop("often")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of the lines that candidates stand for, once for each word they meet under."""
+        """Words of the lines that candidates stand for."""
+        names = ["group", "b1", "b2", "block", "c1", "c2", "line"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
-            wanted = batch.column(2)
-            rows = np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False))
-            if not len(rows):
-                continue
-            lists = wanted.take(pa.array(rows)).to_pylist()
-            dids = batch.column(0).take(pa.array(rows)).to_pylist()
-            for piece in pieces(batch.column(1).take(pa.array(rows))):
-                words, starts, row, number = line_sets(piece, shared.value)
-                place = {(r, k): i for i, (r, k) in enumerate(zip(row.tolist(), number.tolist(), strict=True))}
-                own = [(x, dids[piece.first + r], place[r, x["line"]]) for r in range(piece.rows) for x in lists[piece.first + r]]
-                columns = [[x[k] for x, _, _ in own] for k in ("token", "b1", "b2", "block", "c1", "c2", "line")]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-                lists_of = pa.array([words[starts[i] : starts[i + 1]].view(np.int64) for _, _, i in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array([d for _, d, _ in own], pa.int64()), lists_of],
-                    ["token", "b1", "b2", "block", "c1", "c2", "line", "did", "words"],
-                )
-
-    by_doc = chosen.join(classes.select("c1", "c2", "at.*"), "c1").groupBy("did", "th").agg(F.collect_list(F.struct("token", "b1", "b2", "block", "c1", "c2", "line")).alias("wanted"))
-    fetched = arrow_map(keyed.select("did", "th", "text").join(by_doc, ["did", "th"], "left").select("did", "text", "wanted"), fetch, "token bigint, b1 int, b2 int, block int, c1 bigint, c2 bigint, line int, did bigint, words array<bigint>")
-    keys = ["token", "b1", "b2"]
+            rows = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            some = batch.take(pa.array(rows))
+            own, texts = [], []
+            for did, text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                lines = text.split("\n")
+                own += [(x, did) for x in wanted]
+                texts += [lines[x["line"]] for x in wanted]
+            for piece in pieces(pa.array(texts, pa.string())):
+                words, starts, _, _ = line_sets(piece, None)  # one line to a row, each with words
+                mine = own[piece.first : piece.first + piece.rows]
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(words.view(np.int64)))
+                columns = [pa.array([x[k] for x, _ in mine], t) for k, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in mine], pa.int64()), lists], [*names, "did", "words"])
+
+    by_doc = dealt.join(classes.select("c1", "c2", "at.*"), "c1").groupBy("did", "th").agg(F.collect_list(F.struct("group", "b1", "b2", "block", "c1", "c2", "line")).alias("wanted"))
+    fetched = arrow_map(keyed.select("did", "th", "text").join(by_doc, ["did", "th"], "left").select("did", "text", "wanted"), fetch, "`group` bigint, b1 int, b2 int, block int, c1 bigint, c2 bigint, line int, did bigint, words array<bigint>")
+    keys = ["group", "b1", "b2"]
     verified = arrow_map(fetched.repartition(*keys).sortWithinPartitions(*keys, "c1", "c2"), _verify, "c1 bigint, c2 bigint, links bigint, earlier boolean")
-    return cut(verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier")))
+    return verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 
 def removed_lines(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
     """did, th, n_links and lines (the numbers of those to remove) of documents that have any."""
-    rarity = word_rarity(keyed)
-    lines = line_classes(keyed, rarity)
-    classes = cut(lines.groupBy("c1", "c2").agg(F.count("*").alias("often"), F.min(F.struct("did", "line", "th")).alias("at"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")))
-    similar = similar_classes(keyed, classes, rarity, limit)
+    lines = cut(line_classes(keyed, word_rarity(keyed)))
+    classes = cut(lines.groupBy("c1", "c2").agg(F.count("*").alias("often"), F.min(F.struct("did", "line", "th")).alias("at"), *(F.any_value(c).alias(c) for c in ("prefix", "bits1", "bits2"))))
+    similar = cut(similar_classes(keyed, classes, limit))
     verdict = cut(
         classes.select("c1", "c2", "often", "at").join(similar, ["c1", "c2"], "left").where("often > 1 or links > 0").select("c1", "c2", "at", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
     )
