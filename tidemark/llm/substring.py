@@ -3,7 +3,8 @@
 Every window of `window` words is owned by its minimizer, the least hash of the
 shorter word sequences in it, so equal windows are owned by equal minimizers.
 Consecutive windows with one owner form a stretch; a minimizer and its stretches
-are a reference shard.  Stretches are summed by content first: one that occurs
+are a reference shard.  Minimizers are counted in a pass of their own, and a stretch
+whose minimizer occurs nowhere else is left out there and then.  Stretches are summed by content first: one that occurs
 twice is repeated as a whole.  Where a shard has several contents, its suffix
 automaton is built, the shard's stretches are streamed through it, and the
 matching statistics tell which windows occur more than once.  A shard of very
@@ -218,7 +219,16 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
                     ["mh", "content", "weight", "words"],
                 )
 
-    places = cut(arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, mh bigint, content bigint, first int, windows int"))
+    def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                mh, often = np.unique(stretches(piece, window, gram)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(often)], ["mh", "often"])
+
+    # most stretches are alone with their minimizer: only the others are written down
+    shared = cut(arrow_map(keyed.select("text"), minimizers, "mh bigint, often bigint").groupBy("mh").agg(F.sum("often").alias("often")).where("often > 1").select("mh"))
+    found = arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, mh bigint, content bigint, first int, windows int")
+    places = cut(found.join(shared, "mh", "left_semi"))
     contents = cut(
         places.groupBy("mh", "content").agg(F.count("*").alias("weight"), F.min(F.struct("did", "th", "first", "windows")).alias("at"))
     )
