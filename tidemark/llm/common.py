@@ -66,7 +66,16 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once all that is made of them has been written."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def boundaries(columns: list[np.ndarray]) -> np.ndarray:

@@ -33,6 +33,8 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 #: Languages that a model holds at most: its table has BUCKETS floats for each.
 MAX_LANGUAGES = 256
+#: Bytes of text whose distinct words are scored together.
+SCORED_BYTES = 2 << 20
 #: Log-likelihood that a change of language between two words costs.
 SWITCH = 12.0
 #: A language is a candidate for a script that so many of its words begin in.
@@ -137,7 +139,7 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> M
 
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), SCORED_BYTES):
                 words = distinct_words(piece)
                 if not len(words.which):
                     continue
@@ -245,7 +247,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         k = len(model.languages)
         for batch in batches:
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), SCORED_BYTES):
                 words = distinct_words(piece)
                 chosen, score = np.full(piece.rows, k), np.zeros(piece.rows)
                 found: list[list[dict]] = [[] for _ in range(piece.rows)]

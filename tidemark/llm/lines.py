@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, boundaries, cut, runs
+from tidemark.llm.common import arrow_map, boundaries, cut, discard, runs
 from tidemark.llm.components import components
 from tidemark.llm.kernels import Piece, mix64, pieces
 from tidemark.llm.simhash import forest
@@ -62,7 +62,7 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 if len(piece.starts):
-                    total += np.bincount(_cells(piece.word_hashes()), minlength=len(total))
+                    np.add.at(total, _cells(piece.word_hashes()), 1)
         blocks = np.minimum(total, _MOST).astype("<i4").reshape(-1, _BLOCK_CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
 
@@ -138,7 +138,9 @@ def line_classes(keyed: DataFrame, rarity: np.ndarray) -> DataFrame:
                 at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(starts[:-1], size)
                 place = at - np.repeat(starts[:-1], size)
                 packed = (words[at] >> np.uint64(32) << np.uint64(32)).view(np.int64) | np.minimum(np.repeat(n, size), _LONGEST) << 16 | np.minimum(place, _LONGEST)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed))
+                met = shared.value[_cells(words[at])] > 1  # a word alone in its cell occurs nowhere else
+                offsets = np.concatenate([[0], np.cumsum(met)])[offsets]
+                prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed[met]))
                 of = pa.array(row + piece.first)
                 columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number.astype(np.int32)), pa.array(c1), pa.array(c2), prefix, *map(pa.array, bits)]
                 yield pa.RecordBatch.from_arrays(columns, ["did", "th", "line", "c1", "c2", "prefix", "bits1", "bits2"])
@@ -220,8 +222,8 @@ def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c1, c2, links and earlier of classes: how many similar ones they have in their group,
-    and whether one of them occurs before."""
+    """c1, c2, did, line, th, links and earlier of classes: how many similar ones they have in
+    their group, and whether one of them occurs before."""
     keys = ["group", "b1", "b2"]
     for table, _ in runs(batches, keys, 1 << 62):  # two blocks at most
         group, b1, b2 = (table.column(k).to_numpy() for k in keys)
@@ -244,7 +246,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = (did[a + j] < did[a + i]) | (did[a + j] == did[a + i]) & (line[a + j] < line[a + i])
             earlier[a + i[before]] = True
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(c1[some]), pa.array(c2[some]), pa.array(links[some]), pa.array(earlier[some])], ["c1", "c2", "links", "earlier"])
+        th = table.column("th").to_numpy()
+        columns = [x[some] for x in (c1, c2, did, line, th, links, earlier)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c1", "c2", "did", "line", "th", "links", "earlier"])
 
 
 def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -275,15 +279,15 @@ def candidate_groups(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def similar_classes(keyed: DataFrame, classes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """c1, c2, links, earlier of the classes that have a similar one."""
+    """c1, c2, at, links, earlier of the classes that have a similar one."""
     members = cut(candidate_groups(classes, limit))
     sizes = members.groupBy("group").agg(F.count("*").alias("often"))
     dealt = _in_block_pairs(members.join(sizes, "group"), F.ceil(F.col("often") * 2 / min(limit, GROUP_LIMIT)).cast("int")).drop("often")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of the lines that candidates stand for."""
-        names = ["group", "b1", "b2", "block", "c1", "c2", "line"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        names = ["group", "b1", "b2", "block", "c1", "c2", "line", "th"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             rows = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
             some = batch.take(pa.array(rows))
@@ -299,11 +303,12 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, limit: int = LIMIT) ->
                 columns = [pa.array([x[k] for x, _ in mine], t) for k, t in zip(names, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in mine], pa.int64()), lists], [*names, "did", "words"])
 
-    by_doc = dealt.join(classes.select("c1", "c2", "at.*"), "c1").groupBy("did", "th").agg(F.collect_list(F.struct("group", "b1", "b2", "block", "c1", "c2", "line")).alias("wanted"))
-    fetched = arrow_map(keyed.select("did", "th", "text").join(by_doc, ["did", "th"], "left").select("did", "text", "wanted"), fetch, "`group` bigint, b1 int, b2 int, block int, c1 bigint, c2 bigint, line int, did bigint, words array<bigint>")
+    by_doc = dealt.join(classes.select("c1", "c2", "at.*"), "c1").groupBy("did", "th").agg(F.collect_list(F.struct("group", "b1", "b2", "block", "c1", "c2", "line", "th")).alias("wanted"))
+    fetched = arrow_map(keyed.select("did", "th", "text").join(by_doc, ["did", "th"], "left").select("did", "text", "wanted"), fetch, "`group` bigint, b1 int, b2 int, block int, c1 bigint, c2 bigint, line int, th int, did bigint, words array<bigint>")
     keys = ["group", "b1", "b2"]
-    verified = arrow_map(fetched.repartition(*keys).sortWithinPartitions(*keys, "c1", "c2"), _verify, "c1 bigint, c2 bigint, links bigint, earlier boolean")
-    return verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
+    verified = arrow_map(fetched.repartition(*keys).sortWithinPartitions(*keys, "c1", "c2"), _verify, "c1 bigint, c2 bigint, did bigint, line int, th int, links bigint, earlier boolean")
+    summed = verified.groupBy("c1", "c2", "did", "line", "th").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
+    return summed.select("c1", "c2", F.struct("did", "line", "th").alias("at"), "links", "earlier")
 
 
 def removed_lines(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -311,16 +316,20 @@ def removed_lines(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
     lines = cut(line_classes(keyed, word_rarity(keyed)))
     classes = cut(lines.groupBy("c1", "c2").agg(F.count("*").alias("often"), F.min(F.struct("did", "line", "th")).alias("at"), *(F.any_value(c).alias(c) for c in ("prefix", "bits1", "bits2"))))
     similar = cut(similar_classes(keyed, classes, limit))
+    repeated = classes.where("often > 1").select("c1", "c2", F.col("at").alias("at_first"))
     verdict = cut(
-        classes.select("c1", "c2", "often", "at").join(similar, ["c1", "c2"], "left").where("often > 1 or links > 0").select("c1", "c2", "at", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
+        repeated.join(similar, ["c1", "c2"], "full").select("c1", "c2", F.coalesce("at", "at_first").alias("at"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
     )
+    discard(classes, similar)
     mine = F.struct("did", "line", "th") == F.col("at")
-    return (
+    removed = cut(
         lines.select("did", "th", "line", "c1", "c2")
         .join(verdict, ["c1", "c2"])
         .groupBy("did", "th")
         .agg(F.sum("links").alias("n_links"), F.collect_set(F.when(F.col("earlier") | ~mine, F.col("line"))).alias("lines"))
     )
+    discard(lines, verdict)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
