@@ -2,9 +2,8 @@
 
 Texts arrive as Arrow batches.  A pre-token of the pattern begins at a space or
 after one, so a text taken apart before single spaces has the same pre-tokens;
-the library encodes each distinct piece of a batch once, and its ids and offsets
-are kept in a bounded table.  Where two white-space characters meet, the whole
-text goes to the library.  Decoding reverses the byte-to-character table: ids
+the library encodes each distinct piece of a batch once, and its ids are kept in a
+bounded table.  Where white-space characters meet, the text is not taken apart.  Decoding reverses the byte-to-character table: ids
 give bytes, and characters that ids split come together again when joined.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; strings of
@@ -16,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,25 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import arrow_map
 from tidemark.llm.token_counts import byte_characters, read_vocabulary
 
-#: Entries of the table of encoded pieces that a Python worker keeps, and the longest piece kept.
+#: Entries of the table of encoded pieces that a Python worker keeps between groups, and the longest piece kept.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+#: Pieces that go to the library at once.
+LEARN_PIECES = 2048
 #: Texts are encoded this many characters at a time.
 GROUP_CHARS = 2 << 20
 
 
+#: A text without this has no space to look at twice.
+_MEET = re.compile(r"\s\s|^\s|\s\Z|^\Z")
+
+
 class ByteBpe:
     """Encoder and decoder for a vocabulary file and the rank file it must agree with."""
 
     def __init__(self, vocabulary: bytes, ranks: bytes):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.encode_special_tokens = True
         byte_of = {c: b for b, c in enumerate(byte_characters())}
@@ -52,26 +60,33 @@ class ByteBpe:
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces, packed as little-endian unsigned 32-bit integers."""
-        encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(missing, encoded, strict=True)}
+        out: dict[str, bytes] = {}
+        for first in range(0, len(missing), LEARN_PIECES):  # the library's encodings are large
+            some = missing[first : first + LEARN_PIECES]
+            encoded = self.tokenizer.encode_batch(some, add_special_tokens=False)
+            out.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, encoded, strict=True))
+        return out
 
     @staticmethod
     def split(text: str) -> list[str]:
-        """Pieces whose pre-tokens are those of the text: cut before each single space,
-        or the text alone where white-space characters meet."""
+        """Pieces whose pre-tokens are those of the text: cut before each space that stands
+        between two characters that are no white space."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        first, rest = parts[0], parts[1:]
-        for p in rest:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return [text]
-        if first and first[-1].isspace():
-            return [text]
-        pieces = [" " + p for p in rest]
-        if first:
-            pieces.insert(0, first)
-        return pieces
+        if not _MEET.search(text):
+            pieces = list(map(" ".__add__, parts))
+            pieces[0] = parts[0]
+            return pieces
+        pieces, open_ = [], [parts[0]]
+        end = parts[0][-1:]
+        for p in parts[1:]:
+            if p and end and not p[0].isspace() and not end.isspace():
+                pieces.append(" ".join(open_))
+                open_ = ["", p]
+            else:
+                open_.append(p)
+            end = p[-1:]
+        pieces.append(" ".join(open_))
+        return pieces if pieces[0] else pieces[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -89,16 +104,13 @@ class ByteBpe:
     def _encode(self, group: list[list[str]]) -> list[bytes]:
         known = self.pieces
         missing = list({p for pieces in group for p in pieces if p not in known})
-        if missing:
-            learnt = self._learn(missing)
-            if len(known) + len(learnt) > CACHE_ENTRIES:
-                known.clear()
-                learnt = learnt | self._learn(list({p for pieces in group for p in pieces if p not in learnt}))
-            known.update(learnt)
+        known.update(self._learn(missing))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in group]
         for p in missing:
             if len(p) > CACHE_CHARS:
                 del known[p]
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
         return out
 
     def offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:

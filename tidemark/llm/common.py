@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = "tidemark"
+#: Bytes of a batch that an operator's Python code gets at once, about.
+BATCH_BYTES = 4 << 20
 _SHIPPED: dict[str, str] = {}
 
 
@@ -33,9 +35,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with the package shipped to the executors."""
+    """mapInArrow with the package shipped to the executors.  Batches of long texts are
+    handed on in slices, and freed memory goes back when a task is done."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(_slices(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES at most; a longer row is a batch of its own."""
+    for batch in batches:
+        parts = min(-(-batch.nbytes // BATCH_BYTES), batch.num_rows)
+        step = -(-batch.num_rows // max(parts, 1))
+        if parts <= 1:
+            yield batch
+            continue
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
