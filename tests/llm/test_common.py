@@ -5,6 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
+from tidemark.llm import common
+from tidemark.llm.byte_bpe import ByteBpe
 from tidemark.llm.common import cut, runs
 
 
@@ -36,3 +38,20 @@ def test_cut_reads_back_what_was_written(spark):
     again = cut(df)
     assert again.schema.simpleString() == df.schema.simpleString() and sorted(again.collect()) == sorted(df.collect())
     assert all(r.s is None for r in again.collect())
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_slices_keep_all_rows_in_order(monkeypatch, limit):
+    monkeypatch.setattr(common, "BATCH_BYTES", limit)
+    texts = ["", None, "a" * 100, "b", "c" * 7]
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array(t, pa.string())}) for t in (texts, [], texts[:1])]
+    out = list(common._slices(iter(batches)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == texts + texts[:1]
+    assert limit > 1 or all(b.num_rows <= 1 for b in out)
+
+
+def test_texts_are_taken_apart_between_words_only():
+    assert ByteBpe.split("a b  c\n d e") == ["a", " b  c\n d", " e"]
+    assert ByteBpe.split(" a b") == [" a", " b"]
+    assert ByteBpe.split("a b") == ["a", " b"]
+    assert ByteBpe.split("") == []
