@@ -112,18 +112,21 @@ def _collect(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def mix(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 7, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 7, whole: bool = False, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix of sized (doc_id, size, sources array<string>), and a small table of the sources.
 
     Each word of a document counts for all its sources.  whole: documents are taken
     whole, so a pattern's sum may miss its share by half a document; otherwise one
-    document of each pattern is cut to meet it.  Returns doc_id, size, sources and taken
-    (words, repeats counted), and name, source_size and target of each source.
+    document of each pattern is cut to meet it.  row: further columns of sized that tell rows
+    apart; they order rows without an id or with equal ids.  Returns doc_id, size, sources and
+    taken (words, repeats counted), those columns, and name, source_size and target of each source.
     """
     spark = sized.sparkSession
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    if row:
+        order = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), *row)).otherwise(order)
     base = cut(
-        sized.select("doc_id", "size", "sources").withColumn("pattern", pattern_key(F.col("sources"))).withColumn("place", order).withColumn("slice", F.shiftrightunsigned(F.col("place"), 64 - SLICE_BITS).cast("int"))
+        sized.select("doc_id", "size", "sources", *row).withColumn("pattern", pattern_key(F.col("sources"))).withColumn("place", order).withColumn("slice", F.shiftrightunsigned(F.col("place"), 64 - SLICE_BITS).cast("int"))
     )
     sums = _collect(base.groupBy("pattern").agg(F.sum("size").alias("words"), F.any_value("sources").alias("sources")), MAX_PATTERNS, "membership patterns")
     sizes: dict = defaultdict(int)
@@ -147,7 +150,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     plan = cut(wanted.join(ends, "pattern", "left"))  # one row for each pattern
     placed = base.join(F.broadcast(plan), "pattern")
     inside = F.col("slice") == F.col("end_slice")
-    in_order = Window.partitionBy("pattern").orderBy("place", "doc_id", "size")
+    in_order = Window.partitionBy("pattern").orderBy("place", "doc_id", *row, "size")
     last = placed.where(inside).withColumn("sum_before", F.col("before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     left = F.col("rest") - F.col("sum_before")
     if whole:
@@ -157,7 +160,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     other = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("slice") < F.col("end_slice"), F.col("size")).otherwise(0))
     out = other.unionByName(last.withColumn("extra", share_of).drop("sum_before"))
     found = spark.createDataFrame([(s, float(sizes[s]), targets[s]) for s in targets], "name string, source_size double, target double")
-    return out.select("doc_id", "size", "sources", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken")), found
+    return out.select("doc_id", "size", "sources", *row, (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken")), found
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
