@@ -78,7 +78,33 @@ def line_rows():
 def test_line_dedup(spark, limit):
     # a limit below the sizes of words' classes and groups takes the ways for large ones
     rows = line_rows()
-    assert ordered(lines.dedup_lines(frame(spark, rows), limit).collect()) == ordered(brute_lines(rows))
+    assert ordered(lines.dedup_lines(frame(spark, rows), limit, most=limit).collect()) == ordered(brute_lines(rows))
+
+
+def colliding_texts(spark, make):
+    """Two texts with one value of Spark's 32-bit hash."""
+    found = spark.createDataFrame([(make(i),) for i in range(150_000)], "text string").selectExpr("text", "hash(text) h")
+    least = found.groupBy("h").agg({"text": "min", "*": "count"}).where("`count(1)` > 1").limit(1).select("h")
+    return [r.text for r in found.join(least, "h").collect()][:2]
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = colliding_texts(spark, lambda i: f"line {i} of few words that is there")
+    rows = [(1, a, "en", "s", 0), (3, a, "en", "s", 0), (3, b.replace(" of few words that is there", " alone"), "en", "s", 0), (None, a, "en", "s", 0), (None, "x y z", "en", "s", 0), (3, b, "en", "s", 0)]
+    got = {(r.doc_id, r.text): (r.n_removed, r.n_links) for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    # the null id comes first: its line stays, those of 1 and 3 go; b differs from a in a word of eight
+    assert got == {(1, ""): (1, 0), (3, ""): (1, 0), (3, b.replace(" of few words that is there", " alone")): (0, 0), (None, a): (0, 0), (None, "x y z"): (0, 0), (3, b): (0, 0)}
+    spread = " ".join(f"w{i}" for i in range(40))
+    a, b = colliding_texts(spark, lambda i: f"{i} q r")
+    rows = [(None, a, "en", "s", 0), (None, f"{spread} {a}", "en", "s", 0), (None, b, "en", "s", 0), (7, f"{b} {spread}", "en", "s", 0)]
+    assert ordered(substring.remove_repeated(frame(spark, rows)).collect()) == ordered(brute_substrings(rows, 35))
+
+
+def test_line_dedup_breaks_ties_of_null_ids(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(None, " ".join([*words, f"x{k}"]), "en", "s", 0) for k in range(6)]
+    got = lines.dedup_lines(frame(spark, rows)).collect()
+    assert sorted(r.n_removed for r in got) == [0, 1, 1, 1, 1, 1] and all(r.n_links == 5 for r in got)
 
 
 def test_line_dedup_of_awkward_documents(spark):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PACKAGE = "tidemark"
 #: Bytes of a batch that an operator's Python code gets at once, about.
@@ -34,7 +36,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[app] = archive
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with the package shipped to the executors.  Batches of long texts are
     handed on in slices, and freed memory goes back when a task is done."""
     ship(df.sparkSession)
@@ -60,29 +62,40 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where that
-    is unset, as in local tests."""
+    is unset and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing reads any more: it does so when the
-    driver's garbage is collected, which may be long after lineage was cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's setting that shuffle files go when the query that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind.  Only for a DataFrame that
+    is run once: a second run would look for the files of the first."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table below spark.checkpoint.dir and read it back: the
-    lineage ends there, so a lost executor costs a re-read, not a re-run.  The
-    files go when the application ends."""
+    lineage ends there, so a lost executor costs a re-read, not a re-run, and the shuffle
+    files go.  The table goes when it is discarded or the application ends."""
     spark = df.sparkSession
-    release(spark)
     path = f"{checkpoint_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -98,6 +111,40 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def is_empty(df: DataFrame) -> bool:
+    with shuffles_end(df.sparkSession):
+        return not df.limit(1).collect()
+
+
+def named(column: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """k1 and k2: 128 bits that tell rows apart by id and text; a null is a value."""
+    own, text = named(id_col), named(text_col)
+    return [F.xxhash64(F.lit(k), own.isNull(), own, text.isNull(), text).alias(f"k{k}") for k in (1, 2)]
+
+
+#: A key is hot from this share of the rows on; there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_of_keys(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose column weight says how
+    many rows the key has.  Rows of hot keys stay where they are and get theirs by broadcast
+    (of under 1 / HOT_SHARE rows); all others meet by key.  Both must be cut tables."""
+    with shuffles_end(table.sparkSession):
+        total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) > total * HOT_SHARE)
+    if is_empty(hot):
+        return rows.join(table, key)
+    by_share = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= total * HOT_SHARE), key)
+    return by_share.unionByName(others)
+
+
 def boundaries(columns: list[np.ndarray]) -> np.ndarray:
     """Index of the first row of each run of equal keys."""
     n = len(columns[0])

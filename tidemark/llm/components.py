@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, discard, is_empty
 
 #: More rounds than any graph needs: their number grows with the logarithm of its size.
 MAX_ROUNDS = 60
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(MAX_ROUNDS):
         then = cut(_small_star(_large_star(now)).distinct())
-        same = now.unionByName(then).groupBy("a", "b").count().where("count = 1").limit(1).count() == 0
+        same = is_empty(now.unionByName(then).groupBy("a", "b").count().where("count = 1"))
+        discard(now)
         now = then
         if same:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

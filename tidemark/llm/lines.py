@@ -10,13 +10,17 @@ group, whose lines are fetched once and compared exactly.  Similar pairs are
 counted in the tasks, never written.  Words and groups with very many classes are
 dealt in block pairs, so no task holds more than two blocks.
 
+Disk: the wide columns (prefixes and bits) go as soon as the postings have met, and every
+table as soon as what is made of it has been written.
+
 A line is removed if an earlier line, by (doc_id, line number), has an equal or a
 similar set; both are judged on the input.
 
 Edge cases: lines without words are kept and match nothing; a null text is kept as
 null and has no lines; texts are read whole; rows equal in id and text are one document,
-kept or cut alike; a null id comes first in order; an empty table gives an
-empty result; other columns of the input are not read.
+kept or cut alike; rows with one id, or none, and different texts are told apart by 128 bits;
+a null id comes first in order (ids are integers); an empty table gives an empty result; other
+columns of the input are read only where they are to be kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,23 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import arrow_map, boundaries, cut, discard, runs
+from tidemark.llm.common import arrow_map, boundaries, cut, discard, is_empty, join_of_keys, named, row_key, runs
 from tidemark.llm.components import components
 from tidemark.llm.kernels import Piece, mix64, pieces
+from tidemark.llm.similar import MOST, block_count, in_block_pairs, similar_pairs
 from tidemark.llm.simhash import forest
 
 NUM, DEN = 4, 5
 #: Cells of the table of word counts; more words than cells share them.
 CELL_BITS = 20
-#: Classes under one word whose bounds are looked at in one task at most, and classes of a
-#: group that are compared exactly.
-LIMIT, GROUP_LIMIT = 4096, 1024
+#: Classes under one word whose bounds are looked at in one task at most.
+LIMIT = 4096
 NO_ID = -(1 << 63)
-#: Counts end here: more often is as often, for the order.
-_MOST = (1 << 21) - 1
+#: A count's rank is its binary logarithm times this: 21 bits hold it, however often a word occurs.
+_RANK = 1 << 15
 _BLOCK_CELLS = 1 << 14
 #: Sizes and places are packed into 16 bits; lines of so many words or more aren't bounded.
 _LONGEST = (1 << 16) - 1
@@ -52,7 +58,7 @@ def _cells(words: np.ndarray) -> np.ndarray:
 
 
 def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often the words of each cell occur: the same small table whatever the corpus.
+    """How often the words of each cell occur, as ranks: the same small table whatever the corpus.
 
     Tasks give blocks of counts, which are added block by block.
     """
@@ -63,7 +69,7 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for piece in pieces(batch.column(0)):
                 if len(piece.starts):
                     np.add.at(total, _cells(piece.word_hashes()), 1)
-        blocks = np.minimum(total, _MOST).astype("<i4").reshape(-1, _BLOCK_CELLS)
+        blocks = total.astype("<i4" if total.max() < 1 << 31 else "<i8").reshape(-1, _BLOCK_CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +77,12 @@ def word_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums.setdefault(block, np.zeros(_BLOCK_CELLS, dtype=np.int64))
-                sums[block] += np.frombuffer(counts, dtype="<i4")
-        rows = [np.minimum(x, _MOST).astype("<i4").tobytes() for x in sums.values()]
+                sums[block] += np.frombuffer(counts, dtype="<i4" if len(counts) == 4 * _BLOCK_CELLS else "<i8")
+        rows = [np.minimum(np.log2(x + 1.0) * _RANK, (1 << 21) - 1).astype("<i4").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    found = arrow_map(arrow_map(docs.select(text_col), count, schema).repartition("block"), add, schema).collect()  # 1 << CELL_BITS counts in all
+    found = arrow_map(arrow_map(docs.select(named(text_col)), count, schema).repartition("block"), add, schema).collect()  # 1 << CELL_BITS counts in all
     table = np.zeros((1 << CELL_BITS) // _BLOCK_CELLS * _BLOCK_CELLS, dtype=np.int32).reshape(-1, _BLOCK_CELLS)
     for r in found:
         table[r.block] = np.frombuffer(r.counts, dtype="<i4")
@@ -118,14 +124,14 @@ def least_overlap(total: np.ndarray) -> np.ndarray:
 
 
 def line_classes(keyed: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """did, th, line, c1, c2 (which tell classes apart), prefix and two words of parity bits of
+    """did, k1, k2, line, c1, c2 (which tell classes apart), prefix and two words of parity bits of
     each line with words.  A prefix word is packed into a long: 32 bits of its hash, the
     line's size and its place in the line's order, both up to _LONGEST."""
     shared = keyed.sparkSession.sparkContext.broadcast(rarity)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(2)):
+            for piece in pieces(batch.column(3)):
                 if not len(piece.starts):
                     continue
                 words, starts, row, number = line_sets(piece, shared.value)
@@ -138,14 +144,14 @@ def line_classes(keyed: DataFrame, rarity: np.ndarray) -> DataFrame:
                 at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(starts[:-1], size)
                 place = at - np.repeat(starts[:-1], size)
                 packed = (words[at] >> np.uint64(32) << np.uint64(32)).view(np.int64) | np.minimum(np.repeat(n, size), _LONGEST) << 16 | np.minimum(place, _LONGEST)
-                met = shared.value[_cells(words[at])] > 1  # a word alone in its cell occurs nowhere else
+                met = shared.value[_cells(words[at])] > _RANK  # a word alone in its cell occurs nowhere else
                 offsets = np.concatenate([[0], np.cumsum(met)])[offsets]
                 prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(packed[met]))
                 of = pa.array(row + piece.first)
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(number.astype(np.int32)), pa.array(c1), pa.array(c2), prefix, *map(pa.array, bits)]
-                yield pa.RecordBatch.from_arrays(columns, ["did", "th", "line", "c1", "c2", "prefix", "bits1", "bits2"])
+                columns = [*(batch.column(k).take(of) for k in range(3)), pa.array(number.astype(np.int32)), pa.array(c1), pa.array(c2), prefix, *map(pa.array, bits)]
+                yield pa.RecordBatch.from_arrays(columns, ["did", "k1", "k2", "line", "c1", "c2", "prefix", "bits1", "bits2"])
 
-    return arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, line int, c1 bigint, c2 bigint, prefix array<bigint>, bits1 bigint, bits2 bigint")
+    return arrow_map(keyed.select("did", "k1", "k2", "text"), find, "did bigint, k1 bigint, k2 bigint, line int, c1 bigint, c2 bigint, prefix array<bigint>, bits1 bigint, bits2 bigint")
 
 
 def _set_hashes(words: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,152 +209,143 @@ def _meet(keys: list[str], limit: int):
     return meet
 
 
-def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
-    """Matrix of common elements of each two sets."""
-    sizes = [len(x) for x in lists]
-    _, which, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(lists)), sizes)
-    common = often[which] > 1
-    column = np.unique(which[common], return_inverse=True)[1]
-    out = np.zeros((len(lists), len(lists)), dtype=np.float32)
-    width = int(column.max()) + 1 if len(column) else 0
-    row = row[common]
-    for first in range(0, width, 4096):  # columns some at a time: the matrix stays small
-        own = (column >= first) & (column < first + 4096)
-        part = np.zeros((len(lists), min(4096, width - first)), dtype=np.float32)
-        part[row[own], column[own] - first] = 1
-        out += part @ part.T
-    return out
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c1, c2, did, line, th, links and earlier of classes: how many similar ones they have in
-    their group, and whether one of them occurs before."""
+    """c1, c2, links and earlier of classes: how many similar ones they have in their group,
+    and whether one of them occurs before."""
     keys = ["group", "b1", "b2"]
     for table, _ in runs(batches, keys, 1 << 62):  # two blocks at most
         group, b1, b2 = (table.column(k).to_numpy() for k in keys)
-        c1, c2, block, did, line = (table.column(k).to_numpy() for k in ("c1", "c2", "block", "did", "line"))
+        c1, c2, block = (table.column(k).to_numpy() for k in ("c1", "c2", "block"))
         column = table.column("words").combine_chunks()
         values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
         links, earlier = np.zeros(len(c1), dtype=np.int64), np.zeros(len(c1), dtype=bool)
+        place = np.empty(len(c1), dtype=np.int64)
+        place[np.lexsort([table.column(k).to_numpy() for k in ("k2", "k1", "line", "did")])] = np.arange(len(c1))
         starts = boundaries([group, b1, b2])
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c1)], strict=True):
             if b - a < 2:
                 continue
-            words = [values[offsets[i] : offsets[i + 1]] for i in range(a, b)]
-            n = np.array([len(w) for w in words], dtype=np.float32)
-            similar = _overlaps(words) * (NUM + DEN) >= NUM * (n[:, None] + n[None, :])
-            if b1[a] != b2[a]:
-                similar &= block[a:b, None] != block[None, a:b]
-            np.fill_diagonal(similar, False)
-            i, j = np.nonzero(similar)
-            np.add.at(links, a + i, 1)
-            before = (did[a + j] < did[a + i]) | (did[a + j] == did[a + i]) & (line[a + j] < line[a + i])
-            earlier[a + i[before]] = True
+            for i, j in similar_pairs([values[offsets[k] : offsets[k + 1]] for k in range(a, b)], NUM, DEN):
+                i, j = i + a, j + a
+                if b1[a] != b2[a]:
+                    across = block[i] != block[j]
+                    i, j = i[across], j[across]
+                np.add.at(links, np.concatenate([i, j]), 1)
+                earlier[np.where(place[i] > place[j], i, j)] = True
         some = np.flatnonzero(links)
-        th = table.column("th").to_numpy()
-        columns = [x[some] for x in (c1, c2, did, line, th, links, earlier)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c1", "c2", "did", "line", "th", "links", "earlier"])
-
-
-def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Each row once for each pair of blocks that its own is in: b1, b2, block."""
-    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c1"), "blocks").cast("int"))
-    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return paired.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).drop("blocks", "other")
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (c1, c2, links, earlier)], ["c1", "c2", "links", "earlier"])
 
 
-def candidate_groups(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+def candidate_groups(wide: DataFrame, limit: int = LIMIT) -> DataFrame:
     """c1 and group of the classes that may be similar to another: no similar pair is split."""
     schema = "a bigint, b bigint, token bigint"
-    postings = classes.select(F.explode("prefix").alias("packed"), "c1", "bits1", "bits2")
+    postings = wide.select(F.explode("prefix").alias("packed"), "c1", "bits1", "bits2")
     token = F.shiftright("packed", 32)
     met = postings.repartition(token).sortWithinPartitions("packed", "c1")
     found = cut(arrow_map(met, _meet(["token"], limit), schema))
     edges = found.where("token is null").select("a", "b")
-    large = found.where("token is not null").select("token").distinct()
-    if large.limit(1).count():
-        known = postings.withColumn("of", token).join(large.withColumnRenamed("token", "of"), "of")
+    large = cut(found.where("token is not null").select(F.col("token").alias("of")).distinct())
+    more = None
+    if not is_empty(large):
+        known = cut(postings.withColumn("of", token).join(large, "of"))
         sizes = cut(known.groupBy("of").agg(F.count("*").alias("often")))
-        dealt = _in_block_pairs(known.join(sizes, "of"), F.ceil(F.col("often") * 2 / limit).cast("int"))
+        dealt = in_block_pairs(join_of_keys(known, sizes, "of", "often").withColumn("blocks", F.ceil(F.col("often") * 2 / limit).cast("int")), "c1")
         placed = dealt.repartition("of", "b1", "b2").sortWithinPartitions("of", "b1", "b2", "packed", "c1")
-        more = arrow_map(placed.select("packed", "c1", "bits1", "bits2", "b1", "b2"), _meet(["token", "b1", "b2"], 1 << 62), schema)
+        more = cut(arrow_map(placed.select("packed", "c1", "bits1", "bits2", "b1", "b2"), _meet(["token", "b1", "b2"], 1 << 62), schema))
+        discard(known, sizes)
         edges = edges.unionByName(more.select("a", "b"))
     tied = components(edges)
+    discard(found, large, *([more] if more is not None else []))
     return tied.select(F.col("node").alias("c1"), F.col("root").alias("group")).unionByName(tied.select(F.col("root").alias("c1"), F.col("root").alias("group")).distinct())
 
 
-def similar_classes(keyed: DataFrame, classes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """c1, c2, at, links, earlier of the classes that have a similar one."""
-    members = cut(candidate_groups(classes, limit))
-    sizes = members.groupBy("group").agg(F.count("*").alias("often"))
-    dealt = _in_block_pairs(members.join(sizes, "group"), F.ceil(F.col("often") * 2 / min(limit, GROUP_LIMIT)).cast("int")).drop("often")
+def similar_classes(keyed: DataFrame, classes: DataFrame, groups: DataFrame, most: int = MOST) -> DataFrame:
+    """c1, c2, links, earlier of the classes that have a similar one."""
+    members = cut(groups.join(classes.select("c1", "c2", "at", "n"), "c1"))
+    sizes = cut(members.groupBy("group").agg(F.count("*").alias("often"), block_count(F.count("*"), F.sum("n"), most).alias("blocks")))
+    dealt = join_of_keys(members, sizes, "group", "often").select("group", "blocks", "c1", "c2", "at.*")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of the lines that candidates stand for."""
-        names = ["group", "b1", "b2", "block", "c1", "c2", "line", "th"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["group", "blocks", "c1", "c2", "did", "line", "k1", "k2"]
+        types = [pa.int32() if k in ("blocks", "line") else pa.int64() for k in names]
         for batch in batches:
-            rows = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            rows = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
             some = batch.take(pa.array(rows))
             own, texts = [], []
-            for did, text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+            for text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 lines = text.split("\n")
-                own += [(x, did) for x in wanted]
+                own += wanted
                 texts += [lines[x["line"]] for x in wanted]
             for piece in pieces(pa.array(texts, pa.string())):
                 words, starts, _, _ = line_sets(piece, None)  # one line to a row, each with words
                 mine = own[piece.first : piece.first + piece.rows]
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(words.view(np.int64)))
-                columns = [pa.array([x[k] for x, _ in mine], t) for k, t in zip(names, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in mine], pa.int64()), lists], [*names, "did", "words"])
+                columns = [pa.array([x[k] for x in mine], t) for k, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "words"])
 
-    by_doc = dealt.join(classes.select("c1", "c2", "at.*"), "c1").groupBy("did", "th").agg(F.collect_list(F.struct("group", "b1", "b2", "block", "c1", "c2", "line", "th")).alias("wanted"))
-    fetched = arrow_map(keyed.select("did", "th", "text").join(by_doc, ["did", "th"], "left").select("did", "text", "wanted"), fetch, "`group` bigint, b1 int, b2 int, block int, c1 bigint, c2 bigint, line int, th int, did bigint, words array<bigint>")
+    by_doc = dealt.groupBy("k1", "k2").agg(F.collect_list(F.struct("group", "blocks", "c1", "c2", "did", "line", "k1", "k2")).alias("wanted"))
+    fetched = arrow_map(keyed.select("k1", "k2", "text").join(by_doc, ["k1", "k2"], "left").select("text", "wanted"), fetch, "`group` bigint, blocks int, c1 bigint, c2 bigint, did bigint, line int, k1 bigint, k2 bigint, words array<bigint>")
+    sets = cut(fetched.dropDuplicates(["c1", "c2"]))  # of rows equal in id and text each gives the lines
     keys = ["group", "b1", "b2"]
-    verified = arrow_map(fetched.repartition(*keys).sortWithinPartitions(*keys, "c1", "c2"), _verify, "c1 bigint, c2 bigint, did bigint, line int, th int, links bigint, earlier boolean")
-    summed = verified.groupBy("c1", "c2", "did", "line", "th").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
-    return summed.select("c1", "c2", F.struct("did", "line", "th").alias("at"), "links", "earlier")
-
-
-def removed_lines(keyed: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """did, th, n_links and lines (the numbers of those to remove) of documents that have any."""
-    lines = cut(line_classes(keyed, word_rarity(keyed)))
-    classes = cut(lines.groupBy("c1", "c2").agg(F.count("*").alias("often"), F.min(F.struct("did", "line", "th")).alias("at"), *(F.any_value(c).alias(c) for c in ("prefix", "bits1", "bits2"))))
-    similar = cut(similar_classes(keyed, classes, limit))
-    repeated = classes.where("often > 1").select("c1", "c2", F.col("at").alias("at_first"))
-    verdict = cut(
-        repeated.join(similar, ["c1", "c2"], "full").select("c1", "c2", F.coalesce("at", "at_first").alias("at"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier"))
-    )
-    discard(classes, similar)
-    mine = F.struct("did", "line", "th") == F.col("at")
+    verified = arrow_map(in_block_pairs(sets, "c1").repartition(*keys).sortWithinPartitions(*keys, "c1", "c2"), _verify, "c1 bigint, c2 bigint, links bigint, earlier boolean")
+    similar = cut(verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier")))
+    discard(members, sizes, sets)
+    return similar
+
+
+def removed_lines(keyed: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
+    """k1, k2, n_links and lines (the numbers of those to remove) of documents that have any."""
+    found = cut(line_classes(keyed, word_rarity(keyed)))
+    size = F.coalesce(F.shiftright(F.get("prefix", F.lit(0)), 16).bitwiseAND(F.lit(_LONGEST)), F.lit(1))  # for blocks only
+    wide = cut(found.groupBy("c1", "c2").agg(F.count("*").alias("often"), F.min(F.struct("did", "line", "k1", "k2")).alias("at"), *(F.any_value(c).alias(c) for c in ("prefix", "bits1", "bits2"))))
+    lines = cut(found.select("did", "k1", "k2", "line", "c1", "c2"))
+    discard(found)
+    groups = cut(candidate_groups(wide.select("c1", "prefix", "bits1", "bits2"), limit))
+    classes = cut(wide.select("c1", "c2", "often", "at", size.alias("n")))
+    discard(wide)
+    similar = similar_classes(keyed, classes, groups, most)
+    repeated = classes.where("often > 1").select("c1", "c2")
+    judged = cut(repeated.join(similar, ["c1", "c2"], "full").select("c1", "c2", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")))
+    verdict = cut(judged.join(classes.select("c1", "c2", "at"), ["c1", "c2"]))
+    discard(classes, groups, similar, judged)
+    mine = F.struct("did", "line", "k1", "k2") == F.col("at")
     removed = cut(
-        lines.select("did", "th", "line", "c1", "c2")
-        .join(verdict, ["c1", "c2"])
-        .groupBy("did", "th")
-        .agg(F.sum("links").alias("n_links"), F.collect_set(F.when(F.col("earlier") | ~mine, F.col("line"))).alias("lines"))
+        lines.join(verdict, ["c1", "c2"])
+        .groupBy("k1", "k2")
+        .agg(F.sum("links").alias("links"), F.size(F.collect_set("line")).alias("own"), F.count("*").alias("rows"), F.collect_set(F.when(F.col("earlier") | ~mine, F.col("line"))).alias("lines"))
+        # rows equal in id and text come together here: their links are one row's
+        .select("k1", "k2", F.expr("links div (rows div own)").alias("n_links"), "lines")
     )
     discard(lines, verdict)
     return removed
 
 
-def dedup_lines(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_removed, n_links (similar classes of its
     lines, summed); columns of docs named in keep come along as keep_<name>."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text_col).alias("th"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    removed = removed_lines(keyed.select("did", "th", "doc_id", "text"), limit)
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    stay = F.transform(F.filter(numbered, lambda p: ~F.array_contains("lines", p.i)), lambda p: p.x)
-    joined = keyed.join(removed, ["did", "th"], "left")
-    cutting = F.coalesce(F.size("lines"), F.lit(0)) > 0
-    return joined.select(
-        "doc_id",
-        F.when(cutting, F.array_join(stay, "\n")).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(cutting, F.size("lines")).otherwise(0).cast("long").alias("n_removed"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        *(f"keep_{c}" for c in keep),
-    )
+    kept = [named(c).alias(f"keep_{c}") for c in keep]
+    keyed = docs.select(*row_key(id_col, text_col), F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("did"), named(id_col).alias("doc_id"), named(text_col).alias("text"), *kept)
+    removed = removed_lines(keyed.select("k1", "k2", "did", "text"), limit, most)
+
+    def cleanse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lines = batch.column("text"), batch.column("lines")
+            counts = pc.add(pc.count_substring(texts, "\n").cast(pa.int64()), 1).fill_null(0)
+            gone = pc.list_value_length(lines).cast(pa.int64()).fill_null(0)
+            rows = np.flatnonzero(gone.to_numpy(zero_copy_only=False))
+            if len(rows):
+                out = texts.to_pylist()
+                for i, own in zip(rows.tolist(), lines.take(pa.array(rows)).to_pylist(), strict=True):
+                    away = set(own)
+                    out[i] = "\n".join(x for k, x in enumerate(out[i].split("\n")) if k not in away)
+                texts = pa.array(out, texts.type)
+            others = [batch.column(c) for c in batch.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, counts, gone, batch.column("n_links"), *others], ["doc_id", "text", "n_lines", "n_removed", "n_links", *batch.schema.names[4:]])
+
+    joined = keyed.join(removed, ["k1", "k2"], "left").select("doc_id", "text", "lines", F.coalesce("n_links", F.lit(0)).alias("n_links"), *(named(f"keep_{c}") for c in keep))
+    schema = StructType([*docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).schema, *(StructField(c, LongType()) for c in ("n_lines", "n_removed", "n_links")), *docs.select(*kept).schema])
+    return arrow_map(joined, cleanse, schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
