@@ -371,7 +371,7 @@ def substring_rows():
     return [*rows, (None, None, None, None, None), (None, "a b", "en", "s", 3), (7, "", "en", "s", 0), (7, "q " * 50, "en", "s", 0), (5, rows[5][1], "en", "s", 0), (None, rows[11][1] + " zz", "en", "s", 0)]
 
 
-@pytest.mark.parametrize(("window", "gram", "limit"), [(7, 4, 1500), (7, 4, 2), (35, 18, 1500)])
+@pytest.mark.parametrize(("window", "gram", "limit"), [(7, 4, 256), (7, 4, 2), (35, 18, 256)])
 def test_substring_dedup(spark, window, gram, limit):
     # a limit below the sizes of shards takes the way for large ones
     rows = substring_rows()

@@ -131,7 +131,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 HOT_SHARE = 1 / 1000
 
 
-def join_of_keys(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def join_of_keys(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Inner join of rows with a table of one row for each key, whose column weight says how
     many rows the key has.  Rows of hot keys stay where they are and get theirs by broadcast
     (of under 1 / HOT_SHARE rows); all others meet by key.  Both must be cut tables."""
@@ -139,9 +139,9 @@ def join_of_keys(rows: DataFrame, table: DataFrame, key: str, weight: str) -> Da
         total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.where(F.col(weight) > total * HOT_SHARE)
     if is_empty(hot):
-        return rows.join(table, key)
-    by_share = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= total * HOT_SHARE), key)
+        return rows.join(table, keys)
+    by_share = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= total * HOT_SHARE), keys)
     return by_share.unionByName(others)
 
 

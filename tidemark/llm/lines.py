@@ -249,7 +249,7 @@ def candidate_groups(wide: DataFrame, limit: int = LIMIT) -> DataFrame:
     if not is_empty(large):
         known = cut(postings.withColumn("of", token).join(large, "of"))
         sizes = cut(known.groupBy("of").agg(F.count("*").alias("often")))
-        dealt = in_block_pairs(join_of_keys(known, sizes, "of", "often").withColumn("blocks", F.ceil(F.col("often") * 2 / limit).cast("int")), "c1")
+        dealt = in_block_pairs(join_of_keys(known, sizes, ["of"], "often").withColumn("blocks", F.ceil(F.col("often") * 2 / limit).cast("int")), "c1")
         placed = dealt.repartition("of", "b1", "b2").sortWithinPartitions("of", "b1", "b2", "packed", "c1")
         more = cut(arrow_map(placed.select("packed", "c1", "bits1", "bits2", "b1", "b2"), _meet(["token", "b1", "b2"], 1 << 62), schema))
         discard(known, sizes)
@@ -263,7 +263,7 @@ def similar_classes(keyed: DataFrame, classes: DataFrame, groups: DataFrame, mos
     """c1, c2, links, earlier of the classes that have a similar one."""
     members = cut(groups.join(classes.select("c1", "c2", "at", "n"), "c1"))
     sizes = cut(members.groupBy("group").agg(F.count("*").alias("often"), block_count(F.count("*"), F.sum("n"), most).alias("blocks")))
-    dealt = join_of_keys(members, sizes, "group", "often").select("group", "blocks", "c1", "c2", "at.*")
+    dealt = join_of_keys(members, sizes, ["group"], "often").select("group", "blocks", "c1", "c2", "at.*")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of the lines that candidates stand for."""

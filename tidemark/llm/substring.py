@@ -4,20 +4,23 @@ Every window of `window` words is owned by its minimizer, the least hash of the
 shorter word sequences in it, so equal windows are owned by equal minimizers.
 Consecutive windows with one owner form a stretch; a minimizer and its stretches
 are a reference shard.  Minimizers are counted in a pass of their own, and a stretch
-whose minimizer occurs nowhere else is left out there and then.  Stretches are summed by content first: one that occurs
-twice is repeated as a whole.  Where a shard has several contents, its suffix
-automaton is built, the shard's stretches are streamed through it, and the
-matching statistics tell which windows occur more than once.  A shard of very
-many contents is not built in one task: its windows are summed by hash instead.
+whose minimizer occurs nowhere else is left out there and then.  Stretches of equal
+content are summed; each shard's suffix automaton is built of its contents, they are
+streamed through it, and the matching statistics tell which windows occur more than once.
+
+A shard of over `limit` contents is dealt again before it reaches a task: by the second
+least hash in its windows, then the third and so on.  Equal windows agree in all of them, so no
+repeat is lost; after the last one a shard holds one window's repeats only (up to `window - gram + 1`
+contents, of periodic text), so shards always end within reach of one automaton.
 
 Shards are dealt by minimizer rather than broadcast: the repeated passages of a
 corpus grow with it, and broadcasting them in bounded parts would stream all
-documents once for each part.
+documents once for each part (README has the figures).
 
 Edge cases: a null or empty text has no words; texts are taken whole; repeated
-rows are occurrences of their own, so their windows are repeated; under `window`
-words nothing is removed; a null id is an id like any other; an empty table gives
-an empty result; other columns of the input are not read.
+rows are occurrences of their own, so their windows are repeated; rows with one id, or none,
+and different texts are told apart by 128 bits; under `window` words nothing is removed; an
+empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,14 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, boundaries, cut, runs
+from tidemark.llm.common import arrow_map, boundaries, cut, discard, is_empty, join_of_keys, named, row_key, runs
 from tidemark.llm.kernels import Piece, gram_hashes, mix64, pieces
 
 WINDOW, GRAM = 35, 18
 #: Contents of a shard whose automaton is built in one task at most.
-LIMIT = 1500
-#: Stands for a null id.
-NO_ID = -(1 << 63)
+LIMIT = 256
 _NONE = ~np.uint64(0)
 
 
@@ -141,26 +142,14 @@ class SuffixAutomaton:
         return mask
 
 
-def _match(window: int, limit: int):
+def _match(window: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(mh, content, mask) of each stretch of a shard; of a shard over the limit, its
-        windows: offset and two hashes each, for a sum by hash."""
-        names = ["mh", "content", "mask", "weight", "offset", "h1", "h2"]
-        for table, over in runs(batches, ["mh"], limit):
+        """(mh, content, weight, mask) of each content: the windows that its shard's automaton
+        has at two places or more."""
+        for table, _ in runs(batches, ["mh"], 1 << 62):  # shards have been dealt to the limit
             mh, weights = table.column("mh").to_numpy(), table.column("weight").to_numpy()
             column = table.column("words").combine_chunks()
             values, at = column.values.to_numpy(), column.offsets.to_numpy()
-            if over:
-                size = np.diff(at)
-                count = np.maximum(size - window + 1, 0)
-                row = np.repeat(np.arange(len(mh)), count)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                words = values[at[0] : at[-1]].view(np.uint64)
-                first = at[:-1][row] - at[0] + offset
-                h1, h2 = (_sequence_hashes(x, first, first + window).view(np.int64) for x in (words, mix64(words)))
-                columns = [pa.array(mh[row]), table.column("content").combine_chunks().take(pa.array(row)), pa.nulls(len(row), pa.int64()), pa.array(weights[row]), pa.array(offset.astype(np.int32)), pa.array(h1), pa.array(h2)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                continue
             starts = boundaries([mh])
             masks = np.zeros(len(mh), dtype=np.int64)
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(mh)], strict=True):
@@ -170,20 +159,77 @@ def _match(window: int, limit: int):
                     automaton.add(sequence, min(weight, 2))
                 automaton.count()
                 masks[a:b] = [automaton.repeated(sequence, window) for sequence in own]
-            n = len(mh)
-            blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(mh), table.column("content").combine_chunks(), pa.array(masks), *blank], names)
+            some = np.flatnonzero(masks)
+            columns = [table.column(k).combine_chunks().take(pa.array(some)) for k in ("mh", "content", "weight")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(masks[some])], ["mh", "content", "weight", "mask"])
 
     return match
 
 
+def _deal(window: int, gram: int, level: int):
+    """Stretches of contents by the hash that comes level places after the least of each window."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["mh", "content", "weight", "words", "of_mh", "of_content", "offset"]
+        for batch in batches:
+            mh, of, weight = (batch.column(k).to_numpy().view(np.uint64) for k in ("mh", "content", "weight"))
+            rows = []
+            for i, own in enumerate(batch.column("words").to_pylist()):
+                words = np.array(own, dtype=np.int64).view(np.uint64)
+                grams, _ = gram_hashes(words, np.array([0, len(words)]), gram)
+                owner = np.argsort(np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1), axis=1, kind="stable")[:, level]
+                owner = owner + np.arange(len(owner))
+                begin = boundaries([owner])
+                for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(owner)], strict=True):
+                    part = words[first : last + window - 1]
+                    key = mix64(mh[i : i + 1] ^ mix64(grams[owner[first : first + 1]] + np.uint64(level)))
+                    content = _sequence_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))
+                    rows.append((key.view(np.int64)[0], content.view(np.int64)[0], weight.view(np.int64)[i], part.view(np.int64), mh.view(np.int64)[i], of.view(np.int64)[i], first))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == "words" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
+
+    return deal
+
+
+def _marks(contents: DataFrame, window: int, gram: int, limit: int) -> DataFrame:
+    """mh, content, weight and mask of the contents (mh, content, weight, words; distinct) that
+    have repeated windows."""
+    schema = "mh bigint, content bigint, weight bigint, mask bigint"
+    settled, dealt, used = [], [], []
+    last = window - gram
+    for level in range(last + 1):
+        sizes = cut(contents.groupBy("mh").agg(F.count("*").alias("often")))
+        large = cut(sizes.where(F.col("often") > (limit if level < last else 1 << 62)))
+        small, open_ = contents, None
+        if not is_empty(large):
+            sized = cut(join_of_keys(contents, sizes, ["mh"], "often"))
+            used.append(sized)
+            small, open_ = sized.where(F.col("often") <= limit), sized.where(F.col("often") > limit)
+        ready = small.select("mh", "content", "weight", "words").repartition("mh").sortWithinPartitions("mh", "content")
+        settled.append(cut(arrow_map(ready, _match(window), schema)))
+        used += [contents, sizes, large]
+        if open_ is None:
+            break
+        parts = cut(arrow_map(open_.select("mh", "content", "weight", "words"), _deal(window, gram, level + 1), "mh bigint, content bigint, weight bigint, words array<bigint>, of_mh bigint, of_content bigint, offset bigint"))
+        dealt.append(parts)
+        contents = cut(parts.groupBy("mh", "content").agg(F.sum("weight").alias("weight"), F.any_value("words").alias("words")))
+    marks = settled[-1]
+    for level in range(len(dealt) - 1, -1, -1):  # what parts have, the contents they come from have
+        parts = dealt[level].select("mh", "content", "weight", "of_mh", "of_content", "offset")
+        ours = marks.select("mh", "content", "mask", F.col("weight").alias("places"))
+        back = join_of_keys(parts, ours, ["mh", "content"], "places").groupBy("of_mh", "of_content").agg(F.max("weight").alias("weight"), F.bit_or(F.expr("shiftleft(mask, cast(offset as int))")).alias("mask"))
+        marks = cut(settled[level].unionByName(back.select(F.col("of_mh").alias("mh"), F.col("of_content").alias("content"), "weight", "mask")))
+    discard(*used, *dealt)
+    return marks
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs with what tells them apart: equal rows get equal spans."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text_col).alias("th"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(*row_key(id_col, text_col), named(id_col).alias("doc_id"), named(text_col).alias("text"))
 
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """did, th and marks (array of (first word, mask of the windows from there that are
+    """k1, k2 and marks (array of (first word, mask of the windows from there that are
     repeated)) of the documents that have repeated windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +240,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
                 of = pa.array(row + piece.first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(of), batch.column(1).take(of), pa.array(mh.view(np.int64)), pa.array(content.view(np.int64)), pa.array((first - piece.row_words[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    ["did", "th", "mh", "content", "first", "windows"],
+                    ["k1", "k2", "mh", "content", "first", "windows"],
                 )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,28 +273,19 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
 
     # most stretches are alone with their minimizer: only the others are written down
     shared = cut(arrow_map(keyed.select("text"), minimizers, "mh bigint, often bigint").groupBy("mh").agg(F.sum("often").alias("often")).where("often > 1").select("mh"))
-    found = arrow_map(keyed.select("did", "th", "text"), find, "did bigint, th int, mh bigint, content bigint, first int, windows int")
+    found = arrow_map(keyed.select("k1", "k2", "text"), find, "k1 bigint, k2 bigint, mh bigint, content bigint, first int, windows int")
     places = cut(found.join(shared, "mh", "left_semi"))
-    contents = cut(
-        places.groupBy("mh", "content").agg(F.count("*").alias("weight"), F.min(F.struct("did", "th", "first", "windows")).alias("at"))
-    )
-    several = contents.groupBy("mh").agg(F.count("*").alias("n")).where("n > 1").select("mh")
-    shards = contents.join(several, "mh").select("mh", "content", "weight", "at.*")
-    wanted = shards.groupBy("did", "th").agg(F.collect_list(F.struct("mh", "content", "weight", "first", "windows")).alias("wanted"))
-    # left joins, here and for the result, keep one exchange of the texts in use for both
-    fetched = arrow_map(keyed.select("did", "th", "text").join(wanted, ["did", "th"], "left").select("text", "wanted"), fetch, "mh bigint, content bigint, weight bigint, words array<bigint>")
-    matched = cut(
-        arrow_map(fetched.repartition("mh").sortWithinPartitions("mh", "content"), _match(window, limit), "mh bigint, content bigint, mask bigint, weight bigint, offset int, h1 bigint, h2 bigint")
-    )
-    one = F.expr("shiftleft(1L, offset)")
-    windows = matched.where("mask is null")
-    common = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
-    by_sum = windows.join(common, ["h1", "h2"]).groupBy("mh", "content").agg(F.bit_or(one).alias("mask"))
-    # a content that occurs twice is repeated as a whole
-    alone = contents.where("weight > 1").select("mh", "content", F.expr("shiftleft(1L, at.windows) - 1").alias("mask"))
-    marks = matched.where("mask <> 0").select("mh", "content", "mask").unionByName(by_sum).unionByName(alone)
-    marks = cut(marks.groupBy("mh", "content").agg(F.bit_or("mask").alias("mask")))
-    return places.join(marks, ["mh", "content"]).groupBy("did", "th").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    discard(shared)
+    heads = cut(places.groupBy("mh", "content").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "first", "windows")).alias("at")))
+    wanted = heads.select("mh", "content", "weight", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("mh", "content", "weight", "first", "windows")).alias("wanted"))
+    texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"], "left").select("text", "wanted")
+    # rows equal in id and text give the same contents
+    contents = cut(arrow_map(texts, fetch, "mh bigint, content bigint, weight bigint, words array<bigint>").dropDuplicates(["mh", "content"]))
+    discard(heads)
+    marks = _marks(contents, window, gram, limit)
+    spans = cut(join_of_keys(places, marks, ["mh", "content"], "weight").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
+    discard(places, marks)
+    return spans
 
 
 def covered(marks: list[dict], n: int, window: int) -> np.ndarray:
@@ -291,8 +328,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string())][: 5 if keep_text else 4], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 5 if keep_text else 4])
 
-    joined = keyed.join(spans, ["did", "th"], "left").select("doc_id", "text", "marks")
-    kind = docs.schema[id_col].dataType.simpleString()
+    joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "marks")
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     return arrow_map(joined, cleanse, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text)
 
 
