@@ -8,10 +8,10 @@ whose minimizer occurs nowhere else is left out there and then.  Stretches of eq
 content are summed; each shard's suffix automaton is built of its contents, they are
 streamed through it, and the matching statistics tell which windows occur more than once.
 
-A shard of over `limit` contents is dealt again before it reaches a task: by the second
-least hash in its windows, then the third and so on.  Equal windows agree in all of them, so no
-repeat is lost; after the last one a shard holds one window's repeats only (up to `window - gram + 1`
-contents, of periodic text), so shards always end within reach of one automaton.
+A shard of over `limit` contents is dealt again before it reaches a task, window by window:
+by the first `gram` words of each, and where that is still too many by the last `gram` as well.
+Equal windows agree in both, so no repeat is lost; and as the two cover a window, a shard
+then holds a single content.
 
 Shards are dealt by minimizer rather than broadcast: the repeated passages of a
 corpus grow with it, and broadcasting them in bounded parts would stream all
@@ -38,7 +38,7 @@ from tidemark.llm.kernels import Piece, gram_hashes, mix64, pieces
 
 WINDOW, GRAM = 35, 18
 #: Contents of a shard whose automaton is built in one task at most.
-LIMIT = 256
+LIMIT = 512
 _NONE = ~np.uint64(0)
 
 
@@ -166,59 +166,62 @@ def _match(window: int):
     return match
 
 
-def _deal(window: int, gram: int, level: int):
-    """Stretches of contents by the hash that comes level places after the least of each window."""
+def _deal(window: int, gram: int, end: bool):
+    """The windows of contents, each a content of its own, by their first or last words."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mh", "content", "weight", "words", "of_mh", "of_content", "offset"]
         for batch in batches:
-            mh, of, weight = (batch.column(k).to_numpy().view(np.uint64) for k in ("mh", "content", "weight"))
-            rows = []
-            for i, own in enumerate(batch.column("words").to_pylist()):
-                words = np.array(own, dtype=np.int64).view(np.uint64)
-                grams, _ = gram_hashes(words, np.array([0, len(words)]), gram)
-                owner = np.argsort(np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1), axis=1, kind="stable")[:, level]
-                owner = owner + np.arange(len(owner))
-                begin = boundaries([owner])
-                for first, last in zip(begin.tolist(), [*begin[1:].tolist(), len(owner)], strict=True):
-                    part = words[first : last + window - 1]
-                    key = mix64(mh[i : i + 1] ^ mix64(grams[owner[first : first + 1]] + np.uint64(level)))
-                    content = _sequence_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))
-                    rows.append((key.view(np.int64)[0], content.view(np.int64)[0], weight.view(np.int64)[i], part.view(np.int64), mh.view(np.int64)[i], of.view(np.int64)[i], first))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == "words" else pa.int64()) for k, c in zip(names, columns, strict=True)], names)
+            column = batch.column("words")
+            words, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().astype(np.int64)
+            hashes, where = gram_hashes(words, at, gram)
+            grams = np.zeros(len(words), np.uint64)
+            grams[where] = hashes
+            count = np.diff(at) - window + 1
+            row = np.repeat(np.arange(batch.num_rows), count)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            first = at[row] + offset
+            mh, of, weight = (batch.column(k).to_numpy()[row] for k in ("mh", "content", "weight"))
+            key = mix64(mh.view(np.uint64) ^ mix64(grams[first + (window - gram if end else 0)] + np.uint64(1 + end)))
+            content = _sequence_hashes(words, first, first + window)
+            spread = words[(first[:, None] + np.arange(window)[None, :]).reshape(-1)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * window), pa.array(spread))
+            columns = [key.view(np.int64), content.view(np.int64), weight, lists, mh, of, offset.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mh", "content", "weight", "words", "of_mh", "of_content", "offset"])
 
     return deal
 
 
+def _sized(contents: DataFrame) -> DataFrame:
+    """contents with often, the number of those in their shard."""
+    sizes = cut(contents.groupBy("mh").agg(F.count("*").alias("often")))
+    sized = cut(join_of_keys(contents, sizes, ["mh"], "often"))
+    discard(sizes)
+    return sized
+
+
 def _marks(contents: DataFrame, window: int, gram: int, limit: int) -> DataFrame:
-    """mh, content, weight and mask of the contents (mh, content, weight, words; distinct) that
-    have repeated windows."""
-    schema = "mh bigint, content bigint, weight bigint, mask bigint"
+    """mh, content, weight and mask of the contents (mh, content, weight, often, words;
+    distinct) that have repeated windows."""
     settled, dealt, used = [], [], []
-    last = window - gram
-    for level in range(last + 1):
-        sizes = cut(contents.groupBy("mh").agg(F.count("*").alias("often")))
-        large = cut(sizes.where(F.col("often") > (limit if level < last else 1 << 62)))
-        small, open_ = contents, None
-        if not is_empty(large):
-            sized = cut(join_of_keys(contents, sizes, ["mh"], "often"))
-            used.append(sized)
-            small, open_ = sized.where(F.col("often") <= limit), sized.where(F.col("often") > limit)
-        ready = small.select("mh", "content", "weight", "words").repartition("mh").sortWithinPartitions("mh", "content")
-        settled.append(cut(arrow_map(ready, _match(window), schema)))
-        used += [contents, sizes, large]
-        if open_ is None:
+    for level in range(3):
+        large = F.col("often") > limit if level < 2 else F.lit(False)
+        ready = contents.where(~large).select("mh", "content", "weight", "words").repartition("mh").sortWithinPartitions("mh", "content")
+        settled.append(cut(arrow_map(ready, _match(window), "mh bigint, content bigint, weight bigint, mask bigint")))
+        open_ = contents.where(large)
+        if level == 2 or is_empty(open_):
             break
-        parts = cut(arrow_map(open_.select("mh", "content", "weight", "words"), _deal(window, gram, level + 1), "mh bigint, content bigint, weight bigint, words array<bigint>, of_mh bigint, of_content bigint, offset bigint"))
-        dealt.append(parts)
-        contents = cut(parts.groupBy("mh", "content").agg(F.sum("weight").alias("weight"), F.any_value("words").alias("words")))
+        schema = "mh bigint, content bigint, weight bigint, words array<bigint>, of_mh bigint, of_content bigint, offset int"
+        dealt.append(cut(arrow_map(open_.select("mh", "content", "weight", "words"), _deal(window, gram, level == 1), schema)))
+        contents = cut(dealt[-1].groupBy("mh", "content").agg(F.sum("weight").alias("weight"), F.any_value("words").alias("words")))
+        used.append(contents)
+        if level == 0:
+            contents = _sized(contents)
+            used.append(contents)
     marks = settled[-1]
-    for level in range(len(dealt) - 1, -1, -1):  # what parts have, the contents they come from have
-        parts = dealt[level].select("mh", "content", "weight", "of_mh", "of_content", "offset")
-        ours = marks.select("mh", "content", "mask", F.col("weight").alias("places"))
-        back = join_of_keys(parts, ours, ["mh", "content"], "places").groupBy("of_mh", "of_content").agg(F.max("weight").alias("weight"), F.bit_or(F.expr("shiftleft(mask, cast(offset as int))")).alias("mask"))
-        marks = cut(settled[level].unionByName(back.select(F.col("of_mh").alias("mh"), F.col("of_content").alias("content"), "weight", "mask")))
+    for level in range(len(dealt) - 1, -1, -1):  # what windows have, the contents they come from have
+        parts = dealt[level].select("mh", "content", F.col("weight").alias("of_weight"), "of_mh", "of_content", "offset")
+        found = join_of_keys(parts, marks, ["mh", "content"], "weight").groupBy("of_mh", "of_content").agg(F.max("of_weight").alias("weight"), F.bit_or(F.expr("shiftleft(mask, offset)")).alias("mask"))
+        marks = cut(settled[level].unionByName(found.withColumnsRenamed({"of_mh": "mh", "of_content": "content"})))
     discard(*used, *dealt)
     return marks
 
@@ -257,12 +260,10 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
                 own = [(x, piece.row_words[r]) for r in range(piece.rows) for x in lists[piece.first + r]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["mh"] for x, _ in own], pa.int64()),
-                        pa.array([x["content"] for x, _ in own], pa.int64()),
-                        pa.array([x["weight"] for x, _ in own], pa.int64()),
+                        *(pa.array([x[k] for x, _ in own], pa.int64()) for k in ("mh", "content", "weight", "often")),
                         pa.array([words[b + x["first"] : b + x["first"] + x["windows"] + window - 1] for x, b in own], pa.list_(pa.int64())),
                     ],
-                    ["mh", "content", "weight", "words"],
+                    ["mh", "content", "weight", "often", "words"],
                 )
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +278,15 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, lim
     places = cut(found.join(shared, "mh", "left_semi"))
     discard(shared)
     heads = cut(places.groupBy("mh", "content").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "first", "windows")).alias("at")))
-    wanted = heads.select("mh", "content", "weight", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("mh", "content", "weight", "first", "windows")).alias("wanted"))
+    sized = _sized(heads)
+    discard(heads)
+    wanted = sized.select("mh", "content", "weight", "often", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("mh", "content", "weight", "often", "first", "windows")).alias("wanted"))
     texts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"], "left").select("text", "wanted")
     # rows equal in id and text give the same contents
-    contents = cut(arrow_map(texts, fetch, "mh bigint, content bigint, weight bigint, words array<bigint>").dropDuplicates(["mh", "content"]))
-    discard(heads)
+    contents = cut(arrow_map(texts, fetch, "mh bigint, content bigint, weight bigint, often bigint, words array<bigint>").dropDuplicates(["mh", "content"]))
+    discard(sized)
     marks = _marks(contents, window, gram, limit)
+    discard(contents)
     spans = cut(join_of_keys(places, marks, ["mh", "content"], "weight").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
     discard(places, marks)
     return spans
