@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -303,14 +304,55 @@ def test_bpe_query(spark, reference_bpe):
 # --- 5: mixing
 
 
-def test_targets_and_flow():
-    assert mixing.source_targets({"a": 10, "b": 100, None: 100}, (3, 1, 2), 1.5, 2) == {"a": 20.0, "b": pytest.approx(295 / 3), None: pytest.approx(590 / 3)}
+def plain_targets(sizes, weights, share, cap):
+    """The contract's words, step by step."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
+    rest, targets, left = share * sum(sizes.values()), {}, list(names)
+    while left:
+        total = sum(weight[s] for s in left)
+        over = [s for s in left if rest * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return targets | {s: rest * weight[s] / total for s in left}
+        for s in over:
+            targets[s] = float(cap * sizes[s])
+        rest -= sum(targets[s] for s in over)
+        left = [s for s in left if s not in targets]
+    return targets
+
+
+def targets_of(spark, sizes):
+    found = spark.createDataFrame([(str(s), s, n) for s, n in sizes.items()], "key string, name string, size long")
+    return {r.name: r.target for r in mixing.source_targets(found, (3, 1, 2), 1.5, 2).collect()}
+
+
+def test_targets_and_flow(spark):
+    assert targets_of(spark, {"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": pytest.approx(295 / 3), None: pytest.approx(590 / 3)}
+    rng = random.Random(2)
+    many = {f"{chr(rng.choice([97, 0xE9, 0x4E2D, 0x1F4A3]))}{i}": rng.choice([0, 1, 10, 1000]) for i in range(300)}
+    assert targets_of(spark, many) == pytest.approx(plain_targets(many, (3, 1, 2), 1.5, 2))
     given = mixing.min_cost_flow({"a": (("A",), 100), "b": (("B",), 100), "ab": (("A", "B"), 100)}, {"A": 150, "B": 100}, 2)
     # repeating nothing is cheapest: the shared pattern fills up what A alone can't give once
-    assert dict(given) == {"a": 100, "b": 100, "ab": 50}
+    assert given == {"a": 100, "b": 100, "ab": 50}
     assert sum(mixing.min_cost_flow({"a": (("A",), 10)}, {"A": 99}, 2).values()) == 20
 
 
+def test_flow_is_of_least_cost():
+    """Against all ways to give small whole numbers of words."""
+    rng = random.Random(4)
+    for _ in range(40):
+        names = "ABC"[: rng.randint(1, 3)]
+        patterns = {str(k): (tuple(rng.sample(names, rng.randint(1, len(names)))), rng.randint(0, 3)) for k in range(rng.randint(1, 3))}
+        quotas = {s: rng.randint(0, 5) for s in names}
+
+        def routable(give):
+            return all(sum(g for k, g in give.items() if set(patterns[k][0]) <= set(some)) <= sum(quotas[s] for s in some) for n in range(len(names) + 1) for some in itertools.combinations(names, n))
+
+        ways = [dict(zip(patterns, g, strict=True)) for g in itertools.product(*(range(2 * w + 1) for _, w in patterns.values()))]
+        cost = lambda give: (-sum(give.values()), sum(max(0, g - patterns[k][1]) for k, g in give.items()))
+        assert cost(mixing.min_cost_flow(patterns, quotas, 2)) == min(cost(g) for g in ways if routable(g))
+
+
 @pytest.mark.parametrize("whole", [False, True])
 def test_mixing(spark, whole):
     from pyspark.sql import functions as F
@@ -322,11 +364,12 @@ def test_mixing(spark, whole):
     assert ordered(got) == ordered(mixing.mix(docs, whole=whole)[0].collect())  # reruns agree
     sizes, taken = Counter(), Counter()
     for r in got:
+        assert r.target is not None
         sizes[r.sources[0]] += r.size
         taken[r.sources[0]] += r.taken
         assert 0 <= r.taken <= 2 * r.size and (not whole or r.size == 0 or r.taken % r.size == 0)
     assert len(got) == len(rows)
-    targets = mixing.source_targets({s: n for s, n in sizes.items()}, (3, 1, 2), 1.5, 2)
+    targets = plain_targets(sizes, (3, 1, 2), 1.5, 2)
     assert {r.name: (r.source_size, r.target) for r in sources.collect()} == {s: (float(sizes[s]), pytest.approx(targets[s])) for s in sizes}
     for s in sizes:
         slack = max(r.size for r in got if r.sources[0] == s) if whole else 1
