@@ -143,6 +143,13 @@ def test_flac_round_trip(spark):
             flac.decode_streams([bytes(broken)])
 
 
+def test_flac_points_of_long_streams(monkeypatch):
+    monkeypatch.setattr(flac, "BLOCK_POINTS", 18 * 5)
+    payload = flac.pad(np.random.default_rng(2).bytes(192 * 17))
+    stream = flac.encode_streams([payload])[0]
+    assert flac.decode_streams([stream]) == [payload] and flac.seek(stream, 192 * 12 + 3, 400) == payload[192 * 12 + 3 :][:400]
+
+
 def test_flac_reads_escaped_and_far_codes():
     # a partition of plain 9-bit samples, and Rice codes whose zeros fill more than one window
     bits = ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -171,6 +172,24 @@ def test_edit_fingerprints_of_awkward_tables(spark):
     assert fingerprints.edit_fingerprints(frame(spark, corpus())).count() == len(corpus())
 
 
+def test_edit_order_of_repeated_ids(spark, monkeypatch):
+    """Many rows without an id, cut into parts by their hashes: each has one successor, and only
+    the last row of all goes back to the first."""
+    rows = [(None, f"row {k} of many with no id", "en", "s", 0) for k in range(400)] + [(k, f"text {k} here", "en", "s", 0) for k in range(50)]
+    got = fingerprints.edit_fingerprints(frame(spark, rows)).collect()
+    order = [t for _, t, *_ in sorted(rows[400:], key=lambda r: -r[0])] + [r.text for r in spark.createDataFrame([r[:2] for r in rows[:400]], "doc_id long, text string").selectExpr("text", "xxhash64(text) h").orderBy("h").collect()]
+    wanted = Counter(hashlib.sha256(fingerprints.edited(t, following).encode()).hexdigest() for t, following in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter(r.edited_sha256 for r in got) == wanted
+
+
+def test_many_languages_share_the_table(spark, monkeypatch):
+    monkeypatch.setattr(language, "CELLS", 1 << 13)
+    rows = [(i, f"{w} {w}er {w}ing" * 5, f"l{k}", "s", 0) for k, w in enumerate(["alpha", "bravo", "carol", "delta"]) for i in range(k * 10, k * 10 + 10)]
+    model = language.learn(frame(spark, rows))
+    assert model.scores.shape == (2048, 4)
+    assert {(r.doc_id, r.lang_pred) for r in language.identify(frame(spark, rows), model).collect()} == {(i, lang) for i, _, lang, *_ in rows}
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(8)
     a = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(4000))

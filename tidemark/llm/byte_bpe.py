@@ -7,8 +7,9 @@ bounded table.  Where white-space characters meet, the text is not taken apart.
 give bytes, and characters that ids split come together again when joined.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; strings of
-special tokens are ordinary text; texts are taken whole.  Columns of the input
-other than the id and the text are not read.
+special tokens are ordinary text; texts are taken whole; each of repeated rows is encoded;
+an empty table gives an empty result.  Columns of the input other than the id and the text
+are not read.
 """
 
 from __future__ import annotations

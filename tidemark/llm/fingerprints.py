@@ -8,8 +8,9 @@ distinct shingles; under k shingles all of them are exact.
 
 Edge cases: a null or empty text, or one without words, has the empty sketch; two
 empty sketches resemble each other fully, an empty and another one not at all;
-texts are taken whole; equal texts have equal fingerprints; other columns of the
-input are not read.
+texts are taken whole; equal texts have equal fingerprints; rows with equal ids, or none (they
+come last), follow each other by a hash of their texts; of one row alone it is its own
+successor; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map
+from tidemark.llm.common import arrow_map, boundaries, named
 from tidemark.llm.kernels import gram_hashes, pieces
 
 K, SHINGLE, HASH_BITS = 128, 5, 48
@@ -116,55 +117,77 @@ def merge_sketches(parts: DataFrame, key: str, k: int = K, salts: int = 64) -> D
     return salted.groupBy(key, "salt").agg(least).groupBy(key).agg(least)
 
 
-def _order_cuts(docs: DataFrame, n: int) -> list[int]:
-    """Ids that cut the descending order of documents into n parts of about equal size."""
+def _order_cuts(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that cut the descending order of documents into n parts of about equal size, and
+    into how many parts each one's own rows are cut besides (they are many where it repeats)."""
     shares = [i / n for i in range(1, n)]
-    if not shares:
-        return []
-    found = docs.select(F.percentile_approx("order_id", shares, 10 * max(n, 100)).alias("cuts")).first()[0]
-    return sorted(set(found or []))
+    found = docs.select(F.percentile_approx("order_id", shares, 10 * max(n, 100)).alias("cuts")).first()[0] if shares else None
+    ids, often = np.unique(np.array(found or [], dtype=np.int64), return_counts=True)
+    return ids, often - 1
+
+
+class _Parts:
+    """Which part of the order (id descending, hash of the text ascending) a row is in."""
+
+    def __init__(self, ids: np.ndarray, more: np.ndarray):
+        self.ids, self.more = ids, more
+        self.after = np.append(np.cumsum((1 + more)[::-1])[::-1], 0)  # parts that begin at this id or a larger one
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids, side="left")
+        part = self.after[at]
+        own = at < len(self.ids)
+        own[own] = self.ids[at[own]] == ids[own]
+        many = self.more[at[own]]
+        # equal ids: their hashes' range in equal parts
+        share = (hashes[own].astype(np.float64) + 2.0**63) / 2.0**64
+        part[own] += np.minimum((share * (many + 1)).astype(np.int64), many) - many
+        return part
+
+
+#: Parts of the order for each partition: parts are dealt by a hash, so several even out.
+PARTS_EACH = 8
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """Rows part, ahead, doc_id, text: each document in its part of the descending order of
     ids, and the first one of the next part once more, as ahead, behind the last.
 
-    A part has a bounded share of the ids; the first document of all follows the last.
-    Only the cuts and one id for each part reach the driver.
+    A part has a bounded share of the rows, whatever ids repeat; the first document of all
+    follows the last.  Only the cuts and the head of each part reach the driver.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("order_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    cuts = np.array(_order_cuts(base, parts), dtype=np.int64)
-    n = len(cuts) + 1
-
-    def part_of(ids: np.ndarray) -> np.ndarray:
-        return n - 1 - np.searchsorted(cuts, ids, side="left")  # the largest ids come first
+    base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    base = base.withColumns({"order_id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    dealing = _Parts(*_order_cuts(base, PARTS_EACH * parts))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            part = part_of(ids)
-            for p in np.unique(part):
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([int(ids[part == p].max())])], ["part", "head"])
-
-    found = arrow_map(base.select("order_id"), heads, "part int, head bigint").groupBy("part").agg(F.max("head").alias("head"))
-    head = sorted((r.part, r.head) for r in found.collect())  # one row for each part
-    before = {h: head[i - 1][0] for i, (_, h) in enumerate(head)}  # the part that looks ahead to it; the last, for the first
-    head_ids = np.array(sorted(before), dtype=np.int64)
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part = dealing.of(ids, hashes)
+            order = np.lexsort((hashes, -ids, part))  # -NO_ID is NO_ID: no other id is that small
+            order = order[boundaries([part[order]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (part, ids, hashes)], ["part", "id", "th"])
+
+    least = F.max_by(F.struct("id", "th"), F.struct("id", -F.col("th").cast("decimal(20,0)")))
+    found = arrow_map(base.select("order_id", "th"), heads, "part bigint, id bigint, th bigint").groupBy("part").agg(least.alias("head"))
+    head = sorted((r.part, r.head.id, r.head.th) for r in found.collect())  # one row for each part
+    before = {h: head[i - 1][0] for i, (_, *h) in enumerate(head) for h in [tuple(h)]}  # the part that looks ahead to it; the last, for the first
+    head_ids = np.unique(np.array([i for i, _ in before], dtype=np.int64))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2).to_numpy()
-            part, ahead = part_of(ids), np.zeros(len(ids), dtype=bool)
-            twice = np.flatnonzero(np.isin(ids, head_ids))
-            rows = np.concatenate([np.arange(len(ids)), twice])
-            part = np.concatenate([part, [before[i] for i in ids[twice].tolist()]]).astype(np.int32)
+            ids, hashes = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            part, ahead = dealing.of(ids, hashes), np.zeros(len(ids), dtype=bool)
+            some = np.flatnonzero(np.isin(ids, head_ids))
+            first = {(ids[i], hashes[i]): i for i in some[::-1].tolist()}  # of equal rows one is enough
+            twice = [(i, before[h]) for h, i in first.items() if h in before]
+            part = np.concatenate([part, np.array([p for _, p in twice], dtype=np.int64)])
             ahead = np.concatenate([ahead, np.ones(len(twice), dtype=bool)])
-            own = batch.take(pa.array(rows)) if len(twice) else batch
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ahead), own.column(0), own.column(1), own.column(2)], ["part", "ahead", "doc_id", "text", "order_id"])
+            own = batch.take(pa.array(np.concatenate([np.arange(len(ids)), np.array([i for i, _ in twice], dtype=np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ahead), *own.columns], ["part", "ahead", "doc_id", "text", "order_id", "th"])
 
-    placed = arrow_map(base, place, "part int, ahead boolean, doc_id bigint, text string, order_id bigint")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc("order_id"), "text")
+    placed = arrow_map(base, place, "part bigint, ahead boolean, doc_id bigint, text string, order_id bigint, th bigint")
+    return placed.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc("order_id"), "th", "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -222,6 +222,19 @@ def encode_frames(payload: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
     return out[:total], lengths
 
 
+#: Bytes of seek points in one metadata block: its length has 24 bits.
+BLOCK_POINTS = 18 * 900_000
+#: Marks the application blocks that hold the points after the first block's.
+_MORE = b"pnts"
+
+
+def _point_blocks(points: bytes) -> bytes:
+    """The seek table, and application blocks for the points that are too many for it."""
+    parts = [points[a : a + BLOCK_POINTS] for a in range(0, len(points), BLOCK_POINTS)]
+    bodies = [(3, parts[0]), *((2, _MORE + p) for p in parts[1:])]
+    return b"".join(bytes([kind | 0x80 * (i == len(bodies) - 1)]) + len(body).to_bytes(3, "big") + body for i, (kind, body) in enumerate(bodies))
+
+
 def encode_streams(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream, with a seek point for each frame, of each payload."""
     counts = np.array([len(p) // BLOCK for p in payloads])
@@ -239,8 +252,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         samples = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
         packed = (SAMPLE_RATE << 44) | (0 << 41) | (7 << 36) | len(payload)
         info = struct.pack(">HH", BLOCK, BLOCK) + int(mine.min()).to_bytes(3, "big") + int(mine.max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5(samples).digest()
-        table = points.tobytes()
-        streams.append(b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + raw[begin : begin + int(mine.sum())])
+        streams.append(b"fLaC" + b"\x00\x00\x00\x22" + info + _point_blocks(points.tobytes()) + raw[begin : begin + int(mine.sum())])
         first += count
     return streams
 
@@ -400,13 +412,19 @@ class Stream(NamedTuple):
 
 
 def read_head(stream: bytes) -> Stream:
-    """STREAMINFO and the seek table, which has a point for each frame."""
-    if stream[:4] != b"fLaC" or stream[4:8] != b"\x00\x00\x00\x22" or stream[42:43] != b"\x83":
+    """STREAMINFO and the seek points, one for each frame."""
+    if stream[:4] != b"fLaC" or stream[4:8] != b"\x00\x00\x00\x22" or stream[42:43] not in (b"\x83", b"\x03"):
         raise ValueError("not a FLAC stream with a seek table")
     packed = int.from_bytes(stream[18:26], "big")
-    size = int.from_bytes(stream[43:46], "big")
-    points = np.frombuffer(stream[_HEAD : _HEAD + size], dtype=[("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
-    offsets = points["offset"].astype(np.int64) + _HEAD + size
+    at, last, parts = 42, False, []
+    while not last:
+        kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
+        parts.append(stream[at + 4 + len(_MORE) * (kind & 0x7F == 2) : at + 4 + size])
+        at, last = at + 4 + size, kind >= 0x80
+        if at > len(stream):
+            raise ValueError("the seek table doesn't fit the stream")
+    points = np.frombuffer(b"".join(parts), dtype=[("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+    offsets = points["offset"].astype(np.int64) + at
     lengths = np.diff(np.append(offsets, len(stream)))
     if len(points) * BLOCK != packed & ((1 << 36) - 1) or (lengths < 9).any():
         raise ValueError("the seek table doesn't fit the stream")
@@ -474,7 +492,16 @@ def flac_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(docs.select(id_col, text_col), encode, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def flac_blocks(media: DataFrame, block_samples: int = 24 * BLOCK) -> DataFrame:
+#: Samples of a PCM block.
+PCM_SAMPLES = 24 * BLOCK
+
+
+def pcm_blocks(payload: bytes, block_samples: int = PCM_SAMPLES) -> list[tuple[int, bytes]]:
+    """Sample offset and samples of each block of a decoded stream."""
+    return [(at, payload[at : at + block_samples]) for at in range(0, len(payload), block_samples)]
+
+
+def flac_blocks(media: DataFrame, block_samples: int = PCM_SAMPLES) -> DataFrame:
     """PCM blocks of decoded streams: doc_id, sample_offset, n_samples, pcm; a block can be
     found by its offset, and blocks of one stream joined in offset order are its payload."""
 
@@ -482,7 +509,7 @@ def flac_blocks(media: DataFrame, block_samples: int = 24 * BLOCK) -> DataFrame:
         for batch in batches:
             ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _groups([len(s) for s in streams]):
-                rows = [(i, at, p[at : at + block_samples]) for i, p in zip(ids[part], decode_streams(streams[part]), strict=True) for at in range(0, len(p), block_samples)]
+                rows = [(i, at, pcm) for i, p in zip(ids[part], decode_streams(streams[part]), strict=True) for at, pcm in pcm_blocks(p, block_samples)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], batch.column(0).type),
@@ -505,14 +532,17 @@ def feature(payload: bytes) -> str:
 
 
 def flac_features(media: DataFrame) -> DataFrame:
-    """Decode each stream of media (doc_id, n_bytes, media) and describe what was read back."""
+    """Decode each stream of media (doc_id, n_bytes, media) into PCM blocks and describe what was
+    read back; blocks: the blocks' sample offsets, sizes and checksums."""
+    block_type = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("crc32", pa.int64())]))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams = batch.column(2).to_pylist()
             for part in _groups([len(s) for s in streams]):
                 own = streams[part]
-                payloads = decode_streams(own)
+                blocks = [pcm_blocks(p) for p in decode_streams(own)]
+                payloads = [b"".join(pcm for _, pcm in x) for x in blocks]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[part],
@@ -523,12 +553,13 @@ def flac_features(media: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in own], pa.int64()),
                         pa.array([hashlib.sha256(s).hexdigest() for s in own]),
                         pa.array([feature(p) for p in payloads]),
+                        pa.array([[{"sample_offset": at, "n_samples": len(pcm), "crc32": zlib.crc32(pcm)} for at, pcm in x] for x in blocks], block_type),
                     ],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"],
                 )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, blocks array<struct<sample_offset:bigint,n_samples:bigint,crc32:bigint>>"
     return arrow_map(media.select("doc_id", "n_bytes", "media"), describe, schema)
 
 

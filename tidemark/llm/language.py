@@ -7,8 +7,8 @@ no candidates for it.  Viterbi with a penalty for each switch labels every word,
 so mixed texts fall into spans; a text's language is the one with most letters.
 
 The distinct words of a piece of a batch are scored once, and the Viterbi steps of
-all its texts are taken together.  The model is a fixed-size table per language,
-broadcast behind a check of the number of languages.
+all its texts are taken together.  The model is a table of a fixed number of cells that the
+languages share, so what is broadcast has a bound.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is every
 text when there is nothing to learn from; texts are read whole; ties go to the
@@ -25,14 +25,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from tidemark.llm.common import arrow_map
+from tidemark.llm.common import arrow_map, cut, discard, named, shuffles_end
 from tidemark.llm.kernels import Piece, mix64, pieces
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
-#: Languages that a model holds at most: its table has BUCKETS floats for each.
-MAX_LANGUAGES = 256
+#: Cells of a model's table: beyond 256 languages each has fewer buckets.
+CELLS = 1 << 23
 #: Bytes of text whose distinct words are scored together.
 SCORED_BYTES = 2 << 20
 #: Log-likelihood that a change of language between two words costs.
@@ -121,7 +122,7 @@ def distinct_words(piece: Piece) -> Words:
 
 class Model(NamedTuple):
     languages: list[str]
-    scores: np.ndarray  # [BUCKETS, languages] log-likelihoods
+    scores: np.ndarray  # [buckets, languages] log-likelihoods; buckets is a power of two
     allowed: np.ndarray  # [N_SCRIPTS, languages]
 
 
@@ -157,18 +158,20 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> M
         yield from rows()
 
     labelled = train.where(F.col(lang_col).isNotNull()).select(lang_col, text_col)
-    summed = arrow_map(labelled, count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    # a fixed number of counts for each language: their total is bounded by MAX_LANGUAGES
-    table = summed.limit(MAX_LANGUAGES * (BUCKETS + N_SCRIPTS) + 1).toArrow()
-    names = table.column("lang").to_numpy(zero_copy_only=False)
-    languages = sorted(set(names.tolist()), key=lambda s: s.encode("utf-32-be"))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: the model is broadcast, for that many at most")
-    counts = np.zeros((BUCKETS + N_SCRIPTS, len(languages)))
+    summed = cut(arrow_map(labelled, count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
+    with shuffles_end(train.sparkSession):
+        languages = sorted((r.lang for r in summed.select("lang").distinct().collect()), key=lambda s: s.encode("utf-32-be"))
+    size = BUCKETS
+    while size > 1 and size * len(languages) > CELLS:
+        size >>= 1
+    folded = F.when(F.col("feature") < BUCKETS, F.col("feature") % size).otherwise(F.col("feature") - BUCKETS + size).alias("feature")
+    table = summed.groupBy("lang", folded).agg(F.sum("n").alias("n")).toArrow()  # CELLS counts at most, but for scripts
+    discard(summed)
+    counts = np.zeros((size + N_SCRIPTS, len(languages)))
     if languages:
         index = {s: i for i, s in enumerate(languages)}
-        counts[table.column("feature").to_numpy(), np.array([index[s] for s in names])] = table.column("n").to_numpy()
-    grams, scripts = counts[:BUCKETS] + 0.5, counts[BUCKETS:]
+        counts[table.column("feature").to_numpy(), np.array([index[s] for s in table.column("lang").to_pylist()])] = table.column("n").to_numpy()
+    grams, scripts = counts[:size] + 0.5, counts[size:]
     scores = np.log(grams / grams.sum(axis=0)).astype(np.float32)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
     allowed = share >= SCRIPT_SHARE
@@ -180,8 +183,9 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     """[distinct words, languages]; words without a letter say nothing."""
     n, k = len(words.letters), len(model.languages)
     out = np.empty((n, k), dtype=np.float32)
+    buckets = words.buckets & (len(model.scores) - 1)
     for j in range(k):
-        out[:, j] = np.bincount(words.owner, model.scores[words.buckets, j], n)
+        out[:, j] = np.bincount(words.owner, model.scores[buckets, j], n)
     out /= len(SIZES)  # n-grams of several sizes tell the same letters again
     out -= out.max(axis=1, keepdims=True)
     out[~model.allowed[words.script] & (words.letters > 0)[:, None]] -= 1000.0
@@ -195,13 +199,14 @@ def viterbi(scores: np.ndarray, row_words: np.ndarray, penalty: float = SWITCH)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     begin, sizes = row_words[order], sizes[order]
-    labels = np.zeros(len(scores), dtype=np.int16)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    labels = np.zeros(len(scores), dtype=kind)
     if not len(order):
         return labels
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # rows with over t words
     total = scores[begin].copy()
-    came = np.empty(scores.shape, dtype=np.int16)
-    own = np.arange(scores.shape[1], dtype=np.int16)
+    came = np.empty(scores.shape, dtype=kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     for t in range(1, int(sizes[0])):
         d = active[t]
         v = total[:d]
@@ -211,7 +216,7 @@ def viterbi(scores: np.ndarray, row_words: np.ndarray, penalty: float = SWITCH)
         at = begin[:d] + t
         came[at] = np.where(stay, own, best[:, None])
         total[:d] = np.where(stay, v, top[:, None]) + scores[at]
-    label = total.argmax(axis=1).astype(np.int16)
+    label = total.argmax(axis=1).astype(kind)
     for t in range(int(sizes[0]) - 1, -1, -1):
         d = active[t]
         at = begin[:d] + t
@@ -236,9 +241,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     also an array of (lang, first word, words) that covers the words of the text.  Columns
     of docs named in keep come along as keep_<name>."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<lang:string,first_word:int,words:int>>" * spans
-    schema += "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept = [named(c).alias(f"keep_{c}") for c in keep]
+    schema = StructType([*docs.select(named(id_col).alias("doc_id")).schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    if spans:
+        span = StructType([StructField("lang", StringType()), StructField("first_word", IntegerType()), StructField("words", IntegerType())])
+        schema.add("spans", ArrayType(span))
+    schema = StructType([*schema, *docs.select(*kept).schema])
     names_out = ["doc_id", "lang_pred", "score", *["spans"] * spans, *(f"keep_{c}" for c in keep)]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))
 
@@ -270,7 +278,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 columns += [batch.column(2 + i).slice(piece.first, piece.rows) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names_out)
 
-    return arrow_map(docs.select(F.col(id_col), F.col(text_col), *(F.col(c).alias(f"keep_{c}") for c in keep)), label, schema)
+    return arrow_map(docs.select(named(id_col), named(text_col), *kept), label, schema)
 
 
 def held_out(id_col: str = "doc_id"):

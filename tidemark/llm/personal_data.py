@@ -2,7 +2,8 @@
 
 The rules give the base spans.  The network is trained in numpy on windows around
 digits and @ signs whose tags are the base spans (a bounded sample, in hash order of
-the whole corpus' windows), with digits and separators varied.  It decodes all
+the whole corpus' windows), and on the same windows with digits and separators varied and
+some spans in forms that the rules miss.  It decodes all
 windows that hold a digit or an @ sign: a span of any of the four kinds holds one,
 so no other window can give a span.  Windows overlap by half; their scores are
 averaged, the middle of a window counting most, and one Viterbi pass over each
@@ -11,8 +12,8 @@ none, if it is well-formed for its kind (as when a rule's match ran on into othe
 digits and was dropped); base spans stay.
 
 Edge cases: a null or empty text has no spans; texts are read whole; without a
-base span in the corpus nothing is trained or added; positions are code points;
-other columns of the input are not read.
+base span in the corpus nothing is trained or added; positions are code points; each of repeated
+rows has its spans; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bilstm_crf as nn
-from tidemark.llm.common import arrow_map
+from tidemark.llm.common import arrow_map, named
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -139,46 +141,79 @@ def _barred() -> np.ndarray:
     return barred
 
 
-def _varied(text: str, tags: np.ndarray, rng: np.random.Generator) -> str:
-    """The window with other digits, and now and then another separator inside a span."""
-    out = list(text)
+def _varied(text: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """The window with other digits and, now and then, in a form that the rules miss: a phone
+    number without its + and country code, a card number with dots."""
+    out, tags = list(text), tags.copy()
     swap = {" ": "-", "-": " "} if rng.random() < 0.3 else {}
+    bare, dotted = rng.random() < 0.3, rng.random() < 0.3
     for i, c in enumerate(out):
         if "0" <= c <= "9":
             out[i] = str(rng.integers(0, 10))
+        elif dotted and tags[i] == 6 and c in " -":
+            out[i] = "."
         elif tags[i] in (6, 8):
             out[i] = swap.get(c, c)
-    return "".join(out)
+        elif bare and tags[i] == 7 and c == "+":
+            at = text.find("(", i, i + 6)
+            if at > 0:
+                out[i:at] = " " * (at - i)
+                tags[i:at], tags[at] = 0, 7
+    return "".join(out), tags
+
+
+#: Parts in which the least windows are sought before one task sees what they left.
+SAMPLE_PARTS = 32
 
 
 def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> nn.Network | None:
     """Fit on at most TRAIN_WINDOWS windows of the corpus: those first in hash order, two
-    thirds of them with a base span.  None if no window has one."""
+    thirds of them with a base span.  None if no window has one.
+
+    One pass: each task keeps its own first windows, SAMPLE_PARTS tasks those of all, and
+    the last one gets theirs."""
+    most = {True: TRAIN_WINDOWS * 2 // 3, False: TRAIN_WINDOWS // 3}
+    fields = [("some", pa.bool_()), ("h", pa.int64()), ("window", pa.string()), ("tags", pa.binary())]
+
+    def first(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """The first rows (some, hash, window, tags) of either kind; a bounded number."""
+        held: dict[bool, list[tuple]] = {True: [], False: []}
+        for row in rows:
+            own = held[row[0]]
+            own.append(row)
+            if len(own) >= 4 * most[row[0]]:
+                held[row[0]] = sorted(own)[: most[row[0]]]
+        found = [r for kind, own in held.items() for r in sorted(own)[: most[kind]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)] if found else [pa.array([], t) for _, t in fields], [k for k, _ in fields])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                for start in window_starts(text):
-                    own = text[start : start + WINDOW].ljust(WINDOW)
-                    tags = tag_row(WINDOW, spans, start)
-                    rows.append((own, tags.astype(np.int8).tobytes(), bool(tags.any())))
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.bool_()), strict=True)], ["window", "tags", "some"])
-
-    able = docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col)
-    found = arrow_map(able, windows, "window string, tags binary, some boolean")
-    order = [F.xxhash64("window"), "window", "tags"]
-    sample = found.where("some").orderBy(*order).limit(TRAIN_WINDOWS * 2 // 3).unionAll(found.where("not some").orderBy(*order).limit(TRAIN_WINDOWS // 3)).collect()
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    spans = base_spans(text)
+                    for start in window_starts(text):
+                        own = text[start : start + WINDOW].ljust(WINDOW)
+                        tags = tag_row(WINDOW, spans, start)
+                        yield bool(tags.any()), xxhash.xxh64_intdigest(own, SEED) >> 1, own, tags.astype(np.int8).tobytes()
+
+        yield from first(rows())
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from first(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    schema = "some boolean, h bigint, window string, tags binary"
+    able = docs.where(named(text_col).rlike("[0-9@]")).select(named(text_col))
+    found = arrow_map(arrow_map(able, windows, schema).repartition(SAMPLE_PARTS, "h"), again, schema)
+    sample = arrow_map(found.repartition(1), again, schema).orderBy(F.desc("some"), "h", "window", "tags").collect()  # TRAIN_WINDOWS rows
     if not any(r.some for r in sample):
         return None
     rng = np.random.default_rng(SEED)
     tags = np.array([np.frombuffer(r.tags, dtype=np.int8) for r in sample]).astype(np.int64)
     # each window as it is and varied
-    chars = np.array([nn.char_classes(r.window) for r in sample] + [nn.char_classes(_varied(r.window, t, rng)) for r, t in zip(sample, tags, strict=True)])
+    varied = [_varied(r.window, t, rng) for r, t in zip(sample, tags, strict=True)]
+    chars = np.array([nn.char_classes(r.window) for r in sample] + [nn.char_classes(w) for w, _ in varied])
     net = nn.new_network(TAGS, _barred(), SEED)
-    return nn.train(net, chars, np.concatenate([tags, tags]), TRAIN_STEPS, TRAIN_BATCH, TRAIN_RATE, SEED)
+    return nn.train(net, chars, np.concatenate([tags, [t for _, t in varied]]), TRAIN_STEPS, TRAIN_BATCH, TRAIN_RATE, SEED)
 
 
 _CENTRE = np.minimum(np.arange(WINDOW) + 1, np.arange(WINDOW, 0, -1)).astype(np.float32)

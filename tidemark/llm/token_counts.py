@@ -6,8 +6,10 @@ joins it, and the count is the initial symbols minus the merges; no identifiers
 are made.  Counts per chunk are kept in a bounded table, as chunks repeat.
 
 Edge cases: a null or empty text has no bytes and no tokens; a special string in
-a text counts one token, the library's default; texts are taken whole.  Columns
-of the input other than the id and the text are not read.
+a text counts one token, the library's default; texts are taken whole; each of repeated rows
+is counted; an empty table gives an empty result.  Columns of the input other than the id and
+the text are not read.  Chunks with characters newer than Python's Unicode tables are counted by
+the library itself.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tidemark.llm.common import arrow_map
 
 #: Entries of each of the two tables of counts that a Python worker keeps.
 CACHE_ENTRIES = 250_000
+#: Characters of the longest chunk or word that is kept there.
+CACHE_CHARS = 64
 #: Vocabulary files over this size are not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -49,6 +53,8 @@ class _Table(dict):
         self.make, self.entries = make, entries
 
     def __missing__(self, key):
+        if len(key) > CACHE_CHARS:
+            return self.make(key)
         if len(self) >= self.entries:
             self.clear()
         value = self[key] = self.make(key)
