@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import date, datetime
 
 import pytest
@@ -26,7 +27,11 @@ def test_financial_content(spark, t, strict, compat):
 def test_text_helpers(spark):
     assert one(spark, text.strip_html(F.lit("<p>a &amp; b<script>x</p></script><!-- c --></p>"))) == "a & b"
     assert one(spark, text.strip_code_fence(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
-    assert one(spark, text.normalize_company(F.lit("Acme Holdings, Inc."))) == "acme"
+    assert one(spark, text.normalize_company(F.lit("Acme Holdings Inc."))) == "acme holdings"
+    for name, wanted in (("Reddit, Inc.", "reddit"), ("Reddit", "reddit"), ("삼성전자", "삼성전자"), ("Group 1 Automotive", "group 1 automotive"), ("Blackstone L.P.", "blackstone"), ("A & B  Co", "a b"), ("Nestlé Group Limited", "nestlé"), ("Nestlé Limited Group", "nestlé limited")):
+        assert one(spark, text.normalize_company(F.lit(name))) == wanted, name
+    assert one(spark, text.content_hash(F.lit("ab"), F.lit("c"))) == hashlib.sha256(b"abc").hexdigest()
+    assert one(spark, text.speaks_of_event(F.lit("They UNVEILED it"))) is True
     assert one(spark, text.domain(F.lit("https://WWW.Example.com/a?b"))) == "example.com"
     assert one(spark, text.truncate_words(F.lit("one two three"), 8)) == "one two"
     assert one(spark, text.truncate_words(F.lit("onetwothree"), 5)) == "onetw"
@@ -41,6 +46,9 @@ def test_dates(spark):
     assert one(spark, dates.normalize_date(F.lit("Q2 2026"), date(2026, 1, 1))) == date(2026, 4, 1)
     assert one(spark, dates.normalize_date(F.lit("March 3"), date(2026, 5, 1))) == date(2027, 3, 3)
     assert one(spark, dates.normalize_date(F.lit("soon"), date(2026, 5, 1))) is None
+    for raw in ("January 15th, 2026", "January 15,2026", "Jan 15th 2026", "15 January 2026", "1/15/2026", "January 15", "tomorrow", "in 1 day"):
+        assert one(spark, dates.normalize_date(F.lit(raw), date(2026, 1, 14))) == date(2026, 1, 15), raw
+    assert one(spark, dates.normalize_date(F.lit("Q4-2026"), date(2026, 1, 1))) == date(2026, 10, 1)
     assert one(spark, dates.next_trading_day(F.lit(date(2026, 6, 26)))) == date(2026, 6, 29)
     assert one(spark, dates.end_of_day(F.lit(date(2026, 6, 26)))) == datetime(2026, 6, 26, 23, 59, 59)
 

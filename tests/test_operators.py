@@ -90,3 +90,28 @@ def test_nearest_in_several_blocks(spark, monkeypatch):
 def test_schemas(spark, name):
     empty = spark.createDataFrame([], SCHEMAS[name])
     assert set(KEYS[name]) <= set(empty.columns)
+
+
+def test_insert_new_is_row_by_row(spark):
+    """Against inserts one by one into a table with two unique keys."""
+    rng = random.Random(5)
+    for _ in range(4):
+        old = [(i, f"u{rng.randint(0, 9)}") for i in rng.sample(range(12), 3)]
+        old = list({u: (i, u) for i, u in old}.values())
+        new = [(rng.choice([None, *range(12)]), rng.choice([None, *(f"u{k}" for k in range(10))]), n) for n in range(14)]
+        ids, urls, wanted = {i for i, _ in old}, {u for _, u in old}, []
+        for i, u, n in new:
+            if i not in ids and u not in urls:
+                wanted.append(n)
+                ids |= {i} - {None}
+                urls |= {u} - {None}
+        got = upsert.insert_new(spark.createDataFrame(old, "id long, url string"), spark.createDataFrame(new, "id long, url string, n long"), ["id", "url"], [F.col("n")])
+        assert sorted(r.n for r in got.collect()) == wanted
+    known = upsert.insert_new(spark.createDataFrame([(1, "u1")], "id long, url string"), spark.createDataFrame([(5, "u1", 1), (5, "u5", 2)], "id long, url string, n long"), ["id", "url"], [F.col("n")])
+    assert [(r.id, r.url) for r in known.collect()] == [(5, "u5")]
+
+
+def test_the_last_of_equal_keys_replaces(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, n long")
+    new = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (3, "e", 3)], "k long, v string, n long")
+    assert sorted((r.k, r.v) for r in upsert.replace(old, new, ["k"], [F.desc("n")]).collect()) == [(1, "d"), (2, "b"), (3, "e")]

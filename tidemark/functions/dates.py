@@ -28,19 +28,26 @@ def _make(year: Column, month: Column, day: Column) -> Column:
 
 
 def normalize_date(text: Column, as_of: date) -> Column:
-    """A date, or null: ISO; `Qn YYYY` (the quarter's first day); `Month D, YYYY`; `Month D`,
-    in the next year if it is past by then.  n/a, tbd and the like are null."""
+    """A date, or null: ISO; `Qn YYYY` (the quarter's first day); `Month D, YYYY`, `D Month YYYY`
+    and `M/D/YYYY`; `Month D`, in the next year if it is past by then; today, tomorrow, yesterday
+    and `in n days` from as_of.  Days may have ordinals (15th).  n/a, tbd and the like are null."""
     t = F.trim(text)
     iso = F.try_to_date(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-    quarter = r"(?i)\bq([1-4])\s+(\d{4})\b"
+    quarter = r"(?i)\bq([1-4])[\s-]*(\d{4})\b"
     of_quarter = _make(_number(F.regexp_extract(t, quarter, 2)), (_number(F.regexp_extract(t, quarter, 1)) - 1) * 3 + 1, F.lit(1))
-    full = rf"(?i)\b({_MONTHS})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
+    full = rf"(?i)\b({_MONTHS})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,\s*|\s+)(\d{{4}})\b"
     of_day = _make(_number(F.regexp_extract(t, full, 3)), _month_number(F.regexp_extract(t, full, 1)), _number(F.regexp_extract(t, full, 2)))
-    short = rf"(?i)^({_MONTHS})\.?\s+(\d{{1,2}})$"
+    turned = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTHS})\.?,?\s+(\d{{4}})\b"
+    day_first = _make(_number(F.regexp_extract(t, turned, 3)), _month_number(F.regexp_extract(t, turned, 2)), _number(F.regexp_extract(t, turned, 1)))
+    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    by_slash = _make(_number(F.regexp_extract(t, slashed, 3)), _number(F.regexp_extract(t, slashed, 1)), _number(F.regexp_extract(t, slashed, 2)))
+    away = F.when(F.lower(t) == "today", 0).when(F.lower(t) == "tomorrow", 1).when(F.lower(t) == "yesterday", -1).otherwise(_number(F.regexp_extract(t, r"(?i)^in (\d{1,4}) days?$", 1)))
+    relative = F.date_add(F.lit(as_of), away)
+    short = rf"(?i)^({_MONTHS})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?$"
     this_year = _make(F.lit(as_of.year), _month_number(F.regexp_extract(t, short, 1)), _number(F.regexp_extract(t, short, 2)))
     rolled = F.when(this_year < F.lit(as_of), F.add_months(this_year, 12)).otherwise(this_year)
     empty = F.lower(t).isin("", "null", "none", "n/a", "na", "tbd", "tba", "unknown")
-    return F.when(~empty, F.coalesce(iso, of_quarter, of_day, rolled))
+    return F.when(~empty, F.coalesce(iso, of_quarter, of_day, day_first, by_slash, rolled, relative))
 
 
 def next_trading_day(day: Column) -> Column:

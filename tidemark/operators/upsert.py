@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """old and those rows of new whose key isn't there; of equal keys in new the first by order."""
@@ -16,18 +18,52 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Se
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows of new that collide with old, or with an earlier row of new, in none of several keys."""
-    out = new
-    for k in keys:
-        first = F.row_number().over(Window.partitionBy(k).orderBy(*order))
-        out = out.withColumn("upsert_rank", first).where("upsert_rank = 1").drop("upsert_rank")
-        out = out.join(old.select(k), k, "left_anti")
-    return out
+    """What inserting new row by row, in a total order, adds to a table with several unique keys:
+    a row that collides in any key with old, or with a row added before it, is left out; a
+    null key collides with nothing.
+
+    In each round the rows that come first under all their keys are added and those that
+    collide with them go; a row that was only behind one that went has its turn in the next
+    round.  There are as many rounds as such rows follow from each other, mostly one or two.
+    """
+
+    def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+        for k in keys:
+            rows = rows.join(others.select(k), k, "left_anti")
+        return rows.select(*new.columns)
+
+    places = {f"upsert_rank_{k}": F.when(F.col(k).isNotNull(), F.row_number().over(Window.partitionBy(k).orderBy(*order))) for k in keys}
+    added, rest = None, cut(without(new, old))
+    while True:
+        first = rest.withColumns(places).where(" and ".join(f"coalesce(`{c}`, 1) = 1" for c in places)).select(*new.columns)
+        added = first if added is None else added.unionByName(first)
+        # of the others, those without a first row's key
+        behind = rest.withColumns(places).where(" or ".join(f"`{c}` > 1" for c in places)).select(*new.columns)
+        rest = cut(without(behind, first))
+        if not rest.take(1):
+            return added
+
+
+def replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """new's rows, and old's of other keys.  Of rows of new with one key the first by order
+    stays; without an order new must have each key once."""
+    if order is not None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        new = new.withColumn("upsert_rank", place).where("upsert_rank = 1").drop("upsert_rank")
+    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
 
 
-def replace(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """new's rows, and old's of other keys."""
-    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+def confirm(old: DataFrame, news: DataFrame, keys: Sequence[str], source: str, weaker: str) -> DataFrame:
+    """Events that a better source confirms: old rows of the weaker source that aren't confirmed
+    yet become the source's, with a note; all others stay; news without an old row are added.
+    Both have the columns keys, title, confidence, source and notes."""
+    known = news.select(*keys).distinct().withColumn("upsert_known", F.lit(True))
+    joined = old.join(known, list(keys), "left")
+    better = F.col("upsert_known").isNotNull() & (F.col("source") == weaker) & ~F.col("confidence").eqNullSafe("confirmed")
+    note = F.concat(F.lit("Upgraded from "), F.col("source"), F.lit(f" to {source} confirmed"))
+    changed = joined.withColumns({"notes": F.when(better, note).otherwise(F.col("notes")), "confidence": F.when(better, "confirmed").otherwise(F.col("confidence")), "source": F.when(better, source).otherwise(F.col("source"))})
+    fresh = news.withColumns({"confidence": F.lit("confirmed"), "source": F.lit(source)}).join(old.select(*keys), list(keys), "left_anti")
+    return changed.select(*old.columns).unionByName(fresh.select(*old.columns))
 
 
 def coalesce_update(old: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -140,6 +140,11 @@ def prefilter_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.has_financial_content(F.col("text"), compat=True).alias("financial"))
 
 
+@query("event_gate", "select doc_id, " + " or ".join(f"contains(lower(text), '{w}')" for w in text.EVENT_WORDS) + " as event from documents")
+def event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.speaks_of_event(F.col("text")).alias("event"))
+
+
 @query("should_classify", rf"select doc_id, regexp_matches(text, '\$[A-Z]{{1,5}}(\W|$)') or regexp_matches(lower(text), '{_KEYWORD_SQL}') as classify from documents")
 def should_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.should_classify(F.col("text")).alias("classify"))
@@ -193,14 +198,15 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("content_hash_dedup", "select min(doc_id) as doc_id, count(*) as copies, sha256(text) as content_hash from documents group by text")
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts meet by their hash; map-side counts keep a text with very many copies cheap."""
-    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    hashed = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.lit(None).cast("string"), F.col("text")).alias("content_hash"))
     return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 @query(
     "normalize_company",
-    r"""select name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '[.,]', ' ', 'g'), '\b(incorporated|inc|corporation|corp|company|co|limited|ltd|llc|plc|holdings|group|ag|sa|nv)\b', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) as normalized
-    from (select s_name || case s_suppkey % 4 when 0 then ', Inc.' when 1 then ' Holdings PLC' when 2 then ' Co., Ltd.' else '' end as name from supplier union all select c_name from customer)""",
+    """select s_name || case s_suppkey % 4 when 0 then ', Inc.' when 1 then ' Holdings PLC' when 2 then ' Co., Ltd.' else '' end as name,
+    replace(lower(s_name), '#', '') || case s_suppkey % 4 when 1 then ' holdings' when 2 then ' co' else '' end as normalized from supplier
+    union all select c_name, replace(lower(c_name), '#', '') from customer""",
 )
 def normalize_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey") % 4

@@ -47,13 +47,12 @@ def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "term_index",
-    r"select term, count(*) as documents, cast(sum(n) as bigint) as occurrences from (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as term from documents) where length(term) >= 6 group by 1, 2) group by term having count(*) >= 5",
+    r"select term, doc_id, count(*) as n from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\pL\pM\pN_]+')) as term from documents) where term <> '' group by 1, 2",
 )
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of several documents, from postings (term, document, occurrences)."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term")).where(F.length("term") >= 6)
-    postings = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).where("documents >= 5")
+    """Postings of all terms, in any script: term, document, occurrences."""
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\pL\pM\pN_]+")).alias("term")).where(F.col("term") != "")
+    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
 
 
 @query(

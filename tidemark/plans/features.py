@@ -64,12 +64,12 @@ def sentiment_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "asof_last_order",
-    "select e.event_id, o.o_orderkey, o.o_totalprice from (select event_id, user_id, timestamp '1998-01-01' + (ts - timestamp '2024-01-01') * 10 as t from events where event_id % 3 = 0) e asof left join (select o_custkey, o_orderdate, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by 1, 2) o on o.o_custkey = e.user_id and o.o_orderdate <= e.t",
+    "select e.event_id, o.o_orderkey, o.o_totalprice from (select event_id, user_id, timestamp '1998-01-01' + (ts - timestamp '2024-01-01') * 10 as t from events) e asof left join (select o_custkey, o_orderdate, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by 1, 2) o on o.o_custkey = e.user_id and o.o_orderdate <= e.t",
 )
 def asof_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its user's newest order by then."""
     shifted = F.lit("1998-01-01").cast("timestamp_ntz") + (F.col("ts") - F.lit("2024-01-01").cast("timestamp_ntz")) * 10
-    events = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", F.col("user_id").alias("o_custkey"), shifted.alias("t"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("o_custkey"), shifted.alias("t"))
     found = asof_join(events, table(spark, sf_dir, "orders"), "o_custkey", "t", "o_orderdate", ["o_orderkey", "o_totalprice"], "o_orderkey")
     return found.select("event_id", "o_orderkey", "o_totalprice")
 

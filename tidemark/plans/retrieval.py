@@ -96,12 +96,13 @@ def band_join_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "retrieve_context",
-    f"select query_id, string_agg(left(text, 40), ' | ' order by r) as context from (select q.vec_id as query_id, e.vec_id as id, row_number() over (partition by q.vec_id order by round({_COS.format('q.embedding', 'e.embedding')}, 9) desc, e.vec_id) as r from embeddings q, embeddings e where q.vec_id % 100 = 0) k join documents d on d.doc_id = k.id where r <= 3 group by query_id",
+    f"""select query_id, string_agg(text, ' | ' order by r) as context from (select k.query_id, k.r, d.text, row_number() over (partition by k.query_id order by k.r) as p from (select q.vec_id as query_id, e.vec_id as id,
+    row_number() over (partition by q.vec_id order by round({_COS.format('q.embedding', 'e.embedding')}, 9) desc, e.vec_id) as r from embeddings q, embeddings e where q.vec_id % 50 = 0) k join documents d on d.doc_id = k.id where k.r <= 20) where p <= 5 group by query_id""",
 )
 def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the nearest documents, best first, as one context."""
+    """Whole texts of the 5 nearest of each query's 20 candidates that have one, best first, as one context."""
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    near = nearest(vectors, vectors.where("id % 100 = 0"), 3)
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("t"))
+    near = nearest(vectors, vectors.where("id % 50 = 0"), 20)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"])
-    return near.join(texts, "id").groupBy("query_id").agg(F.array_join(ordered, " | ").alias("context"))
+    return top_per_group(near.join(texts, "id"), ["query_id"], [F.col("rank")], 5, "place").groupBy("query_id").agg(F.array_join(ordered, " | ").alias("context"))

@@ -90,7 +90,8 @@ def insider_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each filing is sent to the as-of times that see it (a filing month meets at most
     four), so a band join becomes an equi-join on months.
     """
-    insider = view(spark, sf_dir, "insider_v").withColumn("month", F.explode(F.sequence(F.trunc(F.to_date("filed_at"), "month"), F.add_months(F.trunc(F.to_date("filed_at"), "month"), 4), F.expr("interval 1 month"))))
+    known = view(spark, sf_dir, "insider_v").where("filed_at > timestamp_ntz '1996-10-01' and filed_at < timestamp_ntz '1998-06-02'")  # 90 days before the first time, to the last
+    insider = known.withColumn("month", F.explode(F.sequence(F.trunc(F.to_date("filed_at"), "month"), F.add_months(F.trunc(F.to_date("filed_at"), "month"), 4), F.expr("interval 1 month"))))
     times = month_starts(spark, "1997-01-01", "1998-06-01").withColumn("month", F.trunc("as_of_day", "month"))
     seen = insider.join(F.broadcast(times), "month").where("filed_at <= as_of and filed_at > as_of - interval 90 days")
     in_30 = F.col("filed_at") > F.col("as_of") - F.expr("interval 30 days")
@@ -113,7 +114,7 @@ def insider_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stake_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large stakes known at each time; purchases stand for activist filings here."""
-    stakes = view(spark, sf_dir, "insider_v").where("value_usd > 50000")
+    stakes = view(spark, sf_dir, "insider_v").where("value_usd > 50000 and filed_at > timestamp_ntz '1996-07-01' and filed_at < timestamp_ntz '1998-06-02'")  # 180 days before the first time, to the last
     month = F.trunc(F.to_date("filed_at"), "month")
     sent = stakes.withColumn("month", F.explode(F.sequence(month, F.add_months(month, 7), F.expr("interval 1 month"))))
     times = month_starts(spark, "1997-01-01", "1998-06-01").withColumn("month", F.trunc("as_of_day", "month"))

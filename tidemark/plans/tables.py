@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,9 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("upsert_replace", f"with {_HALVES} select * from fresh union all select * from old where id not in (select id from fresh)")
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.replace(*halves(spark, sf_dir), ["id"])
+    """Of two rows of a batch with one key the later, here the dearer, stays."""
+    old, new = halves(spark, sf_dir)
+    return upsert.replace(old, new.withColumn("price", F.col("price") - 7).unionByName(new), ["id"], [F.desc("price")])
 
 
 @query("insert_ignore", f"with {_HALVES} select * from old union all select * from fresh where id not in (select id from old)")
@@ -30,7 +32,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.insert_ignore(old, new.unionByName(new), ["id"], [F.col("id")])
 
 
-@query("insert_if_new", f"with {_HALVES} select id, price from (select *, row_number() over (partition by price order by id) as r from fresh) where r = 1 and id not in (select id from old) and price not in (select price from old)")
+@query("insert_if_new", f"with {_HALVES} select id, price from (select *, row_number() over (partition by price order by id) as r from fresh where id not in (select id from old) and price not in (select price from old)) where r = 1")
 def insert_if_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New by every one of several keys."""
     old, new = halves(spark, sf_dir)
@@ -80,21 +82,56 @@ def events_left_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CALENDAR = """select concat('ipo:', cast(o_orderkey as varchar)) as id, cast(o_orderdate as date) as day, 'ipo' as kind, o_orderpriority as title from orders where o_orderdate >= timestamp '1998-06-01' and o_orderdate < timestamp '1998-07-01'
-union all select concat('event:', cast(event_id as varchar)), cast(ts as date) - 9331, 'event', event_type from events where event_id % 50 = 0"""
+union all select concat('event:', cast(event_id as varchar)), cast(ts as date) - 9331, 'event', event_type from events"""
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     ipos = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1998-06-01' and o_orderdate < timestamp_ntz '1998-07-01'")
-    events = table(spark, sf_dir, "events").where("event_id % 50 = 0")
+    events = table(spark, sf_dir, "events")
     return ipos.select(F.concat(F.lit("ipo:"), F.col("o_orderkey").cast("string")).alias("id"), F.to_date("o_orderdate").alias("day"), F.lit("ipo").alias("kind"), F.col("o_orderpriority").alias("title")).unionByName(
         events.select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), F.date_sub(F.to_date("ts"), 9331).alias("day"), F.lit("event").alias("kind"), F.col("event_type").alias("title"))
     )
 
 
-@query("calendar_union", f"select * from ({_CALENDAR}) order by day, kind, id limit 500")
+@query("calendar_union", _CALENDAR)
 def calendar_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page of the calendar, in its order."""
-    return calendar(spark, sf_dir).orderBy("day", "kind", "id").limit(500)
+    """The calendar in its order."""
+    return calendar(spark, sf_dir).orderBy("day", "kind", "id")
+
+
+_EVENTS = """old as (select o_orderkey as id, 'earnings' as kind, cast(o_orderdate as date) as day, o_orderpriority as title, case o_orderstatus when 'F' then 'confirmed' when 'O' then 'estimated' end as confidence,
+case when o_orderkey % 2 = 0 then 'extracted' else 'manual' end as source, '' as notes from orders where o_orderkey % 3 <> 0), fresh as (select o_orderkey as id, 'earnings' as kind, cast(o_orderdate as date) as day, o_orderpriority as title, 'calendar notes' as notes from orders where o_orderkey % 4 < 2)"""
+
+
+@query(
+    "event_upgrade",
+    f"""with {_EVENTS}, b as (select o.*, n.id is not null and o.source = 'extracted' and o.confidence is distinct from 'confirmed' as better from old o left join fresh n on n.id = o.id and n.kind = o.kind and n.day = o.day)
+    select id, kind, day, title, case when better then 'confirmed' else confidence end as confidence, case when better then 'calendar' else source end as source, case when better then 'Upgraded from extracted to calendar confirmed' else notes end as notes from b
+    union all select id, kind, day, title, 'confirmed', 'calendar', notes from fresh where id not in (select id from old)""",
+)
+def event_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calendar's events meet extracted ones: they confirm those, and add what is missing."""
+    orders = table(spark, sf_dir, "orders")
+    base = orders.select(F.col("o_orderkey").alias("id"), F.lit("earnings").alias("kind"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("title"), "o_orderstatus")
+    confidence = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "estimated")
+    old = base.where("id % 3 <> 0").select("id", "kind", "day", "title", confidence.alias("confidence"), F.when(F.col("id") % 2 == 0, "extracted").otherwise("manual").alias("source"), F.lit("").alias("notes"))
+    fresh = base.where("id % 4 < 2").select("id", "kind", "day", "title", F.lit("calendar notes").alias("notes"))
+    return upsert.confirm(old, fresh, ["id", "kind", "day"], "calendar", "extracted")
+
+
+@query(
+    "upcoming_events",
+    """select o.o_orderkey as id, cast(o_orderdate as date) as day, case o_orderstatus when 'F' then 'confirmed' when 'O' then 'estimated' end as confidence, c.c_mktsegment as sector
+    from orders o left join (select * from customer where c_custkey % 5 <> 0) c on c.c_custkey = o.o_custkey where cast(o_orderdate as date) between date '1998-06-30' and date '1998-07-14'""",
+)
+def upcoming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the next 14 days with their sector, the nearest and best confirmed first."""
+    info = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("sector"))
+    day = F.to_date("o_orderdate")
+    first = ORDERS_AS_OF.date()
+    soon = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(first + timedelta(days=15)).cast("timestamp_ntz")))
+    confidence = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "estimated").alias("confidence")
+    return soon.join(info, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), day.alias("day"), confidence, "sector").orderBy("day", F.desc("confidence"), "id")
 
 
 @query("calendar_counts", f"select kind, count(*) as n, min(day) as first_day, max(day) as last_day from ({_CALENDAR}) group by kind")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.topk import nth_per_group, top_per_group
@@ -41,6 +41,11 @@ def sector_mentions(mentions: DataFrame, sectors: DataFrame) -> DataFrame:
     return mentions.join(sectors, "ticker")
 
 
+def exact_mean(column: Column) -> Column:
+    """A mean to six places that doesn't depend on the order of adding: of whole billionths."""
+    return r6(F.sum(F.round(column * 1e9).cast("long")).cast("double") / F.count(column) / 1e9)
+
+
 def sector_snapshot(rows: DataFrame, as_of: datetime, hours: float = 24) -> DataFrame:
     """Counts and means of a sector's mentions; importance stands for urgency, 1 to 4."""
     s = F.coalesce("sentiment_score", F.lit(0.0))
@@ -49,7 +54,7 @@ def sector_snapshot(rows: DataFrame, as_of: datetime, hours: float = 24) -> Data
         .groupBy("sector")
         .agg(
             F.count("*").alias("article_count"),
-            r6(F.avg(s)).alias("avg_sentiment"),
+            exact_mean(s).alias("avg_sentiment"),
             F.count_if(s > BULLISH).alias("bullish_count"),
             F.count_if(s < BEARISH).alias("bearish_count"),
             F.count_if((s <= BULLISH) & (s >= BEARISH)).alias("neutral_count"),
@@ -59,7 +64,7 @@ def sector_snapshot(rows: DataFrame, as_of: datetime, hours: float = 24) -> Data
 
 @query(
     "sector_snapshot",
-    """select sector, count(*) as article_count, round(avg(sentiment_score), 6) as avg_sentiment, count(*) filter (where sentiment_score > 0.15) as bullish_count,
+    """select sector, count(*) as article_count, round(cast(sum(cast(round(sentiment_score * 1e9) as bigint)) as double) / count(sentiment_score) / 1e9, 6) as avg_sentiment, count(*) filter (where sentiment_score > 0.15) as bullish_count,
     count(*) filter (where sentiment_score < -0.15) as bearish_count, count(*) filter (where sentiment_score between -0.15 and 0.15) as neutral_count
     from mentions_v join sector_v using (ticker) where mentioned_at >= timestamp '2024-01-24' and mentioned_at <= timestamp '2024-01-25' group by sector""",
     "mentions_v", "sector_v",

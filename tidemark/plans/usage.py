@@ -109,13 +109,13 @@ def reflection_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "resolve_predictions",
     """select p.id, round(100 * (b.close - a.close) / a.close, 6) as change_pct, case when b.close > a.close then 'UP' else 'DOWN' end as actual, case when (b.close > a.close) = (p.direction = 'UP') then 1 else 0 end as is_correct
-    from (select event_id as id, event_type as ticker, cast(ts as date) as day, case when value > 250 then 'UP' else 'DOWN' end as direction from events where event_id % 10 = 0) p
+    from (select event_id as id, event_type as ticker, cast(ts as date) as day, case when value > 250 then 'UP' else 'DOWN' end as direction from events) p
     join bars_v a on a.ticker = p.ticker and a.bar_date = p.day join bars_v b on b.ticker = p.ticker and b.bar_date = p.day + 5""",
     "bars_v",
 )
 def resolve_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close five days on against the close of the prediction's day; no change counts as DOWN."""
-    made = table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("ticker"), F.to_date("ts").alias("bar_date"), F.when(F.col("value") > 250, "UP").otherwise("DOWN").alias("direction"))
+    made = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("ticker"), F.to_date("ts").alias("bar_date"), F.when(F.col("value") > 250, "UP").otherwise("DOWN").alias("direction"))
     bars = view(spark, sf_dir, "bars_v")
     then = bars.select("ticker", F.date_sub("bar_date", 5).alias("bar_date"), F.col("close").alias("later"))
     up = F.col("later") > F.col("close")
