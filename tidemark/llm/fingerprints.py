@@ -145,10 +145,6 @@ class _Parts:
         return part
 
 
-#: Parts of the order for each partition: parts are dealt by a hash, so several even out.
-PARTS_EACH = 8
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """Rows part, ahead, doc_id, text: each document in its part of the descending order of
     ids, and the first one of the next part once more, as ahead, behind the last.
@@ -158,7 +154,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
     """
     base = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     base = base.withColumns({"order_id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    dealing = _Parts(*_order_cuts(base, PARTS_EACH * parts))
+    dealing = _Parts(*_order_cuts(base, parts))
+    n = int(dealing.after[0]) + 1
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +184,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ahead), *own.columns], ["part", "ahead", "doc_id", "text", "order_id", "th"])
 
     placed = arrow_map(base, place, "part bigint, ahead boolean, doc_id bigint, text string, order_id bigint, th bigint")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.desc("order_id"), "th", "text")
+    return placed.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "ahead", F.desc("order_id"), "th", "text")
 
 
 def edited(text: str, following: str) -> str:
