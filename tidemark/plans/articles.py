@@ -86,6 +86,7 @@ def _backlog(name: str, where: str, condition) -> None:
 
 _backlog("backlog_unclassified", "event_type is null", lambda: F.col("event_type").isNull())
 _backlog("backlog_unranked", "event_type is not null and event_type <> 'noise' and importance_score is null", lambda: F.col("event_type").isNotNull() & (F.col("event_type") != "noise") & F.col("importance_score").isNull())
+_backlog("backlog_geo", "country is null", lambda: F.col("country").isNull())
 # the number of attempts so far stands in id % 5 here; some were never tried
 _backlog("backlog_unembedded", "coalesce(nullif(id % 5, 4), 0) < 3 and event_type is null", lambda: (F.coalesce(F.nullif(F.col("id") % 5, F.lit(4)), F.lit(0)) < 3) & F.col("event_type").isNull())
 
@@ -157,7 +158,21 @@ ALIASES = (("US", "The", True), ("GB", "that", False), ("DE", "der", False), ("F
 def tally_countries(docs: DataFrame, top: int = 3) -> DataFrame:
     """Each document's countries by hits of their aliases, at most top, ties by code.  The
     alias table is small and of fixed size: its counts are columns, not a join."""
-    counts = F.array(*(F.struct(F.regexp_count("text", F.lit(rf"(?<!\w){word}(?!\w)" if strict else rf"(?i)(?<!\w){word}(?!\w)")).cast("long").alias("hits"), F.lit(code).alias("code")) for code, word, strict in ALIASES))
+    as_written = {word: code for code, word, strict in ALIASES if strict}
+    in_any_case = {word.lower(): code for code, word, strict in ALIASES if not strict}
+    words = "|".join(sorted({word for _, word, _ in ALIASES}, key=len, reverse=True))
+
+    def looked_up(table: dict[str, str], word: Column) -> Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word) if table else F.lit(None).cast("string")
+
+    found = F.regexp_extract_all("text", F.lit(rf"(?i)(?<!\w)({words})(?!\w)"), F.lit(1))  # one pass over the text
+    codes = F.transform(found, lambda w: F.coalesce(looked_up(as_written, w), looked_up(in_any_case, F.lower(w))))
+    docs = docs.select("doc_id", codes.alias("codes"))
+
+    def hits(code: str) -> Column:
+        return F.size(F.filter("codes", lambda c: c == code)).cast("long")
+
+    counts = F.array(*(F.struct(hits(code).alias("hits"), F.lit(code).alias("code")) for code in dict.fromkeys(code for code, _, _ in ALIASES)))
     found = F.filter(counts, lambda x: x["hits"] > 0)
     ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["hits"]).alias("minus"), x["code"].alias("code"))))
     return docs.select("doc_id", F.transform(F.slice(ordered, 1, top), lambda x: x["code"]).alias("countries"))

@@ -11,9 +11,10 @@ from tidemark.plans.base import query, r6, table, view
 from tidemark.plans.indicators import last, moves, series
 
 
-def as_of_days(spark: SparkSession, first: str = "2024-01-10", last_day: str = "2024-01-25") -> DataFrame:
-    """A small table of stated days; what is known by the end of a day counts."""
-    return spark.sql(f"select explode(sequence(date '{first}', date '{last_day}', interval 1 day)) as day")
+def as_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that have bars, a row for each day of the calendar at most; what is known by the
+    end of a day counts."""
+    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
 
 
 def sentiment_features(mentions: DataFrame, days: DataFrame) -> DataFrame:
@@ -54,12 +55,12 @@ select ticker, day, count(*) filter (where age < 1) as n1, count(*) filter (wher
 coalesce(sum(x) filter (where age < 1), 0)::double as s1, coalesce(sum(x) filter (where age < 3), 0)::double as s3, coalesce(sum(x) filter (where age < 7), 0)::double as s7, sum(x)::double as s14,
 count(*) filter (where age < 7 and sentiment_score > 0.15) as b7, max(case urgency when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 4 end) filter (where age < 7) as u7 from (
 select m.*, d.day, date_diff('day', cast(mentioned_at as date), d.day) as age, cast(round(sentiment_score * 100000) as bigint) as x from mentions_v m
-join (select cast(g as date) as day from unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-25', interval 1 day)) t(g)) d on cast(mentioned_at as date) <= d.day and cast(mentioned_at as date) > d.day - 14) group by ticker, day)"""
+join (select distinct cast(ts as date) as day from events) d on cast(mentioned_at as date) <= d.day and cast(mentioned_at as date) > d.day - 14) group by ticker, day)"""
 
 
 @query("sentiment_features_asof", _SENTIMENT_SQL, "mentions_v")
 def sentiment_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment_features(view(spark, sf_dir, "mentions_v"), as_of_days(spark))
+    return sentiment_features(view(spark, sf_dir, "mentions_v"), as_of_days(spark, sf_dir))
 
 
 @query(
@@ -133,7 +134,7 @@ _BY_TYPE = "mentions_v as (select event_type as ticker, (value - 250) / 250 as s
     "bars_v",
 )
 def feature_vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_vector(price_features(view(spark, sf_dir, "bars_v")), sentiment_features(by_type(spark, sf_dir), as_of_days(spark)), DEFAULTS)
+    return feature_vector(price_features(view(spark, sf_dir, "bars_v")), sentiment_features(by_type(spark, sf_dir), as_of_days(spark, sf_dir)), DEFAULTS)
 
 
 @query("gbt_train_eval")

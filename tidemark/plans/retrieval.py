@@ -82,6 +82,12 @@ def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(neighbours(view(spark, sf_dir, "vec_v")), "greedy")
 
 
+@query("backlog_dedup", "select id, published_at from vec_v where id % 3 <> 0 order by published_at, id limit 200", "vec_v")
+def backlog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next batch to compare: embedded, never compared (here: not id % 3 = 0), oldest first."""
+    return view(spark, sf_dir, "vec_v").where("id % 3 <> 0").orderBy("published_at", "id").limit(200).select("id", "published_at")
+
+
 @query(
     "band_join_3d",
     "select o.o_orderkey, count(*) as near from orders o join orders p on p.o_custkey = o.o_custkey and p.o_orderkey <> o.o_orderkey and abs(date_diff('microsecond', o.o_orderdate, p.o_orderdate)) <= 3 * 86400000000::bigint group by o.o_orderkey",

