@@ -84,6 +84,7 @@ def test_nearest_in_several_blocks(spark, monkeypatch):
         wanted = sorted(((-cosine(v, w), j) for j, w in rows[:60]))[:5]
         assert [r.id for r in sorted((r for r in found if r.query_id == i), key=lambda r: r.rank)] == [j for _, j in wanted]
     assert knn.nearest(vectors, vectors.where("id < 0"), 5).count() == 0
+    assert knn.nearest(vectors.where("id < 0"), vectors, 5).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(SCHEMAS))
@@ -115,3 +116,50 @@ def test_the_last_of_equal_keys_replaces(spark):
     old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, n long")
     new = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (3, "e", 3)], "k long, v string, n long")
     assert sorted((r.k, r.v) for r in upsert.replace(old, new, ["k"], [F.desc("n")]).collect()) == [(1, "d"), (2, "b"), (3, "e")]
+
+
+def test_settings_and_watchlist(spark):
+    from tidemark.plans import settings
+
+    there = spark.createDataFrame([("a", "1"), ("b", None)], "key string, value string")
+    wanted = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "key string, fallback string")
+    assert {r.key: r.value for r in settings.read_settings(there, wanted).collect()} == {"a": "1", "b": "y", "c": "z"}
+    watched = spark.createDataFrame([("AAPL",), ("MSFT",)], "symbol string")
+    more = settings.watch(watched, spark.createDataFrame([("aapl",), ("nvda",), ("NVDA",)], "symbol string"))
+    assert sorted(r.symbol for r in more.collect()) == ["AAPL", "MSFT", "NVDA"]
+    assert [r.symbol for r in settings.unwatch(watched, spark.createDataFrame([("msft",), ("gone",)], "symbol string")).collect()] == ["AAPL"]
+
+
+def test_rows_are_counted_on_their_way(spark):
+    from pyspark.sql import Observation
+
+    from tidemark.plans import settings
+
+    seen = Observation("cycle")
+    rows = spark.createDataFrame([("general", 1.0), ("noise", None), (None, None)], "event_type string, importance_score double")
+    settings.observed(rows, seen).count()
+    assert seen.get == {"fetched": 3, "classified": 2, "ranked": 1}
+
+
+def test_countries_by_a_given_gazetteer(spark):
+    from tidemark.plans.articles import tally_countries
+
+    docs = spark.createDataFrame([(1, "Seoul and south korea; the U.S. and us, New Zealand"), (2, None), (3, "")], "doc_id long, text string")
+    names = (("KR", "South Korea", False), ("KR", "Seoul", False), ("US", "U.S.", True), ("US", "US", True), ("NZ", "new zealand", False))
+    assert {r.doc_id: r.countries for r in tally_countries(docs, aliases=names).collect() if r.countries} == {1: ["KR", "NZ", "US"]}
+
+
+def test_a_key_is_new_again_after_its_time(spark, tmp_path):
+    """Events in files of their own, a day apart: the stream has let go of the first keys."""
+    from tidemark.streaming import windows
+
+    t = datetime(2024, 1, 1)
+    schema = "user_id long, event_type string, ts timestamp"
+    parts = [[(1, "a", t), (1, "a", t + timedelta(hours=1)), (2, "a", t)], [(9, "b", t + timedelta(days=1))], [(8, "b", t + timedelta(days=1))], [(1, "a", t + timedelta(days=1, hours=1))]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = windows.drain(windows.first_in_ttl(stream, ["user_id", "event_type"])).groupBy("user_id").count().collect()
+    assert {r.user_id: r["count"] for r in found} == {1: 2, 2: 1, 8: 1, 9: 1}
+    settled = windows.drain(windows.tumbling(stream.withColumn("value", F.lit(1.0)), "6 hours")).collect()
+    assert [r.n for r in settled] == [3]  # the second day's windows are still open

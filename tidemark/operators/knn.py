@@ -3,57 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast together.
-BLOCK = 1024
+#: Vectors of either side that meet in one task, on average.
+BLOCK = 4096
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and similarity (cosine) of the k rows of corpus nearest to each query.
 
-    Queries are taken in blocks of a fixed size, which bounds what is broadcast; each
-    batch of the corpus keeps its k best for each query, so the shuffle carries k rows
-    for each query and batch.  Vectors without length have no neighbours; ties go to
-    the smaller id; a query finds itself if it is in the corpus.
+    Both sides are dealt into blocks by a hash of id and vector, and each pair of a query
+    block and a corpus block is a group of its own: all queries meet all rows, by shuffle, and
+    no vector passes through the driver.  A query is sent to each corpus block and a row
+    to each query block, so larger blocks shuffle less and hold more.  Each group keeps its k
+    best for each query, so the second shuffle carries k rows for each query and corpus block.
+    Vectors without length have no neighbours; ties go to the smaller id; a query finds
+    itself if it is in the corpus; equal rows of one id are in one block and each count.
     """
-    spark = corpus.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    numbered = queries.withColumn("knn_block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    found = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("knn_block") == b).select(id_col, vector_col).collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        matrix = _unit(np.array([r[1] for r in rows], dtype=np.float64))
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, query_matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                vectors = _unit(np.vstack([np.asarray(v, dtype=np.float64) for v in batch.column(1).to_pylist()]))
-                sims = query_matrix @ vectors.T
-                sims[~np.isfinite(sims)] = -np.inf
-                least = np.sort(sims, axis=1)[:, -min(k, len(own))]
-                at, of = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))  # ties with the k-th come along
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(own[of]), pa.array(sims[at, of])], ["query_id", "id", "similarity"])
-
-        found.append(corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col).mapInArrow(best, "query_id bigint, id bigint, similarity double"))
-    if not found:
-        return spark.createDataFrame([], "query_id bigint, rank bigint, id bigint, similarity double")
+    rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    of_rows, of_queries = (max(1, -(-df.count() // BLOCK)) for df in (rows, asked))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(asked, "knn_q", of_queries, "knn_c", of_rows)
+    right = dealt(rows, "knn_c", of_rows, "knn_q", of_queries)
+
+    def best(some: pa.Table, all_: pa.Table) -> pa.Table:
+        if not some.num_rows or not all_.num_rows:
+            return _FOUND.empty_table()
+        query_ids, query_matrix = _vectors(some)
+        found = list(_best(query_ids, query_matrix, *_vectors(all_), k))
+        return pa.Table.from_batches(found, _FOUND)
+
+    met = left.groupBy("knn_q", "knn_c").cogroup(right.groupBy("knn_q", "knn_c")).applyInArrow(best, "query_id bigint, id bigint, similarity double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", place.cast("long"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return met.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    v = rows.column("v").combine_chunks()
+    flat = np.asarray(v.flatten(), dtype=np.float64)
+    return rows.column("id").to_numpy(), _unit(flat.reshape(rows.num_rows, -1))
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, step: int = 512) -> Iterator[pa.RecordBatch]:
+    """Some queries at a time, so that the similarities of a block never stand all at once."""
+    for at in range(0, len(query_ids), step):
+        sims = queries[at : at + step] @ rows.T
+        sims[~np.isfinite(sims)] = -np.inf
+        # ties with the k-th come along, and what rounding makes a tie
+        least = np.partition(sims, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 1e-8
+        q, r = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + step][q]), pa.array(ids[r]), pa.array(sims[q, r])], schema=_FOUND)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

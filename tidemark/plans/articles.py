@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,12 +157,15 @@ def should_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIASES = (("US", "The", True), ("GB", "that", False), ("DE", "der", False), ("FR", "le", False), ("ES", "que", False), ("JP", "on", True), ("KR", "und", False))
 
 
-def tally_countries(docs: DataFrame, top: int = 3) -> DataFrame:
-    """Each document's countries by hits of their aliases, at most top, ties by code.  The
-    alias table is small and of fixed size: its counts are columns, not a join."""
-    as_written = {word: code for code, word, strict in ALIASES if strict}
-    in_any_case = {word.lower(): code for code, word, strict in ALIASES if not strict}
-    words = "|".join(sorted({word for _, word, _ in ALIASES}, key=len, reverse=True))
+def tally_countries(docs: DataFrame, top: int = 3, aliases: Sequence[tuple[str, str, bool]] = ALIASES) -> DataFrame:
+    """Each document's countries by hits of their aliases, at most top, ties by code.
+
+    aliases: code, name (of any words and signs) and whether its case counts; a gazetteer is
+    given here.  Where two names begin at one place the longer counts.  The table is small:
+    its counts are columns, not a join."""
+    as_written = {word: code for code, word, strict in aliases if strict}
+    in_any_case = {word.lower(): code for code, word, strict in aliases if not strict}
+    words = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted({word for _, word, _ in aliases}, key=len, reverse=True))
 
     def looked_up(table: dict[str, str], word: Column) -> Column:
         return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word) if table else F.lit(None).cast("string")
@@ -172,7 +177,7 @@ def tally_countries(docs: DataFrame, top: int = 3) -> DataFrame:
     def hits(code: str) -> Column:
         return F.size(F.filter("codes", lambda c: c == code)).cast("long")
 
-    counts = F.array(*(F.struct(hits(code).alias("hits"), F.lit(code).alias("code")) for code in dict.fromkeys(code for code, _, _ in ALIASES)))
+    counts = F.array(*(F.struct(hits(code).alias("hits"), F.lit(code).alias("code")) for code in dict.fromkeys(code for code, _, _ in aliases)))
     found = F.filter(counts, lambda x: x["hits"] > 0)
     ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["hits"]).alias("minus"), x["code"].alias("code"))))
     return docs.select("doc_id", F.transform(F.slice(ordered, 1, top), lambda x: x["code"]).alias("countries"))

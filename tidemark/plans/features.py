@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.market import urgency_rank
 from tidemark.operators.asof import asof_join
 from tidemark.plans.base import query, r6, table, view
-from tidemark.plans.indicators import last, moves, series
+from tidemark.plans.indicators import series
 
 
 def as_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,61 +89,3 @@ def market_regime_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     regime = index.groupBy("bar_date").agg(F.max(F.when(F.col("ticker") == "error", F.col("close"))).alias("vix"), F.max(F.when(F.col("ticker") == "view", F.col("r"))).alias("spx_return"))
     others = bars.where(~F.col("ticker").isin("error", "view"))
     return others.join(regime, "bar_date", "left").select("ticker", "bar_date", r6("vix").alias("vix"), r6("spx_return").alias("spx_return"))
-
-
-def price_features(bars: DataFrame) -> DataFrame:
-    """Returns, volatility, relative strength and trend of each day, by the days up to it."""
-    before = F.lag("close").over(series())
-    close = F.col("close")
-    rows = moves(bars.withColumn("r", (close - before) / before))
-    g, loss = F.avg("gain").over(last(14)), F.avg("loss").over(last(14))
-    return rows.select(
-        "ticker", F.col("bar_date").alias("day"), "close",
-        r6("r").alias("return_1d"),
-        r6(F.stddev_pop("r").over(last(20))).alias("volatility_20"),
-        r6(close / F.avg("close").over(last(20)) - 1).alias("sma_gap"),
-        r6(F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(g, loss)))).alias("rsi_14"),
-    )
-
-
-def feature_vector(prices: DataFrame, sentiment: DataFrame, defaults: dict[str, float]) -> DataFrame:
-    """One wide row for each ticker and day; what isn't known takes its default."""
-    joined = prices.join(sentiment, ["ticker", "day"], "left")
-    return joined.select("ticker", "day", *(F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c) for c, v in defaults.items()))
-
-
-DEFAULTS = {"return_1d": 0.0, "volatility_20": 0.0, "sma_gap": 0.0, "rsi_14": 50.0, "sentiment_1d": 0.0, "sentiment_7d": 0.0, "mentions_7d": 0.0, "momentum": 0.0, "velocity": 0.0, "bullish_ratio": 0.0, "max_urgency_24h": 0.0}
-
-
-def by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions under the same names as the bars, for the joined vector."""
-    return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("ticker"), ((F.col("value") - 250) / 250).alias("sentiment_score"), F.when(F.col("event_id") % 4 == 0, "low").when(F.col("event_id") % 4 == 1, "medium").when(F.col("event_id") % 4 == 2, "high").otherwise("critical").alias("urgency"), F.col("ts").alias("mentioned_at")
-    )
-
-
-_BY_TYPE = "mentions_v as (select event_type as ticker, (value - 250) / 250 as sentiment_score, case event_id % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as urgency, ts as mentioned_at from events)"
-
-
-@query(
-    "feature_vector",
-    f"""with {_BY_TYPE}, s as ({_SENTIMENT_SQL}), p as (select ticker, bar_date as day, round(r, 6) as return_1d, round(stddev_pop(r) over w20, 6) as volatility_20, round(close / avg(close) over w20 - 1, 6) as sma_gap,
-    round(case when avg(loss) over w14 = 0 then 100 else 100 - 100 / (1 + avg(gain) over w14 / avg(loss) over w14) end, 6) as rsi_14 from (select *, (close - p) / p as r, case when p is not null then greatest(close - p, 0) end as gain, case when p is not null then greatest(p - close, 0) end as loss from (
-    select *, lag(close) over (partition by ticker order by bar_date) as p from bars_v)) window w20 as (partition by ticker order by bar_date rows between 19 preceding and current row), w14 as (partition by ticker order by bar_date rows between 13 preceding and current row))
-    select p.ticker, p.day, """ + ", ".join(f"coalesce({c}::double, {v}::double) as {c}" for c, v in DEFAULTS.items()) + " from p left join s using (ticker, day)",
-    "bars_v",
-)
-def feature_vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_vector(price_features(view(spark, sf_dir, "bars_v")), sentiment_features(by_type(spark, sf_dir), as_of_days(spark, sf_dir)), DEFAULTS)
-
-
-@query("gbt_train_eval")
-def gbt_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward training and calibrated metrics by fold (rows only)."""
-    from tidemark.ml.train import walk_forward
-
-    vectors = feature_vector_query(spark, sf_dir)
-    bars = view(spark, sf_dir, "bars_v")
-    later, i, n = F.lead("close", 2).over(series()), F.row_number().over(series()), F.count("*").over(Window.partitionBy("ticker"))
-    labels = bars.select("ticker", F.col("bar_date").alias("day"), F.when(later > F.col("close"), 1.0).otherwise(0.0).alias("label"), F.when(later.isNotNull(), F.exp(-0.003 * (n - i))).alias("weight"), F.least(F.floor((i - 1) * 4 / n), F.lit(3)).cast("int").alias("fold")).where("weight is not null")
-    return walk_forward(vectors.join(labels, ["ticker", "day"]), list(DEFAULTS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import articles, enrichment, features, indicators, retrieval, smart_money, streams, tables, trends, usage  # noqa: F401
+from tidemark.plans import articles, enrichment, features, indicators, retrieval, settings, smart_money, streams, tables, trends, usage, vector  # noqa: F401
 from tidemark.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1,4 +1,7 @@
-"""Streaming queries, run to the end of the table; their SQL is the batch equivalent."""
+"""Streaming queries, run to the end of the table; their SQL is the batch equivalent.
+
+Results are those that the watermark (an hour behind the newest event) has passed; the newest
+windows and sessions are still open, as in any stream."""
 
 from __future__ import annotations
 
@@ -11,30 +14,38 @@ from tidemark.streaming import windows
 
 @query(
     "stream_sliding_6h",
-    "select event_type, b - interval 15 minute * k as window_start, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from (select *, time_bucket(interval 15 minute, ts) as b from events), (select unnest(range(24)) as k) group by 1, 2",
+    "select event_type, b - interval 15 minute * k as window_start, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from (select *, time_bucket(interval 15 minute, ts) as b from events), (select unnest(range(24)) as k) group by 1, 2 having window_start + interval 6 hour <= (select max(ts) - interval 1 hour from events)",
 )
 def stream_sliding_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.drain(windows.sliding(windows.read_events(spark, sf_dir)), "complete")
+    out = windows.drain(windows.sliding(windows.read_events(spark, sf_dir)))
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", F.col("total").cast("double").alias("total"))
 
 
-@query("stream_daily", "select event_type, date_trunc('day', ts)::timestamp as window_start, count(*) as n, max(value) as top from events group by 1, 2")
+@query("stream_daily", "select event_type, date_trunc('day', ts)::timestamp as window_start, count(*) as n, max(value) as top from events group by 1, 2 having window_start + interval 1 day <= (select max(ts) - interval 1 hour from events)")
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.drain(windows.tumbling(windows.read_events(spark, sf_dir)), "complete")
+    out = windows.drain(windows.tumbling(windows.read_events(spark, sf_dir)))
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n", "top")
 
 
 @query("stream_ttl_dedup", "select count(distinct (user_id, event_type)) as keys from events")
 def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's first event of a type; the table arrives in one batch, within one watermark."""
-    out = windows.drain(windows.first_in_ttl(windows.read_events(spark, sf_dir), ["user_id", "event_type"]), "append")
+    out = windows.drain(windows.first_in_ttl(windows.read_events(spark, sf_dir), ["user_id", "event_type"]))
     return out.agg(F.count("*").alias("keys"))
 
 
 @query(
     "stream_sessions",
-    "select user_id, min(ts)::timestamp as first_ts, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events)) group by user_id, s",
+    "select user_id, min(ts)::timestamp as first_ts, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events)) group by user_id, s having max(ts) + interval 30 minute <= (select max(ts) - interval 1 hour from events)",
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.drain(windows.sessions(windows.read_events(spark, sf_dir), "user_id"), "complete")
+    out = windows.drain(windows.sessions(windows.read_events(spark, sf_dir), "user_id"))
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("first_ts"), "n")
+
+
+@query("stream_topics", "select event_type, count(*) as n from events where event_type in ('click', 'error') group by 1")
+def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics that somebody reads, each in its own folder."""
+    where = windows.checkpoint(spark)
+    windows.by_topic(windows.read_events(spark, sf_dir), f"{where}/out", f"{where}/state", ["click", "error"])
+    return spark.read.parquet(f"{where}/out").groupBy("event_type").agg(F.count("*").alias("n"))

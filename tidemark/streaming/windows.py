@@ -39,25 +39,28 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
 
 
+def by_topic(events: DataFrame, path: str, checkpoint_at: str, topics: list[str] | None = None) -> None:
+    """Land a stream as one folder for each topic (event_type), of all topics or those named;
+    a subscriber reads its topic's folder at its own pace, so a slow one holds nobody up."""
+    wanted = events if topics is None else events.where(F.col("event_type").isin(*topics))
+    query = wanted.writeStream.outputMode("append").format("parquet").partitionBy("event_type").option("path", path).option("checkpointLocation", checkpoint_at).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its results.  The tables land below the
-    shared checkpoint folder, so any executor can write and read them."""
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there and return what it has settled: a window or session
+    comes out once the watermark has passed its end, and its state goes.  The tables land
+    below the shared checkpoint folder, so any executor can write and read them."""
     spark = stream.sparkSession
     where = checkpoint(spark)
-    if mode == "append":
-        writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
-        query = writer.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{where}/out")
-
-    def land(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out")  # complete mode: the whole result each time
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
+    writer.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
