@@ -88,17 +88,24 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir; what is written there goes when the application ends."""
+    path = f"{checkpoint_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)  # only what is there can be marked
+    system.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table below spark.checkpoint.dir and read it back: the
     lineage ends there, so a lost executor costs a re-read, not a re-run, and the shuffle
     files go.  The table goes when it is discarded or the application ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{PACKAGE}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     with shuffles_end(spark):
-        df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
