@@ -15,7 +15,7 @@ a magic is put together from its lines by a further scan, which is left out wher
 Edge cases: a null payload is empty; equal ids with equal payloads that are the largest are
 responses each (their record ids are equal too); pages without an id are responses where no page with an id has their payload, else
 revisits; payloads are taken whole; control characters of addresses are percent-encoded; files without the magic at
-their start have no records; a chain that breaks ends there; a revisit of a record that isn't there has a null length;
+their start have no records; a chain ends behind a record that no other follows, and before one that doesn't end where its length says; a revisit of a record that isn't there has a null length;
 an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, cut, discard, is_empty, join_of_keys, named, scratch, shuffles_end
+from tidemark.llm.common import HOT_SHARE, arrow_map, cut, discard, is_empty, join_of_keys, named, scratch, shuffles_end
 
 #: Fixed values of the format.
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
@@ -48,12 +48,32 @@ def base32_of_hex(digest: Column) -> Column:
     return F.array_join(letters, "")
 
 
+#: Cells that hashes of repeated payloads are marked in: as many rows at most are broadcast.
+CELLS = 1 << 18
+
+
+def _with_largest(page: DataFrame) -> DataFrame:
+    """page with the largest page_id of those with its payload.
+
+    Only pages whose payload may be repeated are shuffled: those in a marked cell.  Pages of hot
+    payloads, with over a thousandth of all pages each, get theirs by broadcast."""
+    cell = F.pmod(F.xxhash64("content"), F.lit(CELLS))
+    counted = cut(page.groupBy("digest", "content").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1"))
+    with shuffles_end(page.sparkSession):
+        total = page.count()
+    hot = counted.where(F.col("n") > total * HOT_SHARE).select("content", F.col("largest").alias("of hot"), F.lit(True).alias("hot"))
+    marked = counted.select(cell.alias("cell")).distinct().withColumn("marked", F.lit(True))
+    told = page.withColumn("cell", cell).join(F.broadcast(marked), "cell", "left").join(F.broadcast(hot), "content", "left")
+    alone = told.where("marked is null or hot").withColumn("largest", F.when(F.col("hot"), F.col("of hot")).otherwise(F.col("page_id")))
+    others = told.where("marked and hot is null").join(counted.select("content", "largest", F.lit(True).alias("again")), "content", "left")
+    others = others.withColumn("largest", F.when(F.col("again"), F.col("largest")).otherwise(F.col("page_id")))
+    return alone.select(*page.columns, "largest").unionByName(others.select(*page.columns, "largest"))
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The records of pages as text (without the empty line behind each); date stands in all of them."""
     page = pages.select(named(id_col).cast("long").alias("page_id"), F.coalesce(named(url_col), F.lit("")).alias("url"), F.coalesce(named(payload_col), F.lit("")).alias("payload"))
-    page = page.withColumns({"digest": F.sha1("payload"), "content": F.sha2("payload", 256)})
-    groups = cut(page.groupBy("digest", "content").agg(F.max("page_id").alias("largest"), F.count("*").alias("pages of it")))
-    page = join_of_keys(page, groups, ["digest", "content"], "pages of it")
+    page = _with_largest(page.withColumns({"digest": F.sha1("payload"), "content": F.sha2("payload", 256)}))
     own = F.col("page_id").eqNullSafe(F.col("largest"))
     record_id = lambda c: F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws(" ", F.coalesce(c.cast("string"), F.lit("none")), "content")), F.lit(">"))
     clean = F.replace("url", F.lit("\r"), F.lit("%0D"))
@@ -192,9 +212,9 @@ def candidates(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
                 told, following, whole = (None,) * len(_FIELDS.split(", ")), None, False
                 if found is not None:
                     end = skipped + found.end
-                    behind = value[end:]
-                    whole = behind in (b"\r\n\r", b"\r\n\r\n")  # the last line feed belongs to the separator but at the end of the file
-                    if whole or end > len(value) - 3:
+                    behind = value[end : end + 4]
+                    whole = behind == b"\r\n\r\n" or (behind == b"\r\n\r" and end + 3 == len(value))  # the line feed is the separator's
+                    if whole or end + 3 > len(value):  # what isn't whole goes on in further lines
                         following = place + end + 4
                         told = _told(found.fields, value[skipped + found.start : end] if whole else None, with_payload)
                 rows.append((file, split, line, place + max(skipped, 0) - _BEFORE, following, whole, told))
@@ -272,6 +292,8 @@ def _put_together(spark: SparkSession, path: str, parts: DataFrame, chain: DataF
                 content = SEPARATOR.encode().join(parts)
                 content = content[_BEFORE:] if at == 0 else content
                 found = head(content)
+                if content[found.end : found.end + 4] not in (b"\r\n\r", b"\r\n\r\n"):
+                    continue  # the length that it gives leads into other records
                 row = file, at, following, *_told(found.fields, content[found.start : found.end], with_payload)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out, strict=True)], schema=out)
 
@@ -284,14 +306,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     found = cut(candidates(spark, path, with_payload))
     totals = found.groupBy("file", "split").agg(F.max("total").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = found.join(totals.select("file", "split", before.alias("base")), ["file", "split"])
+    placed = found.join(totals.select("file", "split", before.alias("base"), (F.sum("total").over(Window.partitionBy("file")) - _SEPARATOR).alias("file_bytes")), ["file", "split"])
     names = [c.split(" ")[0] for c in _FIELDS.split(", ")]
     # the first line of a file begins with its magic, so that its candidate stands at 0
-    chain = cut(placed.select("file", "split", "line", (F.col("base") + F.col("begins")).alias("at"), (F.col("base") + F.col("next")).alias("next"), (F.col("base") + F.col("exit")).alias("exit"), "whole"))
+    chain = cut(placed.select("file", "split", "line", (F.col("base") + F.col("begins")).alias("at"), (F.col("base") + F.col("next")).alias("next"), (F.col("base") + F.col("exit")).alias("exit"), "whole", "file_bytes"))
     entries = _entries(chain)
     kept = cut(_on_chain(chain, entries))
     on = found.join(kept, ["file", "split", "line"]).where("whole").select("file", "at", kept["next"], *names)
-    parts = kept.join(chain.where("not whole").select("file", "split", "line"), ["file", "split", "line"])
+    parts = kept.join(chain.where("not whole and next <= file_bytes").select("file", "split", "line"), ["file", "split", "line"])
     if is_empty(parts):
         discard(chain, entries)
         return on
