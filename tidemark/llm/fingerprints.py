@@ -161,7 +161,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFr
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             part = dealing.of(ids, hashes)
-            order = np.lexsort((hashes, -ids, part))  # -NO_ID is NO_ID: no other id is that small
+            order = np.lexsort((hashes, ~ids, part))  # ~ turns the order about for every number, NO_ID too: -NO_ID would be NO_ID
             order = order[boundaries([part[order]])]
             yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (part, ids, hashes)], ["part", "id", "th"])
 
