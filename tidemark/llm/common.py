@@ -40,9 +40,12 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """mapInArrow with the package shipped to the executors.  Batches of long texts are
     handed on in slices, and freed memory goes back when a task is done."""
     ship(df.sparkSession)
+    names = df.columns
+    if any(x in c for c in names for x in ".`"):  # Spark looks the columns up by name, where these have a meaning
+        df = df.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(_slices(batches))
+        yield from fn(_slices(b.rename_columns(names) for b in batches))
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
@@ -128,6 +131,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one where columns has it (upper and lower case alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """k1 and k2: 128 bits that tell rows apart by id and text; a null is a value."""
     own, text = named(id_col), named(text_col)

@@ -29,7 +29,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (a, b) that is not the least of its component.
 
-    The rounds end when a round changes nothing; each is cut off by a written table.
+    The rounds end when a round changes nothing; each is cut off by a written table, and
+    the last one is what is returned: discard() deletes it.
     """
     now = cut(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(MAX_ROUNDS):
@@ -38,5 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = then
         if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.cut_path = now.cut_path
+            return out
     raise RuntimeError("components did not settle")

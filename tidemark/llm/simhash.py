@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, boundaries, cut, runs
+from tidemark.llm.common import arrow_map, boundaries, cut, discard, join_of_keys, runs
 from tidemark.llm.components import components
 from tidemark.llm.kernels import mix64
 
@@ -247,13 +247,14 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) ->
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach."""
     own = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows of it")))
     roots = components(near_edges(classes, radius, limit))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_doc", "rows of it", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_class = cut(rooted.join(least, "root").select("fp", "component_id"))
+    of_class = cut(rooted.join(least, "root").select("fp", "component_id", "rows of it"))
+    discard(classes, roots)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(of_class, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return join_of_keys(own, of_class, ["fp"], "rows of it").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
