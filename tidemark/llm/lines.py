@@ -51,6 +51,8 @@ _RANK = 1 << 15
 _BLOCK_CELLS = 1 << 14
 #: Sizes and places are packed into 16 bits; lines of so many words or more aren't bounded.
 _LONGEST = (1 << 16) - 1
+#: Lines of a piece whose numbers fit a sort key beside a word's rank.
+KEYED_LINES = 1 << 22
 
 
 def _cells(words: np.ndarray) -> np.ndarray:
@@ -101,10 +103,15 @@ def line_sets(piece: Piece, rarity: np.ndarray | None) -> tuple[np.ndarray, ...]
     begin = boundaries([row, number])
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
     rare = np.zeros(len(words), dtype=np.int64) if rarity is None else rarity[_cells(words)]
-    key = line.astype(np.uint64) << np.uint64(42) | rare.astype(np.uint64) << np.uint64(21) | (words >> np.uint64(23)) & np.uint64((1 << 21) - 1)
-    order = np.argsort(key)
+    middle = (words >> np.uint64(23)) & np.uint64((1 << 21) - 1)
+    # lines beyond those that the key has room for are told apart by an order of their own
+    many = len(begin) > KEYED_LINES
+    key = rare.astype(np.uint64) << np.uint64(21) | middle
+    if not many:
+        key |= line.astype(np.uint64) << np.uint64(42)
+    order = np.lexsort((words, key, line)) if many else np.argsort(key)
     sorted_words, sorted_key = words[order], key[order]
-    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_words[1:] != sorted_words[:-1])).any():
+    if not many and ((sorted_key[1:] == sorted_key[:-1]) & (sorted_words[1:] != sorted_words[:-1])).any():
         order = np.lexsort((words, key))  # two words of a line fell together in the key
         sorted_words = words[order]
     sorted_line = line[order]
@@ -307,11 +314,11 @@ def removed_lines(keyed: DataFrame, limit: int = LIMIT, most: int = MOST) -> Dat
     similar = similar_classes(keyed, classes, groups, most)
     repeated = classes.where("often > 1").select("c1", "c2")
     judged = cut(repeated.join(similar, ["c1", "c2"], "full").select("c1", "c2", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")))
-    verdict = cut(judged.join(classes.select("c1", "c2", "at"), ["c1", "c2"]))
+    verdict = cut(judged.join(classes.select("c1", "c2", "at", "often"), ["c1", "c2"]))
     discard(classes, groups, similar, judged)
     mine = F.struct("did", "line", "k1", "k2") == F.col("at")
     removed = cut(
-        lines.join(verdict, ["c1", "c2"])
+        join_of_keys(lines, verdict, ["c1", "c2"], "often")
         .groupBy("k1", "k2")
         .agg(F.sum("links").alias("links"), F.size(F.collect_set("line")).alias("own"), F.count("*").alias("rows"), F.collect_set(F.when(F.col("earlier") | ~mine, F.col("line"))).alias("lines"))
         # rows equal in id and text come together here: their links are one row's
