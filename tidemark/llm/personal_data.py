@@ -2,14 +2,15 @@
 
 The rules give the base spans.  The network is trained in numpy on windows around
 digits and @ signs whose tags are the base spans (a bounded sample, in hash order of
-the whole corpus' windows), and on the same windows with digits and separators varied and
-some spans in forms that the rules miss.  It decodes all
+the whole corpus' windows), on the same windows with digits and separators varied, and on them with
+a card or phone number planted in a form that the rules miss, or a number that is neither (windows of
+the corpus that hold such forms are left out).  It decodes all
 windows that hold a digit or an @ sign: a span of any of the four kinds holds one,
 so no other window can give a span.  Windows overlap by half; their scores are
 averaged, the middle of a window counting most, and one Viterbi pass over each
 stretch of joined windows settles the spans.  A span is added where the rules have
-none, if it is well-formed for its kind (as when a rule's match ran on into other
-digits and was dropped); base spans stay.
+none, if it is well-formed for its kind (card numbers with dots, phone numbers without + and
+country code, or where a rule's match ran on into other digits and was dropped); base spans stay.
 
 Edge cases: a null or empty text has no spans; texts are read whole; without a
 base span in the corpus nothing is trained or added; positions are code points; each of repeated
@@ -34,7 +35,7 @@ from tidemark.llm.common import arrow_map, named
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
 #: Windows that the network is trained on at most, and how.
-TRAIN_WINDOWS, TRAIN_STEPS, TRAIN_BATCH, TRAIN_RATE, SEED = 768, 150, 48, 0.02, 11
+TRAIN_WINDOWS, TRAIN_STEPS, TRAIN_BATCH, TRAIN_RATE, SEED = 768, 320, 48, 0.02, 11
 #: Windows that are scored together.
 BATCH_WINDOWS = 1024
 #: 0 outside, 2k + 1 the first and 2k + 2 each further character of kind k.
@@ -100,6 +101,13 @@ _FULL = (
     re.compile(r"[0-9](?:[\x20.-]?[0-9])+"),
     re.compile(r"\+?\(?[0-9][\x20().0-9-]+[0-9]"),
 )
+#: A phone number without + or parentheses: a country code or none, and three groups.
+_GROUPS = re.compile(r"(?:[0-9]{1,3}[\x20.-])?[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}")
+
+
+#: Cards and phone numbers in forms that the rules miss: where one stands that is no base span, a
+#: window says nothing about what is personal data and isn't learnt from.
+_DOUBTFUL = re.compile(r"(?:[0-9]{4}[.-]){3}[0-9]{4}|\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}")
 
 
 def well_formed(kind: int, found: str) -> bool:
@@ -110,7 +118,7 @@ def well_formed(kind: int, found: str) -> bool:
         return _ip_good(found)
     if kind == 2:
         return _card_good(found.replace(".", ""))
-    return kind != 3 or (10 <= len(_DIGITS.findall(found)) <= 15 and any(c in found for c in "+()"))
+    return kind != 3 or (10 <= len(_DIGITS.findall(found)) <= 15 and (any(c in found for c in "+()") or _GROUPS.fullmatch(found) is not None))
 
 
 def window_starts(text: str) -> list[int]:
@@ -162,6 +170,35 @@ def _varied(text: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str,
     return "".join(out), tags
 
 
+def missed_form(rng: np.random.Generator) -> tuple[int, str]:
+    """A card (2) or phone number (3) in a form that the rules miss, or (-1) a number that is neither."""
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    shape = int(rng.integers(0, 10))
+    if shape < 3:  # card
+        body = str(rng.integers(3, 7)) + digits(14)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        groups = [body[k : k + 4] for k in range(0, 16, 4)]
+        return 2, ".".join(groups) if shape else groups[0] + "".join(".-"[int(rng.integers(0, 2))] + g for g in groups[1:3]) + "." + groups[3]
+    if shape < 7:
+        area, office, line = str(rng.integers(2, 10)) + digits(2), str(rng.integers(2, 10)) + digits(2), digits(4)
+        return 3, (f"({area}) {office}-{line}", f"{area}-{office}-{line}", f"{area}.{office}.{line}", f"{rng.integers(1, 100)}-{area}-{office}-{line}")[shape - 3]
+    return -1, (f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(2)}.{digits(2)}.20{digits(2)} {digits(2)}:{digits(2)}", f"{digits(5)}-{digits(5)}", f"{digits(1)}.{digits(2)}.{digits(3)}", f"{digits(3)}.{digits(2)}")[int(rng.integers(0, 6))]
+
+
+def _planted(text: str, tags: np.ndarray, rng: np.random.Generator) -> tuple[str, np.ndarray]:
+    """The window with a missed form between two of its words, where no span stands."""
+    kind, form = missed_form(rng)
+    free = [i for i, c in enumerate(text) if c == " " and tags[i] == 0 and i + len(form) + 2 < WINDOW]
+    if not free:
+        return text, tags
+    at = int(rng.choice(free))
+    own = np.full(len(form), max(2 * kind + 2, 0))
+    if kind >= 0:
+        own[0] = 2 * kind + 1
+    out = np.concatenate([tags[: at + 1], own, [0], tags[at + 1 :]])[:WINDOW]
+    return (text[: at + 1] + form + " " + text[at + 1 :])[:WINDOW], out
+
+
 #: Parts in which the least windows are sought before one task sees what they left.
 SAMPLE_PARTS = 32
 
@@ -191,7 +228,10 @@ def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     spans = base_spans(text)
+                    unclear = [m.span() for m in _DOUBTFUL.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
                     for start in window_starts(text):
+                        if any(s < start + WINDOW and start < e for s, e in unclear):
+                            continue
                         own = text[start : start + WINDOW].ljust(WINDOW)
                         tags = tag_row(WINDOW, spans, start)
                         yield bool(tags.any()), xxhash.xxh64_intdigest(own, SEED) >> 1, own, tags.astype(np.int8).tobytes()
@@ -209,8 +249,9 @@ def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return None
     rng = np.random.default_rng(SEED)
     tags = np.array([np.frombuffer(r.tags, dtype=np.int8) for r in sample]).astype(np.int64)
-    # each window as it is and varied
+    # each window as it is and varied, and TRAIN_WINDOWS with a form that the rules miss
     varied = [_varied(r.window, t, rng) for r, t in zip(sample, tags, strict=True)]
+    varied += [_planted(sample[k % len(sample)].window, tags[k % len(sample)], rng) for k in range(TRAIN_WINDOWS)]
     chars = np.array([nn.char_classes(r.window) for r in sample] + [nn.char_classes(w) for w, _ in varied])
     net = nn.new_network(TAGS, _barred(), SEED)
     return nn.train(net, chars, np.concatenate([tags, [t for _, t in varied]]), TRAIN_STEPS, TRAIN_BATCH, TRAIN_RATE, SEED)
