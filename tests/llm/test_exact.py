@@ -15,10 +15,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import SCHEMA, corpus, frame, ordered, words_of
-from tidemark.llm import byte_bpe, flac, kernels, lines, mixing, simhash, substring, token_counts
+from tidemark.llm import byte_bpe, flac, kernels, lines, mixing, registry, simhash, substring, token_counts
 
 
 def test_word_hashes_tell_words_apart(spark):
@@ -121,6 +122,48 @@ def test_line_dedup_of_awkward_documents(spark):
     assert by_id == {d: {w[1:4] for w in brute_lines(once) if w[0] == d} for d, *_ in wanted}
 
 
+@pytest.mark.parametrize("limit", [2, 1 << 22])
+def test_lines_beyond_a_sort_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "KEYED_LINES", limit)
+    rows = line_rows()
+    assert ordered(lines.dedup_lines(frame(spark, rows)).collect()) == ordered(brute_lines(rows))
+
+
+def test_five_million_short_lines_in_one_text():
+    import pyarrow as pa
+
+    n = 5_000_000
+    text = "\n".join([f"{k % 7} x" for k in range(n - 2)] + ["a b", "last"])
+    (piece,) = kernels.pieces(pa.array([text]))
+    words, starts, row, number = lines.line_sets(piece, None)
+    assert len(starts) == n + 1 and (number == np.arange(n)).all() and not row.any()
+    assert (np.diff(starts)[:-1] == 2).all() and np.diff(starts)[-1] == 1
+    classes = {tuple(sorted(words[starts[k] : starts[k + 1]].tolist())) for k in [*range(100), *range(n - 100, n)]}
+    assert len(classes) == 9
+
+
+def test_a_line_in_a_tenth_of_all_documents(spark):
+    """Its rows get their verdict by broadcast: no task of a join holds more than its share."""
+    rows = [(i, (f"the very common line of all\n" if i % 10 == 0 else "") + f"own{i} words{i} of{i} row{i}", "en", "s", 0) for i in range(3000)]
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: (1 if i % 10 == 0 and i else 0, t.split("\n")[-1] if i else t) for i, t, *_ in rows}
+    groups = simhash.simhash_groups(frame(spark, [(i, "" if i % 3 else f"a{i} b{i} c{i} d{i}", "en", "s", 0) for i in range(300)]))
+    assert {r.component_id for r in groups.where("doc_id % 3 <> 0").collect()} == {1}
+
+
+OPS = {n: f for n, f in registry.QUERIES.items() if n not in ("op11_vector_codes", "op12_warc", "op13_hard_negatives")}
+
+
+@pytest.mark.parametrize("name", sorted(OPS))
+def test_registered_queries_on_awkward_tables(spark, tmp_path, name):
+    """An empty table gives no row; nulls, repeated rows and columns of clashing names give one row each."""
+    frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert OPS[name](spark, f"{tmp_path}/none").collect() == []
+    frame(spark).withColumn("a.b", F.lit(1)).withColumn("row key 1", F.lit(2)).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = OPS[name](spark, f"{tmp_path}/some").collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus())
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
