@@ -130,15 +130,24 @@ def test_settings_and_watchlist(spark):
     assert [r.symbol for r in settings.unwatch(watched, spark.createDataFrame([("msft",), ("gone",)], "symbol string")).collect()] == ["AAPL"]
 
 
-def test_rows_are_counted_on_their_way(spark):
-    from pyspark.sql import Observation
-
-    from tidemark.plans import settings
-
-    seen = Observation("cycle")
-    rows = spark.createDataFrame([("general", 1.0), ("noise", None), (None, None)], "event_type string, importance_score double")
-    settings.observed(rows, seen).count()
-    assert seen.get == {"fetched": 3, "classified": 2, "ranked": 1}
+def test_batches_are_counted_and_a_model_trains_after_it(spark, tmp_path):
+    """Two files, two batches, two rows of counters; in the same session a model is fitted and used."""
+    from tests.test_train import labelled_rows
+    from tidemark.ml import train
+    from tidemark.streaming.counters import CounterTable, counted, observed
+
+    schema = "event_type string, importance_score double"
+    for rows in ([("general", 1.0), ("noise", None), (None, None)], [("general", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = observed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    kept = CounterTable(spark, f"{tmp_path}/counters")
+    counted(stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True), kept)
+    found = kept.read().orderBy("batch_id").collect()
+    assert sorted(tuple(r.counters[c] for c in ("fetched", "classified", "ranked")) for r in found) == [(1, 1, 0), (3, 2, 1)]
+    assert [r.batch_id for r in found] == [0, 1] and all(r.recorded_at and r.duration_ms >= 0 for r in found)
+    observed(spark.createDataFrame([("general", 1.0)], schema), "batch").count()
+    table = labelled_rows(spark)
+    assert train.predict(train.train(table, ["a", "b"]), table, ["id"]).count() == 120
 
 
 def test_countries_by_a_given_gazetteer(spark):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.topk import top_per_group
 from tidemark.operators.upsert import insert_ignore
 from tidemark.plans.base import query, table, view
+from tidemark.streaming import windows
+from tidemark.streaming.counters import COUNTERS, CounterTable, counted, observed
 
 
 def read_settings(settings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -40,22 +42,23 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwatch(watch(start, nations), nations.where("n_regionkey = 1"))
 
 
-#: What an ingest cycle counts of its rows.
-COUNTERS = {"fetched": "count(*)", "classified": "count(event_type)", "ranked": "count(importance_score)"}
-
-
-def observed(rows: DataFrame, name: str | Observation, counters: dict[str, str] = COUNTERS) -> DataFrame:
-    """rows, counted on their way: a batch's counters reach its listeners, a stream's its progress,
-    without a pass of their own."""
-    return rows.observe(name, *(F.expr(c).alias(k) for k, c in counters.items()))
-
-
 @query("cycle_counters", "select count(*) as fetched, count(event_type) as classified, count(importance_score) as ranked from articles_v", "articles_v")
 def cycle_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of a cycle as the row that is kept of it."""
     return view(spark, sf_dir, "articles_v").agg(*(F.expr(c).alias(k) for k, c in COUNTERS.items()))
 
 
+@query("stream_counters", "select cast(count(*) as bigint) as fetched, cast(count(*) filter (where value > 100) as bigint) as loud, cast(count(*) filter (where value > 400) as bigint) as urgent from events")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of all micro-batches of a stream, from the table that the listener keeps of them."""
+    where = windows.checkpoint(spark)
+    counters = {"fetched": "count(*)", "loud": "count_if(value > 100)", "urgent": "count_if(value > 400)"}
+    stream = observed(windows.read_events(spark, sf_dir), "events", counters)
+    kept = CounterTable(spark, f"{where}/counters", "events")
+    counted(stream.writeStream.format("noop").option("checkpointLocation", f"{where}/state").trigger(availableNow=True), kept)
+    return kept.read().agg(*(F.coalesce(F.sum(F.col("counters")[c]), F.lit(0)).alias(c) for c in counters))
+
+
 @query(
     "sector_news",
     """select sector, id, importance_score from (select s.sector, a.id, a.importance_score, row_number() over (partition by s.sector order by a.importance_score desc, a.id) as r
