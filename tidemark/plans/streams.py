@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.base import query
-from tidemark.streaming import windows
+from tidemark.streaming import states, windows
 
 
 @query(
@@ -49,3 +49,32 @@ def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = windows.checkpoint(spark)
     windows.by_topic(windows.read_events(spark, sf_dir), f"{where}/out", f"{where}/state", ["click", "error"])
     return spark.read.parquet(f"{where}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_caches",
+    """with recursive keyed as (select case when event_type = 'click' then 'url' else 'web' end as kind, user_id::varchar as key, date_trunc('millisecond', ts) as t, case when event_type = 'click' then interval 4 hour else interval 1 hour end as ttl from events),
+    admitted as (select kind, key, ttl, min(t) as t from keyed group by kind, key, ttl
+      union all select * from (select l.kind, l.key, l.ttl, (select min(k.t) from keyed k where k.kind = l.kind and k.key = l.key and k.t >= l.t + l.ttl) as t from admitted l) where t is not null)
+    select kind, key, t::timestamp as at from admitted""",
+)
+def stream_caches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' clicks through a cache of four hours, all else through one of an hour: what is let through."""
+    events = windows.read_events(spark, sf_dir)
+    rows = events.select(F.when(F.col("event_type") == "click", "url").otherwise("web").alias("kind"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    return windows.drain(states.once_within(rows, {"url": 4 * 3600, "web": 3600})).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_retries",
+    """with told as (select user_id::varchar as key, date_trunc('millisecond', ts) as t, event_type <> 'error' as ok from events),
+    runs as (select *, sum(ok::int) over (partition by key order by t, ok range between unbounded preceding and current row) as run from told),
+    fails as (select key, t, row_number() over (partition by key, run order by t) as n from runs where not ok)
+    select key, n + 1 as attempt, (t + interval 30 minute)::timestamp as due from fails f
+    where n < 3 and not exists (select 1 from told g where g.key = f.key and g.ok and g.t >= f.t and g.t < f.t + interval 30 minute)
+    and t + interval 30 minute <= (select date_trunc('millisecond', max(ts)) - interval 1 hour from events)""",
+)
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors bring their user back after half an hour, twice in a row at most, unless something else came first."""
+    told = windows.read_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return windows.drain(states.retries(told, 1800)).withColumn("due", F.col("due").cast("timestamp_ntz"))
