@@ -151,11 +151,58 @@ def test_batches_are_counted_and_a_model_trains_after_it(spark, tmp_path):
 
 
 def test_countries_by_a_given_gazetteer(spark):
+    """Cities, demonyms and short names that count in capitals only; every name by itself."""
     from tidemark.plans.articles import tally_countries
 
-    docs = spark.createDataFrame([(1, "Seoul and south korea; the U.S. and us, New Zealand"), (2, None), (3, "")], "doc_id long, text string")
-    names = (("KR", "South Korea", False), ("KR", "Seoul", False), ("US", "U.S.", True), ("US", "US", True), ("NZ", "new zealand", False))
-    assert {r.doc_id: r.countries for r in tally_countries(docs, aliases=names).collect() if r.countries} == {1: ["KR", "NZ", "US"]}
+    docs = spark.createDataFrame([(1, "Seoul and south korea; the U.S. and us, New Zealand"), (2, None), (3, ""), (4, "Mexico City, mexico and Mexican pesos; JAPANESE yen yen YEN; EU eu; a won b"), (None, "İ Seoul\u0130 seoul")], "doc_id long, text string")
+    names = [("KR", "South Korea", False), ("KR", "Seoul", False), ("KR", "won", False), ("US", "U.S.", True), ("US", "US", True), ("NZ", "new zealand", False), ("MX", "mexico", False), ("MX", "mexico city", False), ("MX", "Mexican", False), ("JP", "yen", False), ("JP", "japanese", False), ("EU", "EU", True), (None, "city", False), ("X", "", False)]
+    gazetteer = spark.createDataFrame(names, "code string, phrase string, strict boolean")
+    got = {r.doc_id: r.countries for r in tally_countries(docs, gazetteer).collect()}
+    assert got == {1: ["KR", "NZ", "US"], 2: [], 3: [], 4: ["JP", "MX", "EU"], None: ["KR"]}
+
+
+@pytest.mark.parametrize("most", [1 << 16, 6])
+def test_phrases_are_those_of_brute_force(spark, monkeypatch, most):
+    """With a small bound the phrases are dealt in parts that take turns."""
+    import random
+    import re
+    from collections import Counter
+
+    from tidemark.operators import phrases
+
+    monkeypatch.setattr(phrases, "MOST", most)
+    rng = random.Random(4)
+    own = list({(f"c{rng.randint(0, 5)}", "".join(rng.choice("abA .&é") for _ in range(rng.randint(1, 6))).strip() or "a", rng.random() < 0.3) for _ in range(40)})
+    texts = ["".join(rng.choice("abAB .&éÉ_") for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(own + own[:3], "code string, phrase string, strict boolean")
+    assert len(phrases.parts_of(table)) == (1 if most > 6 else -(-len(set(own)) * 2 // 6))
+    for r in phrases.count_phrases(docs, table).collect():
+        wanted = Counter()
+        for code, phrase, strict in set(own):
+            n = len(re.findall(rf"(?<!\w){re.escape(phrase)}(?!\w)", texts[r.doc_id], 0 if strict else re.I))
+            wanted += Counter({code: n})
+        assert Counter(r.hits) == wanted, texts[r.doc_id]
+
+
+def test_gates_of_text(spark):
+    from tidemark.functions import text, words
+    from tidemark.operators import enrich
+
+    own = [(1, "the market debut of X"), (2, "her debut"), (3, "Debut; prospectus filed"), (4, "wife's boyfriend"), (5, "IBM"), (6, None), (7, "warfare"), (8, "natural gas")]
+    found = {r.i: r for r in spark.createDataFrame(own, "i int, t string").select("i", text.speaks_of_listing(F.col("t")).alias("listing"), text.wants_comments(F.col("t")).alias("comments"), text.should_classify(F.col("t")).alias("classify")).collect()}
+    assert [i for i, r in found.items() if r.listing] == [1, 3]
+    assert [i for i, r in found.items() if r.comments] == [4, 5, 8]
+    assert [i for i, r in found.items() if r.classify] == [4, 8]
+    for some in (words.FINANCIAL + words.SOCIAL, words.LISTING_STRONG, words.EVENT):
+        kept = {r.t for r in spark.createDataFrame([(w,) for w in some] + [(w[:-1] + "#",) for w in some], "t string").where(text.has_keyword(F.col("t"), some)).collect()}
+        assert set(some) <= kept and not any(w.endswith("#") and not any(x in w for x in some) for w in kept)
+    posts = spark.createDataFrame([(1, "x", [("a", "bullish"), (None, "b"), ("c", "")]), (2, "x", []), (3, "x", None)], "i int, t string, c array<struct<author:string,body:string>>")
+    assert [(r.g, r.l) for r in posts.orderBy("i").select(text.should_classify(F.col("t"), F.col("c")).alias("g"), text.comment_lines(F.col("c")).alias("l")).collect()] == [(True, "- a: bullish\n- [unknown]: b"), (False, "(No comments)"), (False, "(No comments)")]
+    codes = spark.createDataFrame([(["us", " Kr ", "USA", "", None],)], "c array<string>")
+    assert codes.select(text.country_codes(F.col("c")).alias("c")).first().c == ["US", "KR"]
+    turns = spark.createDataFrame([(1, "bull", "growth", 1), (1, "bear", "risk", 2), (2, "bull", "risk", 1), (2, "bear", "growth", 2), (3, "bull", "growth", 1), (4, "bull", "risk", 1), (4, "bull", "growth", 3), (4, "bear", "growth", 2), (5, "user", "x", 1)], "d int, s string, t string, n int")
+    assert {r.d: r.consensus for r in enrich.has_consensus(turns, ["d"], "s", "t", "n").collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
 
 
 def test_a_key_is_new_again_after_its_time(spark, tmp_path):

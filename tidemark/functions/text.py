@@ -5,38 +5,50 @@ Words end at anything but ASCII letters, digits and underscores, in every functi
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that tell financial content; authored for this engine.
-KEYWORDS = ("earnings", "revenue", "profit", "dividend", "merger", "acquisition", "ipo", "guidance", "buyback", "inflation", "interest rate", "central bank", "bond yield", "stock", "shares", "market cap")
-#: Capitalised short words that are no tickers.
-STOPLIST = ("THE", "AND", "FOR", "CEO", "CFO", "USA", "GDP", "ETF", "IPO", "SEC", "FED", "NYSE", "AI", "EU", "UK", "US")
+from tidemark.functions import words as lists
 
 
-def _alternation(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+def alternation(words: Sequence[str]) -> str:
+    """A pattern of all words that branches letter by letter: a place in the text is compared with the
+    letters that can come next, not with each word."""
+    tree: dict = {}
+    for word in sorted(words):
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def pattern(node: dict) -> str:
+        ways = [re.sub(r"([^\w ])", r"\\\1", c) + pattern(below) for c, below in node.items() if c]
+        if not ways:
+            return ""
+        both = ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+        return f"(?:{both})?" if "" in node else both
 
-def has_keyword(text: Column, words: tuple[str, ...] = KEYWORDS, bounded: bool = True) -> Column:
-    """Whether any of the words is in the text, as whole words or anywhere."""
-    pattern = _alternation(words)
-    return F.lower(text).rlike(rf"(?<!\w){pattern}(?!\w)" if bounded else pattern)
+    return pattern(tree)
 
 
-#: What tells that a text speaks of a coming event.
-EVENT_WORDS = (
-    "earnings", "product launch", "investor day", "fda decision", "fda approval",
-    "conference", "dividend", "stock split", "share buyback", "acquisition",
-    "merger", "annual meeting", "keynote", "product event", "unveil", "release date",
-    "clinical trial", "phase 3", "regulatory decision", "sec filing",
-)
+def has_keyword(text: Column, words: Sequence[str] = lists.FINANCIAL, bounded: bool = True) -> Column:
+    """Whether any of the words is in the text, as whole words or anywhere."""
+    pattern = alternation(words)
+    return F.lower(text).rlike(rf"(?<!\w){pattern}(?!\w)" if bounded else pattern)
 
 
 def speaks_of_event(text: Column) -> Column:
     """Whether any of the event words is in the text, inside other words too."""
-    low = F.lower(text)
-    return F.coalesce(low.rlike("|".join(EVENT_WORDS)), F.lit(False))
+    return F.coalesce(has_keyword(text, lists.EVENT, bounded=False), F.lit(False))
+
+
+def speaks_of_listing(text: Column) -> Column:
+    """Whether a text speaks of a company going public: a strong word, or a weak one with context."""
+    strong, weak, context = (has_keyword(text, words, bounded=False) for words in (lists.LISTING_STRONG, lists.LISTING_WEAK, lists.LISTING_CONTEXT))
+    return F.coalesce(strong | (weak & context), F.lit(False))
 
 
 def tickers_in(text: Column, uppercased: bool = False) -> Column:
@@ -44,7 +56,7 @@ def tickers_in(text: Column, uppercased: bool = False) -> Column:
     text in capitals first, so nearly every short word counts."""
     capitals = F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if uppercased else text
     found = F.regexp_extract_all(capitals, F.lit(r"(?<!\w)([A-Z]{2,5})(?!\w)"), F.lit(1))
-    return F.array_except(found, F.array(*(F.lit(w) for w in STOPLIST)))
+    return F.array_except(found, F.array(*(F.lit(w) for w in lists.NO_TICKERS)))
 
 
 def has_financial_content(text: Column, compat: bool = False) -> Column:
@@ -53,9 +65,32 @@ def has_financial_content(text: Column, compat: bool = False) -> Column:
     return F.coalesce(text.contains("$") | (F.size(tickers_in(text, compat)) > 0) | has_keyword(text, bounded=not compat), F.lit(False))
 
 
-def should_classify(text: Column) -> Column:
-    """A cashtag or a whole keyword."""
-    return F.coalesce(text.rlike(r"\$[A-Z]{1,5}(?!\w)") | has_keyword(text), F.lit(False))
+def comments_text(comments: Column) -> Column:
+    """The bodies of comments (array of author, body), as one text."""
+    return F.array_join(F.transform(comments, lambda c: F.coalesce(c["body"], F.lit(""))), " ")
+
+
+def should_classify(text: Column, comments: Column | None = None) -> Column:
+    """A cashtag or a whole keyword, financial or social, in the text or its comments."""
+    whole = text if comments is None else F.concat_ws(" ", text, comments_text(comments))
+    return F.coalesce(whole.rlike(r"\$[A-Z]{1,5}(?!\w)") | has_keyword(whole, lists.FINANCIAL + lists.SOCIAL), F.lit(False))
+
+
+def wants_comments(text: Column) -> Column:
+    """Whether a post's comments are worth a call: any short word in capitals, or a keyword."""
+    return F.coalesce(text.rlike(r"(?<!\w)[A-Z]{2,5}(?!\w)") | has_keyword(text, lists.FINANCIAL + lists.SOCIAL), F.lit(False))
+
+
+def comment_lines(comments: Column) -> Column:
+    """Comments that have a body as lines of author and body, for a prompt."""
+    told = F.filter(comments, lambda c: F.coalesce(c["body"], F.lit("")) != "")
+    lines = F.transform(told, lambda c: F.concat(F.lit("- "), F.coalesce(c["author"], F.lit("[unknown]")), F.lit(": "), c["body"]))
+    return F.when(F.coalesce(F.size(told), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise("(No comments)")
+
+
+def country_codes(codes: Column) -> Column:
+    """Two-letter codes of a model's answer, in capitals; anything else goes."""
+    return F.transform(F.filter(codes, lambda c: F.length(F.trim(c)) == 2), lambda c: F.upper(F.trim(c)))
 
 
 def strip_html(html: Column) -> Column:
@@ -73,16 +108,12 @@ def strip_code_fence(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
-#: The legal forms that end a name, as patterns, in the order in which they go.
-LEGAL_FORMS = (r"incorporated", r"corporation", r"holdings", r"inc\.?", r"corp\.?", r"ltd\.?", r"llc\.?", r"limited", r"group", r"co\.?", r"plc", r"lp\.?", r"llp\.?", r"l\.?p\.?")
-
-
 def normalize_company(name: Column) -> Column:
     """Lower case, legal forms at the end and punctuation gone, spaces single: two spellings of
     one company agree.  Letters of any script stay; a null name is empty."""
     out = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    for form in LEGAL_FORMS:
-        out = F.regexp_replace(out, rf"(?U)\s+{form}$", "")
+    for form in lists.LEGAL_FORMS:
+        out = F.regexp_replace(out, rf"(?U)\s+{form.replace('.', '[.]?')}{'[.]?' if form in lists.SHORT_FORMS else ''}$", "")
     out = F.regexp_replace(out, r"(?U)[^\w\s]", "")
     return F.regexp_replace(F.regexp_replace(out, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
 

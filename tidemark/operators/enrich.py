@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import words
 from tidemark.functions.text import has_keyword
 
 Embedder = Callable[[Sequence[str]], Sequence[list[float] | None]]
 
 #: Words for each kind of news, tried in this order; authored for this engine.
 KINDS = (("earnings", ("earnings", "revenue", "profit", "guidance")), ("deal", ("merger", "acquisition", "buyback")), ("macro", ("inflation", "interest rate", "central bank", "bond yield")), ("market", ("stock", "shares", "market cap", "dividend")))
-BULLISH = ("beat", "growth", "upgrade", "record", "strong", "the", "and")
-BEARISH = ("miss", "decline", "downgrade", "loss", "weak", "of", "with")
 
 
 def hash_embedder(texts: Sequence[str]) -> list[list[float] | None]:
@@ -57,24 +56,34 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Embedder = hash_embedd
 def rule_kind(text: Column) -> Column:
     """The first kind of news whose words occur; noise without any."""
     out = F.lit("noise")
-    for kind, words in reversed(KINDS):
-        out = F.when(has_keyword(text, words), kind).otherwise(out)
+    for kind, some in reversed(KINDS):
+        out = F.when(has_keyword(text, some), kind).otherwise(out)
     return out
 
 
-def tally(text: Column, words: Sequence[str]) -> Column:
+def tally(text: Column, some: Sequence[str]) -> Column:
     """How many of the words a text contains."""
     lowered = F.lower(text)
-    listed = F.array(*(F.lit(w) for w in words))
+    listed = F.array(*(F.lit(w) for w in some))
     return F.size(F.filter(listed, lambda w: F.contains(lowered, w))).cast("long")
 
 
 def lean(text: Column, margin: int = 1) -> Column:
     """Which side a text argues for, by its words; neutral within the margin."""
-    d = tally(text, BULLISH) - tally(text, BEARISH)
+    d = tally(text, words.BULLISH) - tally(text, words.BEARISH)
     return F.when(d >= margin, "bullish").when(d <= -margin, "bearish").otherwise("neutral")
 
 
+def has_consensus(turns: DataFrame, keys: list[str], side: str, text: str, order: str, bull: str = "bull", bear: str = "bear") -> DataFrame:
+    """keys and consensus of each debate: whether its two sides lean one way by their last statements,
+    so that a further round has no use. Without a statement of either side there is none."""
+    last = turns.where(F.col(side).isin(bull, bear)).groupBy(*keys, F.col(side).alias("side")).agg(F.max_by(text, order).alias("said"))
+    ahead = F.when(F.col("side") == bull, tally(F.col("said"), words.BULLISH) > tally(F.col("said"), words.BEARISH)).otherwise(tally(F.col("said"), words.BEARISH) > tally(F.col("said"), words.BULLISH))
+    sides = last.select(*keys, "side", ahead.alias("ahead")).groupBy(*keys).agg(*(F.max(F.when(F.col("side") == s, F.col("ahead"))).alias(n) for s, n in ((bull, "bullish"), (bear, "bearish"))))
+    both = turns.select(*keys).distinct().join(sides, keys, "left")
+    return both.select(*keys, F.coalesce(~F.col("bullish") & ~F.col("bearish"), F.lit(False)).alias("consensus"))  # neither holds its side
+
+
 ANSWER = "event_type string, sentiment_score double, urgency string, suggested_direction string, affected_tickers array<string>"
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, market, text
+from tidemark.functions import dates, market, text, words
+from tidemark.operators.phrases import count_phrases, top_codes
 from tidemark.operators.topk import top_per_group
 from tidemark.plans.base import EVENTS_AS_OF, query, r6, table, view
 from tidemark.plans.trends import between
@@ -126,9 +126,10 @@ def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "articles_v").agg(F.count_if(s > 0.15).alias("bullish"), F.count_if(s < -0.15).alias("bearish"), F.count_if(s.between(-0.15, 0.15)).alias("neutral"), r6(F.try_divide(F.lit(100.0) * F.count(s), F.count("*"))).alias("coverage"))
 
 
-_ANY_KEYWORD = "(?:" + "|".join(w.replace(" ", r"\s+") for w in text.KEYWORDS) + ")"
+_ANY_KEYWORD = "(?:" + "|".join(words.FINANCIAL) + ")"
+_ANY_WORD = "(?:" + "|".join(w.replace("'", "''") for w in words.FINANCIAL + words.SOCIAL) + ")"
 _KEYWORD_SQL = rf"(^|\W){_ANY_KEYWORD}(\W|$)"
-_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPLIST) + "]"
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in words.NO_TICKERS) + "]"
 _TICKERS_SQL = rf"len(list_filter(regexp_split_to_array({{0}}, '\W+'), lambda x: regexp_full_match(x, '[A-Z]{{{{2,5}}}}') and not list_contains({_STOP_SQL}, x))) > 0"
 _CAPITALS_SQL = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
@@ -143,57 +144,68 @@ def prefilter_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.has_financial_content(F.col("text"), compat=True).alias("financial"))
 
 
-@query("event_gate", "select doc_id, " + " or ".join(f"contains(lower(text), '{w}')" for w in text.EVENT_WORDS) + " as event from documents")
+@query("event_gate", "select doc_id, " + " or ".join(f"contains(lower(text), '{w}')" for w in words.EVENT) + " as event from documents")
 def event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.speaks_of_event(F.col("text")).alias("event"))
 
 
-@query("should_classify", rf"select doc_id, regexp_matches(text, '\$[A-Z]{{1,5}}(\W|$)') or regexp_matches(lower(text), '{_KEYWORD_SQL}') as classify from documents")
-def should_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.should_classify(F.col("text")).alias("classify"))
+_WORD_SQL = rf"(^|\W){_ANY_WORD}(\W|$)"
 
 
-#: Words for places, authored for the test texts: code, word, whether case counts.
-ALIASES = (("US", "The", True), ("GB", "that", False), ("DE", "der", False), ("FR", "le", False), ("ES", "que", False), ("JP", "on", True), ("KR", "und", False))
+@query("wants_comments", rf"select doc_id, regexp_matches(text, '(^|\W)[A-Z]{{2,5}}(\W|$)') or regexp_matches(lower(text), '{_WORD_SQL}') as wanted from documents")
+def wants_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.wants_comments(F.col("text")).alias("wanted"))
 
 
-def tally_countries(docs: DataFrame, top: int = 3, aliases: Sequence[tuple[str, str, bool]] = ALIASES) -> DataFrame:
-    """Each document's countries by hits of their aliases, at most top, ties by code.
+@query(
+    "classify_with_comments",
+    rf"""with told as (select conv_id, string_agg(text, ' ' order by turn) as comments, string_agg('- ' || role || ': ' || text, chr(10) order by turn) as lines from conversations where text <> '' group by 1)
+    select p.page_id, regexp_matches(t, '\$[A-Z]{{1,5}}(\W|$)') or regexp_matches(lower(t), '{_WORD_SQL}') as classify, coalesce(lines, '(No comments)') as lines from (select page_id, coalesce(url || ' ' || comments, url) as t, lines from pages left join told on conv_id = page_id) p""",
+)
+def classify_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts (pages' addresses) with the turns of a conversation as their comments."""
+    comment = F.struct(F.col("role").alias("author"), F.col("text").alias("body"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", comment.alias("c")))), lambda x: x["c"]).alias("comments"))
+    posts = table(spark, sf_dir, "pages").join(turns, F.col("conv_id") == F.col("page_id"), "left")
+    return posts.select("page_id", text.should_classify(F.col("url"), F.col("comments")).alias("classify"), text.comment_lines(F.col("comments")).alias("lines"))
 
-    aliases: code, name (of any words and signs) and whether its case counts; a gazetteer is
-    given here.  Where two names begin at one place the longer counts.  The table is small:
-    its counts are columns, not a join."""
-    as_written = {word: code for code, word, strict in aliases if strict}
-    in_any_case = {word.lower(): code for code, word, strict in aliases if not strict}
-    words = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted({word for _, word, _ in aliases}, key=len, reverse=True))
 
-    def looked_up(table: dict[str, str], word: Column) -> Column:
-        return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word) if table else F.lit(None).cast("string")
+@query("should_classify", rf"select doc_id, regexp_matches(text, '\$[A-Z]{{1,5}}(\W|$)') or regexp_matches(lower(text), '{_WORD_SQL}') as classify from documents")
+def should_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.should_classify(F.col("text")).alias("classify"))
 
-    found = F.regexp_extract_all("text", F.lit(rf"(?i)(?<!\w)({words})(?!\w)"), F.lit(1))  # one pass over the text
-    codes = F.transform(found, lambda w: F.coalesce(looked_up(as_written, w), looked_up(in_any_case, F.lower(w))))
-    docs = docs.select("doc_id", codes.alias("codes"))
 
-    def hits(code: str) -> Column:
-        return F.size(F.filter("codes", lambda c: c == code)).cast("long")
+def tally_countries(docs: DataFrame, gazetteer: DataFrame, top: int = 3, text_col: str = "text") -> DataFrame:
+    """docs with countries in place of the text: the codes whose names are in it most often, at most top, ties by code.
 
-    counts = F.array(*(F.struct(hits(code).alias("hits"), F.lit(code).alias("code")) for code in dict.fromkeys(code for code, _, _ in aliases)))
-    found = F.filter(counts, lambda x: x["hits"] > 0)
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["hits"]).alias("minus"), x["code"].alias("code"))))
-    return docs.select("doc_id", F.transform(F.slice(ordered, 1, top), lambda x: x["code"]).alias("countries"))
+    gazetteer: code, phrase and strict (whether its case counts); each name is counted by itself."""
+    found = top_codes(count_phrases(docs, gazetteer, text_col), top)
+    return found.withColumnRenamed("codes", "countries").drop(text_col)
 
 
-_ALIAS_SQL = " union all ".join(
-    f"select doc_id, '{code}' as code, len(list_filter(regexp_split_to_array({'text' if strict else 'lower(text)'}, '\\W+'), lambda x: x = '{word if strict else word.lower()}')) as hits from documents" for code, word, strict in ALIASES
-)
+#: Documents that speak of nations, and the names by which these are known: the fifth ones in capitals only.
+_NATIONS_SQL = """spoken as (select d.doc_id, d.text || ' ' || lower(a.n_name) || ', ' || b.n_name || ' and ' || b.n_name || ' or x' || a.n_name as text
+    from documents d join nation a on a.n_nationkey = d.doc_id % 25 join nation b on b.n_nationkey = (d.doc_id * 7) % 23),
+  names as (select printf('N%02d', n_nationkey) as code, n_name as name, n_nationkey % 5 = 0 as strict from nation union all select printf('N%02d', n_nationkey), split_part(n_name, ' ', 1), false from nation where contains(n_name, ' '))"""
 
 
 @query(
     "extract_countries",
-    f"select d.doc_id, coalesce(string_agg(code, ',' order by hits desc, code), '') as countries from documents d left join (select *, row_number() over (partition by doc_id order by hits desc, code) as r from ({_ALIAS_SQL}) where hits > 0) x on x.doc_id = d.doc_id and x.r <= 3 group by d.doc_id",
+    f"""with {_NATIONS_SQL}, hits as (select doc_id, code, sum(len(case when strict then regexp_extract_all(text, '\\b' || name || '\\b') else regexp_extract_all(lower(text), '\\b' || lower(name) || '\\b') end)) as n from spoken, names group by 1, 2)
+    select s.doc_id, coalesce(string_agg(code, ',' order by n desc, code), '') as countries from spoken s left join (select *, row_number() over (partition by doc_id order by n desc, code) as r from hits where n > 0) h on h.doc_id = s.doc_id and r <= 3 group by s.doc_id""",
 )
 def extract_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tally_countries(table(spark, sf_dir, "documents")).withColumn("countries", F.array_join("countries", ","))
+    """The nations that documents speak of; each text has two more, one of them in small letters, by rule."""
+    nation = table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code")
+    names = nation.select(code, F.col("n_name").alias("phrase"), (F.col("n_nationkey") % 5 == 0).alias("strict"))
+    first = nation.where(F.contains("n_name", F.lit(" "))).select(code, F.split_part("n_name", F.lit(" "), F.lit(1)).alias("phrase"), F.lit(False).alias("strict"))
+    a, b = (nation.select(F.col("n_nationkey").alias(f"key {k}"), F.col("n_name").alias(k)) for k in "ab")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spoken = docs.join(a, F.col("key a") == F.col("doc_id") % 25).join(b, F.col("key b") == F.col("doc_id") * 7 % 23)
+    text_ = F.concat("text", F.lit(" "), F.lower("a"), F.lit(", "), "b", F.lit(" and "), "b", F.lit(" or x"), "a")
+    found = tally_countries(spoken.select("doc_id", text_.alias("text")), names.unionByName(first))
+    return found.withColumn("countries", F.array_join("countries", ","))
 
 
 @query(
@@ -235,25 +247,37 @@ def normalize_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", text.normalize_company(F.col("name")).alias("normalized"))
 
 
-_DATES = {
-    "2024-03-05": "2024-03-05", "2024-03-05T10:00:00": "2024-03-05", "Q3 2025": "2025-07-01", "in q1 2024": "2024-01-01", "March 7, 2024": "2024-03-07", "Sep 30, 2023": "2023-09-30",
-    "Feb. 2": "2024-02-02", "January 3": "2025-01-03", "TBD": None, "": None, "someday": None, "2024-13-01": None, "February 30, 2024": None, "n/a": None,
-}
-
-
-@query("normalize_date", "select * from (values " + ", ".join(f"('{k}', {'cast(null as date)' if v is None else f"date '{v}'"})" for k, v in _DATES.items()) + ") t(raw, day)")
+@query(
+    "normalize_date",
+    """select o_orderkey, case o_orderkey % 8 when 1 then date_trunc('quarter', d) when 6 then null when 3 then case when strftime(d, '%m%d') < '0125' then make_date(2025, month(d), day(d)) else make_date(2024, month(d), day(d)) end else d end::date as day
+    from (select *, o_orderdate::date as d from orders)""",
+)
 def normalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in _DATES], "raw string")
-    return rows.select("raw", dates.normalize_date(F.col("raw"), date(2024, 1, 25)).alias("day"))
-
-
-_SYMBOLS = {"AAPL": "US", "brk.b": "US", "005930": "KR", "005930.KS": "KR", "035720.kq": "KR", "BTC-USD": "CRYPTO", "TOOLONG": "OTHER", "7203.T": "OTHER"}
-
-
-@query("classify_market", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _SYMBOLS.items()) + ") t(symbol, market)")
+    """Orders' dates in eight spellings and back."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 8
+    spelled = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k == 1, F.concat(F.lit("in q"), F.quarter(d), F.lit(" "), F.year(d)))
+        .when(k == 2, F.date_format(d, "MMMM d, yyyy"))
+        .when(k == 3, F.date_format(d, "MMM. d"))
+        .when(k == 4, F.concat(F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMM yyyy")))
+        .when(k == 5, F.date_format(d, "M/d/yyyy"))
+        .when(k == 6, F.lit("TBD"))
+        .otherwise(F.date_format(d, "yyyy-MM-dd"))
+    )
+    told = table(spark, sf_dir, "orders").select("o_orderkey", spelled.alias("raw"))
+    return told.select("o_orderkey", dates.normalize_date(F.col("raw"), date(2024, 1, 25)).alias("day"))
+
+
+@query("classify_market", "select c_custkey, case c_custkey % 7 when 0 then 'KR' when 1 then 'KR' when 2 then 'CRYPTO' when 3 then 'US' when 4 then 'OTHER' when 5 then 'US' else 'OTHER' end as market from customer")
 def classify_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in _SYMBOLS], "symbol string")
-    return rows.select("symbol", market.classify_market(F.col("symbol")).alias("market"))
+    """Symbols of seven kinds made of customers' keys and segments."""
+    key, k, name = F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.col("c_custkey") % 7, F.col("c_mktsegment")
+    symbol = (
+        F.when(k == 0, key).when(k == 1, F.concat(key, F.lit(".kq"))).when(k == 2, F.concat(F.substring(name, 1, 3), F.lit("-USD")))
+        .when(k == 3, F.substring(name, 1, 5)).when(k == 4, F.concat(name, F.lit("LONG"))).when(k == 5, F.concat(F.lower(F.substring(name, 1, 3)), F.lit(".b"))).otherwise(F.concat(F.substring(key, 3, 4), F.lit(".T")))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", market.classify_market(symbol).alias("market"))
 
 
 @query(
@@ -280,9 +304,14 @@ def critical_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urgent.join(sent, "id", "left_anti").select("id", "importance_score")
 
 
-@query("ipo_gate", r"select doc_id, regexp_matches(lower(text), '\bipo\b') or (regexp_matches(lower(text), '\b(public|listing|that)\b') and regexp_matches(lower(text), '\b(price|shares|with)\b')) as gate from documents")
+def _any_of(some: Sequence[str]) -> str:
+    return "(" + " or ".join(f"contains(lower(text), '{w}')" for w in some) + ")"
+
+
+@query("ipo_gate", f"select doc_id, {_any_of(words.LISTING_STRONG)} or ({_any_of(words.LISTING_WEAK)} and {_any_of(words.LISTING_CONTEXT)}) as gate from (select doc_id, text || case doc_id % 4 when 0 then ' debut' when 1 then ' Listed on' when 2 then ' IPO' else '' end || case when doc_id % 3 = 0 then ' Underwriter' else '' end as text from documents)")
 def ipo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strong word, or a weak one with context."""
-    t = F.lower("text")
-    gate = t.rlike(r"\bipo\b") | (t.rlike(r"\b(public|listing|that)\b") & t.rlike(r"\b(price|shares|with)\b"))
-    return table(spark, sf_dir, "documents").select("doc_id", gate.alias("gate"))
+    """A strong word, or a weak one with context; texts have some of each by rule."""
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, " debut").when(k == 1, " Listed on").when(k == 2, " IPO").otherwise("")
+    whole = F.concat("text", more, F.when(F.col("doc_id") % 3 == 0, " Underwriter").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.speaks_of_listing(whole).alias("gate"))

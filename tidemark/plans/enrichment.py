@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import words
 from tidemark.operators import enrich
 from tidemark.plans.base import query, r6, table
 from tidemark.streaming import ingest, windows
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return r"(^|\W)(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")(\W|$)"
+def _any(some: tuple[str, ...]) -> str:
+    return r"(^|\W)(?:" + "|".join(some) + r")(\W|$)"
 
 
 @query("rule_classify", "select doc_id, case " + " ".join(f"when regexp_matches(lower(text), '{_any(w)}') then '{k}'" for k, w in enrich.KINDS) + " else 'noise' end as event_type from documents")
@@ -19,17 +20,38 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", enrich.rule_kind(F.col("text")).alias("event_type"))
 
 
-def _sum(words: tuple[str, ...]) -> str:
-    return " + ".join(f"contains(lower(text), '{w}')::bigint" for w in words)
+def _sum(some: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(lower(text), '{w}')::bigint" for w in some)
+
+
+#: Turns argue by rule: each third one for a rise, each third for a fall.
+_ARGUED_SQL = "select conv_id, turn, role, text || case (conv_id + turn) % 3 when 0 then ' Strong growth, upside and a rally' when 1 then ' Downside risk: weak, overvalued' else ' buy or sell' end as text from conversations"
+
+
+def _argued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    more = F.when(k == 0, " Strong growth, upside and a rally").when(k == 1, " Downside risk: weak, overvalued").otherwise(" buy or sell")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", more).alias("text"))
 
 
 @query(
     "debate_tally",
-    f"select *, case when bullish - bearish >= 1 then 'bullish' when bullish - bearish <= -1 then 'bearish' else 'neutral' end as lean from (select conv_id, turn, {_sum(enrich.BULLISH)} as bullish, {_sum(enrich.BEARISH)} as bearish from conversations)",
+    f"select *, case when bullish - bearish >= 1 then 'bullish' when bullish - bearish <= -1 then 'bearish' else 'neutral' end as lean from (select conv_id, turn, {_sum(words.BULLISH)} as bullish, {_sum(words.BEARISH)} as bearish from ({_ARGUED_SQL}))",
 )
 def debate_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", enrich.tally(t, enrich.BULLISH).alias("bullish"), enrich.tally(t, enrich.BEARISH).alias("bearish"), enrich.lean(t).alias("lean"))
+    return _argued(spark, sf_dir).select("conv_id", "turn", enrich.tally(t, words.BULLISH).alias("bullish"), enrich.tally(t, words.BEARISH).alias("bearish"), enrich.lean(t).alias("lean"))
+
+
+@query(
+    "debate_consensus",
+    f"""with tallied as (select conv_id, turn, role, {_sum(words.BULLISH)} as bullish, {_sum(words.BEARISH)} as bearish from ({_ARGUED_SQL})),
+    last as (select conv_id, arg_max(bullish > bearish, turn) filter (where role = 'user') as bull, arg_max(bearish > bullish, turn) filter (where role = 'assistant') as bear from tallied group by 1)
+    select conv_id, coalesce(not bull and not bear, false) as consensus from last""",
+)
+def debate_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether users and assistants, as two sides, lean one way by their last turns."""
+    return enrich.has_consensus(_argued(spark, sf_dir), ["conv_id"], "role", "text", "turn", "user", "assistant")
 
 
 @query(
