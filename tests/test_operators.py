@@ -87,6 +87,62 @@ def test_nearest_in_several_blocks(spark, monkeypatch):
     assert knn.nearest(vectors.where("id < 0"), vectors, 5).count() == 0
 
 
+def clustered(seed=8, n=150, length=6):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(length)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in rng.choice(centres)], datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 600))) for i in range(n)]
+    rows += [(200 + k, rows[3][1], rows[3][2] + timedelta(days=k)) for k in range(5)] + [(300, rows[3][1], rows[3][2])]  # copies, at one time too
+    return [*rows, (400, [0.0] * length, rows[0][2]), (401, None, rows[0][2]), (402, rows[0][1], None)]
+
+
+def likeness(v, w):
+    return sum(a * b for a, b in zip(v, w, strict=True)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5
+
+
+def test_lists_out_of_reach_lose_no_neighbour(spark, monkeypatch):
+    """Many lists, of which the first round visits one, in blocks of a few rows."""
+    rows = clustered()
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>, published_at timestamp").repartition(3)
+    for name, value in (("BLOCK", 7), ("FIRST", 1), ("TILE", 4)):
+        monkeypatch.setattr(knn, name, value)
+    found = {}
+    for r in knn.nearest(vectors, vectors.where("id % 5 = 0"), 6).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.id))
+    able = {i: v for i, v, _ in rows if v and any(v)}
+    wanted = {i: [(k, j) for k, (_, j) in enumerate(sorted((-round(likeness(v, w), 9), j) for j, w in able.items())[:6], 1)] for i, v in able.items() if i % 5 == 0}
+    assert {i: sorted(x) for i, x in found.items()} == wanted
+    table, lists = knn.index(knn.unit_rows(vectors, "id", "embedding"))
+    assert len(lists.radius) > 5 and table.count() == len(able)
+    asked = knn.unit_rows(vectors.where("id % 5 = 0"), "id", "embedding")
+    assert knn._visiting(asked, lists, lambda _, bounds: bounds > 0.9).count() < asked.count() * len(lists.radius) / 2
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_duplicates_are_those_of_the_loop(spark, monkeypatch, block):
+    """Rows are taken oldest first; each looks for its nearest fellow within three days, either way, that
+    isn't flagged itself, and is flagged if that is near enough."""
+    from tidemark.plans import retrieval
+
+    monkeypatch.setattr(knn, "BLOCK", block)
+    rows = clustered()
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>, published_at timestamp").repartition(3)
+    able = sorted((t, i, v) for i, v, t in rows if v and any(v) and t)
+    flagged = {}
+    for t, i, v in able:
+        near = [(round(likeness(v, w), 9), -j) for u, j, w in able if j != i and j not in flagged and abs(u - t) <= timedelta(days=3)]
+        best = max(near, default=(0, 0))
+        if best[0] > 0.9:
+            flagged[i] = -best[1]
+    got = {r.id: r.duplicate_of for r in retrieval.duplicates(vectors, "greedy", 0.9).collect()}
+    assert len(got) > 30 and got == flagged
+    before = {}
+    for t, i, v in able:
+        near = [(round(likeness(v, w), 9), -j) for u, j, w in able if (u, j) < (t, i) and t - u <= timedelta(days=3)]
+        if max(near, default=(0, 0))[0] > 0.9:
+            before[i] = -max(near)[1]
+    assert {r.id: r.duplicate_of for r in retrieval.duplicates(vectors, "earliest", 0.9).collect()} == before
+
+
 @pytest.mark.parametrize("name", sorted(SCHEMAS))
 def test_schemas(spark, name):
     empty = spark.createDataFrame([], SCHEMAS[name])

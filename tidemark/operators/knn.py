@@ -1,70 +1,211 @@
-"""Exact nearest neighbours of a stated set of query vectors, in blocks."""
+"""Exact nearest neighbours by inverted lists: of a stated set of queries, and of each row within a band of time.
+
+Vectors are taken at unit length. Every row is in the list of its nearest centroid; a list's radius is the greatest
+distance of a row from its centroid, so by Cauchy-Schwarz no row of it is more similar to a query than
+the centroid is, plus the radius. Lists that can't hold a result are not visited: what is found is exact, whatever the centroids are. They are fitted
+by k-means on SAMPLE rows or so; tables of up to a block are one list.
+
+A list is dealt in blocks of BLOCK rows or so, by a hash. A row is written once, to its block; queries go to the
+blocks that they visit and stream past them, so a task holds one block.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from tidemark.operators.lineage import cut
+
+#: Rows of a block, rows that centroids are fitted on, lists at most, lists that all queries visit first, queries compared at once.
+BLOCK, SAMPLE, MOST_LISTS, FIRST, TILE = 4096, 16_384, 1024, 8, 256
+#: Similarities differ in their last digits by the order of adding.
+SLACK = 1e-8
+
+
+class Lists(NamedTuple):
+    """What the driver knows of an index: each list's centroid and radius."""
+
+    centroids: np.ndarray
+    radius: np.ndarray
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The most that a row of each list can be similar to each query."""
+        if len(self.radius) == 1:  # of all rows
+            return np.full((len(queries), 1), 1 + SLACK)
+        return queries @ self.centroids.T + self.radius + SLACK
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
+
+
+def unit_rows(rows: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
+    """id, v (of length one) and further columns of the rows whose vector has a length."""
+    v = F.transform(vector_col, lambda x: x.cast("double"))
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    sized = rows.where(F.col(vector_col).isNotNull()).withColumn("length of v", size).where((F.col("length of v") > 0) & (F.col("length of v") < F.lit(float("inf"))))
+    return sized.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x / F.col("length of v")).alias("v"), *more)
+
+
+def index(rows: DataFrame, block: int | None = None) -> tuple[DataFrame, Lists]:
+    """The rows (id, v, ...) with their list, and the lists; a table that is written."""
+    rows = cut(rows)
+    n, block = rows.count(), block or BLOCK
+    if n <= block:
+        return rows.withColumn("list", F.lit(0)), Lists(np.zeros((1, 0)), np.ones(1))
+    share = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, SAMPLE / n)) + 1)
+    model = KMeans(k=max(2, min(isqrt(n), MOST_LISTS)), maxIter=4, initSteps=1, seed=42).fit(rows.where(share).select(array_to_vector("v").alias("features")))
+    centroids = np.array(model.clusterCenters(), dtype=np.float64)
+    half = (centroids**2).sum(axis=1) / 2
+    at = rows.columns.index("v")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column(at))
+                own = (v @ centroids.T - half).argmax(axis=1)
+                far = np.sqrt(((v - centroids[own]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far)], [*batch.schema.names, "list", "far"])
+
+    kept = cut(rows.mapInArrow(assign, StructType([*rows.schema, StructField("list", IntegerType()), StructField("far", DoubleType())])))
+    radius = np.zeros(len(centroids))
+    for r in kept.groupBy("list").agg(F.max("far").alias("radius")).collect():  # MOST_LISTS rows at most
+        radius[r.list] = r.radius
+    return kept.drop("far"), Lists(centroids, radius)
+
+
+def _visiting(queries: DataFrame, lists: Lists, chosen: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> DataFrame:
+    """Each query once for each list that it visits: chosen tells which, given the bounds."""
+    at = queries.columns.index("v")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TILE):
+                some = batch.slice(first, TILE)
+                i, j = np.nonzero(chosen(some, lists.bounds(_matrix(some.column(at)))))
+                out = some.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(j.astype(np.int32))], [*some.schema.names, "list"])
+
+    return queries.mapInArrow(visit, StructType([*queries.schema, StructField("list", IntegerType())]))
+
+
+def _met(rows: DataFrame, visits: DataFrame, cell: list[str], compare: Callable[[dict, dict], pa.RecordBatch | None], schema: str, block: int | None = None) -> DataFrame:
+    """What compare (of a block's columns and some queries') gives where rows and visits meet in the cells."""
+    sizes = cut(rows.groupBy(*cell).agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks")))
+    own = rows.join(sizes, cell).withColumn("block", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int")).withColumn("comes", F.lit(False)).drop("blocks")
+    coming = visits.join(sizes, cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("comes", F.lit(True)).drop("blocks")
+    keys = [*cell, "block"]
+    dealt = own.unionByName(coming, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "comes", "id")
+    names = dealt.columns
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            marks = [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in (*keys, "comes")]
+            edges = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1 if batch.num_rows else []
+            for first, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if first == end:
+                    continue
+                run, own = batch.slice(first, end - first), tuple(m[first] for m in marks[:-1])
+                if own != key:
+                    key, held = own, []
+                if not marks[-1][first]:
+                    held.append(run)
+                elif held:
+                    if isinstance(held, list):
+                        held = _columns(pa.Table.from_batches(held).combine_chunks().to_batches()[0], names)
+                    for at in range(0, run.num_rows, TILE):
+                        found = compare(held, _columns(run.slice(at, TILE), names))
+                        if found is not None:
+                            yield found
+
+    return dealt.mapInArrow(meet, schema)
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+    return {c: _matrix(batch.column(i)) if c == "v" else batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+
+
+_FOUND = "query_id bigint, id bigint, similarity double"
+
+
+def _best(k: int) -> Callable[[dict, dict], pa.RecordBatch]:
+    def compare(block: dict, some: dict) -> pa.RecordBatch:
+        sims = some["v"] @ block["v"].T
+        kth = min(k, sims.shape[1])
+        # ties with the k-th come along, and what rounding makes a tie
+        least = np.partition(sims, -kth, axis=1)[:, -kth] - SLACK
+        q, r = np.nonzero(sims >= np.maximum(least, some["least"])[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(some["id"][q]), pa.array(block["id"][r]), pa.array(sims[q, r])], ["query_id", "id", "similarity"])
 
-#: Vectors of either side that meet in one task, on average.
-BLOCK = 4096
-
-_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+    return compare
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", block: int | None = None) -> DataFrame:
     """query_id, rank, id and similarity (cosine) of the k rows of corpus nearest to each query.
 
-    Both sides are dealt into blocks by a hash of id and vector, and each pair of a query
-    block and a corpus block is a group of its own: all queries meet all rows, by shuffle, and
-    no vector passes through the driver.  A query is sent to each corpus block and a row
-    to each query block, so larger blocks shuffle less and hold more.  Each group keeps its k
-    best for each query, so the second shuffle carries k rows for each query and corpus block.
-    Vectors without length have no neighbours; ties go to the smaller id; a query finds
-    itself if it is in the corpus; equal rows of one id are in one block and each count.
-    """
-    rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    of_rows, of_queries = (max(1, -(-df.count() // BLOCK)) for df in (rows, asked))
-
-    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left = dealt(asked, "knn_q", of_queries, "knn_c", of_rows)
-    right = dealt(rows, "knn_c", of_rows, "knn_q", of_queries)
-
-    def best(some: pa.Table, all_: pa.Table) -> pa.Table:
-        if not some.num_rows or not all_.num_rows:
-            return _FOUND.empty_table()
-        query_ids, query_matrix = _vectors(some)
-        found = list(_best(query_ids, query_matrix, *_vectors(all_), k))
-        return pa.Table.from_batches(found, _FOUND)
-
-    met = left.groupBy("knn_q", "knn_c").cogroup(right.groupBy("knn_q", "knn_c")).applyInArrow(best, "query_id bigint, id bigint, similarity double")
+    All queries visit the FIRST lists by their bounds, then those others that may hold one of the k best.
+    Vectors without length have no neighbours; ties go to the smaller id; a query finds itself if it is in
+    the corpus; equal rows of one id each count."""
+    rows, lists = index(unit_rows(corpus, id_col, vector_col), block)
+    asked = cut(unit_rows(queries, id_col, vector_col).withColumn("least", F.lit(-2.0)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return met.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
-
-
-def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    v = rows.column("v").combine_chunks()
-    flat = np.asarray(v.flatten(), dtype=np.float64)
-    return rows.column("id").to_numpy(), _unit(flat.reshape(rows.num_rows, -1))
-
-
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, step: int = 512) -> Iterator[pa.RecordBatch]:
-    """Some queries at a time, so that the similarities of a block never stand all at once."""
-    for at in range(0, len(query_ids), step):
-        sims = queries[at : at + step] @ rows.T
-        sims[~np.isfinite(sims)] = -np.inf
-        # ties with the k-th come along, and what rounding makes a tie
-        least = np.partition(sims, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 1e-8
-        q, r = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + step][q]), pa.array(ids[r]), pa.array(sims[q, r])], schema=_FOUND)
-
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+
+    def first(_: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+        return bounds >= -np.partition(-bounds, FIRST - 1, axis=1)[:, FIRST - 1 : FIRST] if bounds.shape[1] > FIRST else np.ones(bounds.shape, dtype=bool)
+
+    def others(some: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+        return ~first(some, bounds) & (bounds >= some.column("least").to_numpy()[:, None])
+
+    found = ranked(_met(rows, _visiting(asked, lists, first), ["list"], _best(k), _FOUND, block))
+    if len(lists.radius) > FIRST:
+        found = cut(found)
+        full = found.groupBy(F.col("query_id").alias("id")).agg(F.min("similarity").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
+        least = F.coalesce(F.col("kth") - SLACK, F.lit(-2.0))
+        again = asked.drop("least").join(full, "id", "left").select("id", "v", least.alias("least"))
+        more = _met(rows, _visiting(again, lists, others), ["list"], _best(k), _FOUND, block)
+        found = ranked(found.drop("rank").unionByName(more))
+    return found.select("query_id", "rank", "id", "similarity")
+
+
+def nearest_in_band(vectors: DataFrame, theta: float, days: int, earlier: bool, id_col: str = "id", vector_col: str = "embedding", time_col: str = "published_at", block: int | None = None) -> DataFrame:
+    """id, other, similarity: of each row that has one, the most similar row above theta that was published up to some days
+    earlier (or later, if not earlier; at one time the smaller id is the earlier), ties to the smaller id.
+
+    Rows are kept by list and by days of that width; a row visits the lists within its reach in its own
+    width and the one before (or after), and brings back its best of each block."""
+    width = days * 86_400_000_000
+    at = F.unix_micros(F.col(time_col).cast("timestamp")).alias("t")
+    rows, lists = index(unit_rows(vectors.where(F.col(time_col).isNotNull()), id_col, vector_col, at), block)
+    rows = rows.withColumn("band", F.floor(F.col("t") / width))
+    asked = _visiting(rows.select("id", "v", "t"), lists, lambda _, bounds: bounds > theta)
+    reach = F.array(*(F.floor(F.col("t") / width) + d for d in ((0, -1) if earlier else (0, 1))))
+    visits = asked.withColumn("band", F.explode(reach))
+
+    def compare(block: dict, some: dict) -> pa.RecordBatch | None:
+        sims = some["v"] @ block["v"].T
+        apart = some["t"][:, None] - block["t"] if earlier else block["t"] - some["t"][:, None]
+        at_once = some["id"][:, None] > block["id"] if earlier else some["id"][:, None] < block["id"]
+        sims[~((apart <= width) & ((apart > 0) | ((apart == 0) & at_once))) | (sims <= theta)] = -2
+        best = np.round(sims, 9).argmax(axis=1)  # the block is in order of ids
+        rows = np.arange(len(best))
+        some_best = sims[rows, best]
+        found = np.flatnonzero(some_best > -2)
+        return pa.RecordBatch.from_arrays([pa.array(some["id"][found]), pa.array(block["id"][best[found]]), pa.array(some_best[found])], ["id", "other", "similarity"]) if len(found) else None
+
+    met = _met(rows, visits, ["list", "band"], compare, "id bigint, other bigint, similarity double", block)
+    best = F.max_by(F.struct("other", "similarity"), F.struct(F.round("similarity", 9), -F.col("other")))
+    return met.groupBy("id").agg(best.alias("best")).select("id", "best.other", "best.similarity")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.vector import cosine
 from tidemark.operators.asof import band_join
-from tidemark.operators.knn import nearest
+from tidemark.operators.knn import nearest, nearest_in_band
 from tidemark.operators.topk import top_per_group
 from tidemark.plans.base import query, r6, table, view
 
@@ -39,21 +38,11 @@ def knn_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = nearest(vectors, vectors.where("id % 50 = 0"), 20)
     labelled = near.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
     best = top_per_group(labelled, ["query_id"], [F.desc_nulls_last("quality"), F.desc(F.round("similarity", 9)), F.col("id")], 5, "place")
-    return best.select("query_id", "id", "quality", r6("similarity").alias("similarity"))
+    return best.select("query_id", "id", "quality", r6(F.col("similarity")).alias("similarity"))
 
 
-def neighbours(vectors: DataFrame, theta: float = THETA, days: int = DAYS) -> DataFrame:
-    """a, b, similarity: pairs published within some days of each other and similar; a is the
-    earlier, by time and then id."""
-    left = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), F.col("published_at").alias("ta"))
-    right = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), F.col("published_at").alias("tb"))
-    earlier = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
-    pairs = band_join(left, right, "ta", "tb", days, [earlier])
-    return pairs.withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > theta).select("a", "b", "similarity")
-
-
-def duplicates(pairs: DataFrame, keep: str) -> DataFrame:
-    """id, duplicate_of, similarity of flagged rows.
+def duplicates(vectors: DataFrame, keep: str, theta: float = THETA, days: int = DAYS) -> DataFrame:
+    """id, duplicate_of, similarity of flagged rows: neighbours are rows published within some days of each other and similar.
 
     keep 'earliest': a row with an earlier neighbour is a duplicate of the nearest such.
 
@@ -64,9 +53,8 @@ def duplicates(pairs: DataFrame, keep: str) -> DataFrame:
     itself as a later one and were flagged, so it stays.  Hence a row is flagged
     just if it has a later neighbour, and points to the nearest of these.
     """
-    own, other = ("b", "a") if keep == "earliest" else ("a", "b")
-    best = F.max_by(F.struct(other, "similarity"), F.struct(F.round("similarity", 9), -F.col(other)))
-    return pairs.groupBy(F.col(own).alias("id")).agg(best.alias("best")).select("id", F.col(f"best.{other}").alias("duplicate_of"), r6(F.col("best.similarity")).alias("similarity"))
+    found = nearest_in_band(vectors, theta, days, earlier=keep == "earliest")
+    return found.select("id", F.col("other").alias("duplicate_of"), r6(F.col("similarity")).alias("similarity"))
 
 
 _PAIRS = f"(select x.id as a, y.id as b, {_COS.format('x.embedding', 'y.embedding')} as sim from vec_v x join vec_v y on x.published_at < y.published_at and y.published_at <= x.published_at + interval 3 day)"
@@ -74,12 +62,12 @@ _PAIRS = f"(select x.id as a, y.id as b, {_COS.format('x.embedding', 'y.embeddin
 
 @query("dedup_earliest_wins", f"select b as id, arg_max(a, (round(sim, 9), -a)) as duplicate_of, round(max(sim), 6) as similarity from {_PAIRS} where sim > 0.35 group by b", "vec_v")
 def dedup_earliest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(neighbours(view(spark, sf_dir, "vec_v")), "earliest")
+    return duplicates(view(spark, sf_dir, "vec_v"), "earliest")
 
 
 @query("dedup_greedy", f"select a as id, arg_max(b, (round(sim, 9), -b)) as duplicate_of, round(max(sim), 6) as similarity from {_PAIRS} where sim > 0.35 group by a", "vec_v")
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(neighbours(view(spark, sf_dir, "vec_v")), "greedy")
+    return duplicates(view(spark, sf_dir, "vec_v"), "greedy")
 
 
 @query("backlog_dedup", "select id, published_at from vec_v where id % 3 <> 0 order by published_at, id limit 200", "vec_v")
