@@ -63,6 +63,11 @@ class StoredTable:
         """rows as they are, whatever keys they have: for logs."""
         self._merge(rows, lambda old: old.unionByName(rows.select(*old.columns)))
 
+    def overwrite(self, value: str, rows: DataFrame) -> None:
+        """rows in place of the partition with that value of by, a text; it goes where there are none."""
+        self.recover()
+        self._write(rows.where(F.col(self.by) == value), [f"{self.by}={value}"])
+
     def delete(self, *conditions: Column) -> None:
         """The table without the rows that meet any condition; an unknown one deletes nothing."""
         gone = F.lit(False)

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.base import query
-from tidemark.streaming import states, windows
+from tidemark.plans.base import query, table
+from tidemark.streaming import staged, states, windows
 
 
 @query(
@@ -78,3 +78,25 @@ def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors bring their user back after half an hour, twice in a row at most, unless something else came first."""
     told = windows.read_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
     return windows.drain(states.retries(told, 1800)).withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
+@query(
+    "staged_cycle",
+    """select event_id, case when event_id % 97 <> 0 then case when value > 400 then 'high' when value > 100 then 'medium' else 'low' end end as urgency,
+    case when event_id % 97 <> 0 then round(case when value <= 100 then 1.0 else value / 50 end, 6) end as importance from events""",
+)
+def staged_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through two stages whose limits are less than all rows, landed in two batches that overlap; each 97th
+    gets no answer and is given up. As many cycles run as it takes."""
+    events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), "ts", "value")
+    limit = max(events.count() * 2 // 3, 1)  # 50 and 20 in production, with rows to match
+    urgency = F.when(F.col("value") > 400, "high").when(F.col("value") > 100, "medium").otherwise("low")
+    classify = staged.Stage("classify", limit, lambda rows: rows.where("event_id % 97 <> 0").select("event_id", "day", urgency.alias("urgency")))
+    importance = F.round(F.when(F.col("urgency") == "low", 1.0).otherwise(F.col("value") / 50), 6)
+    rank = staged.Stage("rank", limit, lambda rows: rows.select("event_id", "day", importance.alias("importance")))
+    schema = "event_id bigint, day date, ts timestamp_ntz, value double, urgency string, importance double"
+    cycle = staged.StagedCycle(spark, f"{windows.checkpoint(spark)}/staged", schema, "event_id", "day", "ts", [classify, rank], attempts=2)
+    cycle.land(events.where("event_id % 3 <> 0"))
+    cycle.land(events.where("event_id % 3 <> 1"))
+    cycle.drain()
+    return cycle.rows.read().select("event_id", "urgency", "importance")
