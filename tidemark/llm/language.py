@@ -35,7 +35,7 @@ SIZES = (1, 2, 3, 4)
 #: Cells of a model's table: beyond 256 languages each has fewer buckets.
 CELLS = 1 << 23
 #: Bytes of text whose distinct words are scored together.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
 #: Log-likelihood that a change of language between two words costs.
 SWITCH = 12.0
 #: A language is a candidate for a script that so many of its words begin in.
