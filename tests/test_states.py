@@ -47,3 +47,35 @@ def test_a_failure_comes_back_in_a_later_batch(spark, tmp_path):
     )
     got = sorted((r.key, r.attempt, int((r.due - T).total_seconds() // 60)) for r in windows.drain(states.retries(rows, 300, late="5 minutes")).collect())
     assert got == [("a", 2, 5), ("a", 2, 46), ("a", 3, 15), ("b", 2, 35), ("d", 2, 5)]
+
+
+def test_a_snapshot_then_increments_then_heartbeats(spark, tmp_path):
+    """Batches that come while the query runs; when nothing comes, a heartbeat for each topic."""
+    import time
+
+    from tidemark.streaming.increments import pushed
+
+    schema, sent = "topic string, value double", []
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def wait(done):
+        until = time.time() + 60
+        while not done() and time.time() < until:
+            time.sleep(0.2)
+        assert done(), sent
+
+    put(("a", 1.0), ("a", None), ("b", 2.0), (None, 1.0))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = pushed(stream, 2).writeStream.outputMode("update").foreachBatch(lambda batch, _: sent.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    try:
+        wait(lambda: len(sent) >= 2)
+        assert sorted(sent[:2]) == [("a", "snapshot", 2, 1.0), ("b", "snapshot", 1, 2.0)]
+        wait(lambda: {r[0] for r in sent if r[1] == "heartbeat"} == {"a", "b"})
+        put(("a", 5.0), ("c", 1.0))
+        wait(lambda: ("a", "increment", 1, 5.0) in sent and ("c", "snapshot", 1, 1.0) in sent)
+        told = len(sent)
+        wait(lambda: {r[0] for r in sent[told:] if r[1] == "heartbeat"} == {"a", "b", "c"})
+    finally:
+        query.stop()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.base import query, table
-from tidemark.streaming import staged, states, windows
+from tidemark.streaming import increments, staged, states, windows
 
 
 @query(
@@ -100,3 +100,23 @@ def staged_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycle.land(events.where("event_id % 3 <> 1"))
     cycle.drain()
     return cycle.rows.read().select("event_id", "urgency", "importance")
+
+
+@query("stream_increments", "select event_type as topic, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def stream_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber to all topics adds up to: a snapshot and the increments after it."""
+    where = windows.checkpoint(spark)
+    sent = increments.pushed(windows.read_events(spark, sf_dir).select(F.col("event_type").alias("topic"), "value"))
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{where}/out")
+
+    batches = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(batches)
+    spark.conf.set(batches, "false")  # else batches without data come for the heartbeats, without an end
+    try:
+        sent.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(batches, before)
+    told = spark.read.parquet(f"{where}/out")
+    return told.groupBy("topic").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
