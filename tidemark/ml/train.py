@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
+
 
 def fit(rows: DataFrame, features: list[str], depth: int = 2, trees: int = 5, seed: int = 5):
     """Trees on the weighted rows."""
@@ -45,7 +47,7 @@ def walk_forward(rows: DataFrame, features: list[str], folds: int = 3, depth: in
     folds, a fixed number; each step is a Spark job over all tickers.
     """
     out = []
-    rows = rows.persist()
+    rows = cut(rows)
     for fold in range(1, folds + 1):
         train, test = rows.where(F.col("fold") < fold), rows.where(F.col("fold") == fold)
         model = fit(train, features, depth, trees)

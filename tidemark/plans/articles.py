@@ -87,8 +87,9 @@ def _backlog(name: str, where: str, condition) -> None:
 
 
 _backlog("backlog_unclassified", "event_type is null", lambda: F.col("event_type").isNull())
-_backlog("backlog_unranked", "event_type is not null and event_type <> 'noise' and importance_score is null", lambda: F.col("event_type").isNotNull() & (F.col("event_type") != "noise") & F.col("importance_score").isNull())
-_backlog("backlog_geo", "country is null", lambda: F.col("country").isNull())
+# every seventh's rank and every ninth's country are still to come here
+_backlog("backlog_unranked", "event_type is not null and event_type <> 'noise' and (importance_score is null or id % 7 = 0)", lambda: F.col("event_type").isNotNull() & (F.col("event_type") != "noise") & (F.col("importance_score").isNull() | (F.col("id") % 7 == 0)))
+_backlog("backlog_geo", "country is null or id % 9 = 0", lambda: F.col("country").isNull() | (F.col("id") % 9 == 0))
 # the number of attempts so far stands in id % 5 here; some were never tried
 _backlog("backlog_unembedded", "coalesce(nullif(id % 5, 4), 0) < 3 and event_type is null", lambda: (F.coalesce(F.nullif(F.col("id") % 5, F.lit(4)), F.lit(0)) < 3) & F.col("event_type").isNull())
 

@@ -170,29 +170,37 @@ def price_move_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.join(sent, ["ticker", "bar_date"], "left_anti").select("ticker", "bar_date", r6("pct").alias("pct"))
 
 
+def _labelled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from the 21st on with the next close, l."""
+    later, i = F.lead("close", 1).over(series()), F.row_number().over(series())
+    return view(spark, sf_dir, "bars_v").withColumn("l", later).withColumn("i", i).where("i > 20 and l is not null").drop("i")
+
+
 @query(
     "forward_labels",
-    "select ticker, bar_date, case when l > close then 1 else 0 end as label, round((l - close) / close, 6) as forward_return from (select *, lead(close, 5) over (partition by ticker order by bar_date) as l, row_number() over (partition by ticker order by bar_date) as i from bars_v) where i > 5 and l is not null",
+    "select ticker, bar_date, case when l > close then 1 else 0 end as label, round((l - close) / close, 6) as forward_return from (select *, lead(close, 1) over (partition by ticker order by bar_date) as l, row_number() over (partition by ticker order by bar_date) as i from bars_v) where i > 20 and l is not null",
     "bars_v",
 )
 def forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    later, i = F.lead("close", 5).over(series()), F.row_number().over(series())
-    rows = view(spark, sf_dir, "bars_v").withColumn("l", later).withColumn("i", i).where("i > 5 and l is not null")
+    """Whether the next close is higher, from the 21st bar on: the windows of the features are full by then."""
+    rows = _labelled_bars(spark, sf_dir)
     return rows.select("ticker", "bar_date", F.when(F.col("l") > F.col("close"), 1).otherwise(0).alias("label"), r6((F.col("l") - F.col("close")) / F.col("close")).alias("forward_return"))
 
 
 @query(
     "timeseries_folds",
-    "select ticker, bar_date, greatest(0, cast(floor((i - 1 - (n - 3 * floor(n / 4))) / floor(n / 4)) as bigint) + 1) as fold, round(exp(-0.003::double * (n - i)), 6) as weight from (select ticker, bar_date, row_number() over (partition by ticker order by bar_date) as i, count(*) over (partition by ticker) as n from bars_v)",
+    """select ticker, bar_date, greatest(0, cast(floor((i - 1 - (n - 5 * s)) / s) as bigint) + 1) as fold, round(exp(-0.003::double * (n - i)) * (abs(r) + 0.001), 6) as weight from (select *, greatest(1, floor(n / 6)) as s from (
+    select ticker, bar_date, (l - close) / close as r, row_number() over (partition by ticker order by bar_date) as i, count(*) over (partition by ticker) as n from (select *, lead(close, 1) over (partition by ticker order by bar_date) as l, row_number() over (partition by ticker order by bar_date) as k from bars_v) where k > 20 and l is not null))""",
     "bars_v",
 )
 def timeseries_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three walk-forward folds: 0 is only trained on, fold k is tested after all before it;
-    weights fade with age."""
+    """Five walk-forward folds of the labelled bars: 0 is only trained on, fold k is tested after all before
+    it; weights fade with age and grow with the move."""
     i, n = F.row_number().over(series()), F.count("*").over(Window.partitionBy("ticker"))
-    rows = view(spark, sf_dir, "bars_v").select("ticker", "bar_date", i.alias("i"), n.alias("n")).withColumn("size", F.floor(F.col("n") / 4))
-    fold = F.greatest(F.lit(0), F.floor((F.col("i") - 1 - (F.col("n") - 3 * F.col("size"))) / F.col("size")) + 1)
-    return rows.select("ticker", "bar_date", fold.cast("long").alias("fold"), r6(F.exp(-0.003 * (F.col("n") - F.col("i")))).alias("weight"))
+    move = F.abs((F.col("l") - F.col("close")) / F.col("close")) + 0.001
+    rows = _labelled_bars(spark, sf_dir).select("ticker", "bar_date", move.alias("move"), i.alias("i"), n.alias("n")).withColumn("size", F.greatest(F.lit(1), F.floor(F.col("n") / 6)))
+    fold = F.greatest(F.lit(0), F.floor((F.col("i") - 1 - (F.col("n") - 5 * F.col("size"))) / F.col("size")) + 1)
+    return rows.select("ticker", "bar_date", fold.cast("long").alias("fold"), r6(F.exp(-0.003 * (F.col("n") - F.col("i"))) * F.col("move")).alias("weight"))
 
 
 @query(

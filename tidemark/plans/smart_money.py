@@ -75,6 +75,15 @@ _ASOF_SQL = "(select cast(d as date) as as_of_day, d + interval '23:59:59' hour
 )
 
 
+def _seen(spark: SparkSession, facts: DataFrame, days: int, months: int) -> DataFrame:
+    """Facts (filed_at, ...) once for each as-of time that sees them: filed up to it and less than some days
+    before, which so many further months cover."""
+    month = F.trunc(F.to_date("filed_at"), "month")
+    sent = facts.withColumn("month", F.explode(F.sequence(month, F.add_months(month, months), F.expr("interval 1 month"))))
+    times = month_starts(spark, "1997-01-01", "1998-06-01").withColumn("month", F.trunc("as_of_day", "month"))
+    return sent.join(F.broadcast(times), "month").where(f"filed_at <= as_of and filed_at > as_of - interval {days} days")
+
+
 @query(
     "insider_features_asof",
     f"""select as_of_day, ticker, count(*) filter (where b) as buys_90, count(*) filter (where s) as sells_90, count(distinct case when b and filed_at > as_of - interval 30 day then insider_name end) as buyers_30,
@@ -87,22 +96,28 @@ _ASOF_SQL = "(select cast(d as date) as as_of_day, d + interval '23:59:59' hour
 def insider_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was known of insiders at each as-of time: 90 days of filings, the time of filing included.
 
-    Each filing is sent to the as-of times that see it (a filing month meets at most
-    four), so a band join becomes an equi-join on months.
+    Filings are summed by ticker and time of filing first; each sum is sent to the as-of times that
+    see it (a filing month meets at most four), so a band join becomes an equi-join on months. Buyers
+    are told apart by a second, narrower way: each one's purchases of a time once, for 30 days.
     """
     known = view(spark, sf_dir, "insider_v").where("filed_at > timestamp_ntz '1996-10-01' and filed_at < timestamp_ntz '1998-06-02'")  # 90 days before the first time, to the last
-    insider = known.withColumn("month", F.explode(F.sequence(F.trunc(F.to_date("filed_at"), "month"), F.add_months(F.trunc(F.to_date("filed_at"), "month"), 4), F.expr("interval 1 month"))))
-    times = month_starts(spark, "1997-01-01", "1998-06-01").withColumn("month", F.trunc("as_of_day", "month"))
-    seen = insider.join(F.broadcast(times), "month").where("filed_at <= as_of and filed_at > as_of - interval 90 days")
+    newest = F.when(buy(), F.struct("filed_at", "line_key"))
+    summed = known.groupBy("ticker", "filed_at").agg(
+        F.count_if(buy()).alias("buys"),
+        F.count_if(sell()).alias("sells"),
+        F.sum(F.col("value_usd").cast(CENTS)).alias("value"),
+        F.max(newest).alias("newest buy"),
+        F.max_by(F.when(buy(), F.col("transaction_date")), newest).alias("bought on"),
+    )
     in_30 = F.col("filed_at") > F.col("as_of") - F.expr("interval 30 days")
-    net = F.coalesce(F.sum(F.when(in_30, F.col("value_usd").cast(CENTS))), F.lit(0).cast(CENTS)).cast("double")
-    out = seen.groupBy("as_of_day", "ticker").agg(
-        F.count_if(buy()).alias("buys_90"),
-        F.count_if(sell()).alias("sells_90"),
-        F.count_distinct(F.when(buy() & in_30, F.col("insider_name"))).alias("buyers_30"),
-        net.alias("net"),
-        F.max_by(F.when(buy(), F.col("transaction_date")), F.when(buy(), F.struct("filed_at", "line_key"))).alias("last_buy"),
+    out = _seen(spark, summed, 90, 4).groupBy("as_of_day", "ticker").agg(
+        F.sum("buys").alias("buys_90"),
+        F.sum("sells").alias("sells_90"),
+        F.coalesce(F.sum(F.when(in_30, F.col("value"))), F.lit(0)).cast("double").alias("net"),
+        F.max_by("bought on", "newest buy").alias("last_buy"),
     )
+    buyers = _seen(spark, known.where(buy()).select("ticker", "filed_at", "insider_name").distinct(), 30, 2).groupBy("as_of_day", "ticker").agg(F.count_distinct("insider_name").alias("buyers"))
+    out = out.join(buyers, ["as_of_day", "ticker"], "left").withColumn("buyers_30", F.coalesce("buyers", F.lit(0)))
     return out.select("as_of_day", "ticker", "buys_90", "sells_90", "buyers_30", r6(signed_log(F.col("net"))).alias("net_30"), F.datediff("as_of_day", "last_buy").cast("long").alias("days_since_buy"))
 
 
@@ -115,11 +130,9 @@ def insider_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stake_features_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large stakes known at each time; purchases stand for activist filings here."""
     stakes = view(spark, sf_dir, "insider_v").where("value_usd > 50000 and filed_at > timestamp_ntz '1996-07-01' and filed_at < timestamp_ntz '1998-06-02'")  # 180 days before the first time, to the last
-    month = F.trunc(F.to_date("filed_at"), "month")
-    sent = stakes.withColumn("month", F.explode(F.sequence(month, F.add_months(month, 7), F.expr("interval 1 month"))))
-    times = month_starts(spark, "1997-01-01", "1998-06-01").withColumn("month", F.trunc("as_of_day", "month"))
-    seen = sent.join(F.broadcast(times), "month").where("filed_at <= as_of and filed_at > as_of - interval 180 days")
-    return seen.groupBy("as_of_day", "ticker").agg(F.count_if((F.col("transaction_code") == "P") & (F.col("filed_at") > F.col("as_of") - F.expr("interval 90 days"))).alias("activist_90"), F.count("*").alias("any_180"))
+    summed = stakes.groupBy("ticker", "filed_at").agg(F.count_if(F.col("transaction_code") == "P").alias("activist"), F.count("*").alias("n"))
+    in_90 = F.col("filed_at") > F.col("as_of") - F.expr("interval 90 days")
+    return _seen(spark, summed, 180, 7).groupBy("as_of_day", "ticker").agg(F.sum(F.when(in_90, F.col("activist")).otherwise(0)).alias("activist_90"), F.sum("n").alias("any_180"))
 
 
 

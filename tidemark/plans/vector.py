@@ -235,7 +235,7 @@ def labelled(vectors: DataFrame, bars: DataFrame, horizon: int, folds: int) -> D
     the size of the move) and fold: 0 is only trained on, the folds after it are equal parts."""
     close, later = F.col("close"), F.lead("close", horizon).over(series())
     whole = Window.partitionBy("ticker")
-    ahead = bars.select("ticker", F.col("bar_date").alias("day"), "close", later.alias("later"), F.row_number().over(series()).alias("i")).where(F.col("later").isNotNull() & (F.col("i") >= ENOUGH))
+    ahead = bars.select("ticker", F.col("bar_date").alias("day"), "close", later.alias("later"), F.row_number().over(series()).alias("i")).where(F.col("later").isNotNull() & (F.col("i") > ENOUGH))
     i, n = F.row_number().over(whole.orderBy("day")), F.count("*").over(whole)
     size = F.greatest(F.floor(n / (folds + 1)), F.lit(1))
     fold = F.greatest(F.floor((i - 1 - (n - folds * size)) / size) + 1, F.lit(0)).cast("int")
