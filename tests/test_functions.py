@@ -16,7 +16,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("t", "strict", "compat"),
-    [("AAPL beats estimates", True, True), ("the best day", False, True), ("THE CEO", False, False), ("costs $5", True, True), ("quarterly earnings rise", True, True), ("stockpile of wood", False, True), ("", False, False), (None, False, False)],
+    [("AAPL beats estimates", True, True), ("the best day", False, True), ("THE GPU", False, False), ("costs $5", True, True), ("quarterly earnings rise", True, True), ("stockpile of wood", False, True), ("", False, False), (None, False, False)],
 )
 def test_financial_content(spark, t, strict, compat):
     rows = spark.createDataFrame([(t,)], "t string")
@@ -24,6 +24,38 @@ def test_financial_content(spark, t, strict, compat):
     assert (got.s, got.c) == (strict, compat)
 
 
+def test_calendar_windows(spark):
+    from datetime import date
+
+    import pytest
+
+    first, last = dates.month_bounds(F.lit("2024-02-11").cast("date"))
+    assert (one(spark, first), one(spark, last)) == (date(2024, 2, 1), date(2024, 2, 29))
+    assert dates.checked_window(date(2024, 1, 1), date(2025, 2, 4)) == (date(2024, 1, 1), date(2025, 2, 4))
+    for window in ((date(2024, 1, 2), date(2024, 1, 1)), (date(2024, 1, 1), date(2025, 2, 5))):
+        with pytest.raises(ValueError):
+            dates.checked_window(*window)
+
+
+def test_what_models_answer(spark):
+    from tidemark.operators import enrich, upsert
+
+    notes = spark.createDataFrame([([(" aapl ", "a"), ("AAPL", "b"), (None, "x"), ("  ", "y"), ("ibm", None)],), (None,)], "n array<struct<ticker:string,summary:string>>")
+    assert [r.m for r in notes.select(text.notes_map(F.col("n")).alias("m")).collect()] == [{"AAPL": "b", "IBM": ""}, {}]
+    calls = spark.createDataFrame([((None, None), (5, 6), (7, 8)), ((1, None), (5, 6), None), ((None, 2), None, (7, 8)), ((None, None), (5, None), (7, 8)), (None, None, None)], "e struct<prompt:int,candidate:int>, m struct<prompt:int,candidate:int>, u struct<prompt:int,candidate:int>")
+    used = calls.select(enrich.token_usage(F.col("e"), F.col("m"), F.col("u")).alias("t")).collect()
+    assert [tuple(r.t) for r in used] == [(5, 6), (1, 6), (7, 2), (5, 0), (0, 0)]
+    failures = spark.createDataFrame([(429, None), (None, "Read TIMED OUT"), (400, "bad json"), (None, None), (503, "x")], "s int, m string")
+    assert [r.t for r in failures.select(enrich.is_transient(F.col("s"), F.col("m")).alias("t")).collect()] == [True, True, False, False, True]
+    rows = enrich.mark_noise(spark.createDataFrame([(1, "general"), (2, None)], "i int, event_type string"), F.col("i") == 2).orderBy("i").collect()
+    assert [(r.event_type, r.urgency, r.sentiment_score) for r in rows] == [("general", None, None), ("noise", "low", 0.0)] and rows[1].classification_summary == enrich.NOISE_SUMMARY
+    posts = spark.createDataFrame([("social", "reddit/stocks"), ("social", "x"), ("rss", "reddit/x"), (None, None)], "k string, n string")
+    assert [r.p for r in posts.select(text.is_forum_post(F.col("k"), F.col("n")).alias("p")).collect()] == [True, False, False, False]
+    old = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "t string, n int, first int")
+    new = spark.createDataFrame([("b", 9, 5), ("c", 3, 5)], "t string, n int, first int")
+    assert sorted(map(tuple, upsert.keep_first(old, new, ["t"], ["first"]).collect())) == [("a", 1, 1), ("b", 9, 1), ("c", 3, 5)]
+
+
 def test_text_helpers(spark):
     assert one(spark, text.strip_html(F.lit("<p>a &amp; b<script>x</p></script><!-- c --></p>"))) == "a & b"
     assert one(spark, text.strip_code_fence(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'

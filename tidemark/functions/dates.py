@@ -50,6 +50,24 @@ def normalize_date(text: Column, as_of: date) -> Column:
     return F.when(~empty, F.coalesce(iso, of_quarter, of_day, day_first, by_slash, rolled, relative))
 
 
+#: Fixed value: days that a calendar's window may span.
+MOST_DAYS = 400
+
+
+def month_bounds(day: Column) -> tuple[Column, Column]:
+    """The first and the last day of a date's month: a calendar's window where none is asked for."""
+    return F.trunc(day, "month"), F.last_day(day)
+
+
+def checked_window(first: date, last: date) -> tuple[date, date]:
+    """The window, if it is one; else an error that says why."""
+    if first > last:
+        raise ValueError("the window's first day is after its last")
+    if (last - first).days > MOST_DAYS:
+        raise ValueError(f"the window spans more than {MOST_DAYS} days")
+    return first, last
+
+
 def next_trading_day(day: Column) -> Column:
     """The following weekday."""
     weekday = F.dayofweek(day)  # 1 is Sunday

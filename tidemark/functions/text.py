@@ -88,6 +88,24 @@ def comment_lines(comments: Column) -> Column:
     return F.when(F.coalesce(F.size(told), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise("(No comments)")
 
 
+def notes_map(notes: Column) -> Column:
+    """Notes (array of ticker, summary) as a map from the ticker, trimmed and in capitals, to the
+    summary; of several notes on one ticker the last stays, a note without a ticker goes."""
+    empty = F.create_map().cast("map<string,string>")
+
+    def put(made: Column, note: Column) -> Column:
+        key = F.upper(F.trim(F.coalesce(note["ticker"], F.lit(""))))
+        others = F.map_filter(made, lambda k, _: k != key)
+        return F.when(key == "", made).otherwise(F.map_concat(others, F.create_map(key, F.coalesce(note["summary"], F.lit("")))))
+
+    return F.aggregate(F.coalesce(notes, F.array().cast("array<struct<ticker:string,summary:string>>")), empty, put)
+
+
+def is_forum_post(source_type: Column, source_name: Column) -> Column:
+    """A social post of the forum whose comments can be read."""
+    return F.coalesce((source_type == "social") & source_name.startswith("reddit"), F.lit(False))
+
+
 def country_codes(codes: Column) -> Column:
     """Two-letter codes of a model's answer, in capitals; anything else goes."""
     return F.transform(F.filter(codes, lambda c: F.length(F.trim(c)) == 2), lambda c: F.upper(F.trim(c)))

@@ -74,6 +74,38 @@ def lean(text: Column, margin: int = 1) -> Column:
     return F.when(d >= margin, "bullish").when(d <= -margin, "bearish").otherwise("neutral")
 
 
+#: Fixed value: what a row says that was no work for a model.
+NOISE_SUMMARY = "Filtered out by pre-classification noise heuristics."
+
+
+def mark_noise(rows: DataFrame, is_noise: Column) -> DataFrame:
+    """rows with the verdict on those that are noise; the others stay as they are."""
+    noise = F.coalesce(is_noise, F.lit(False))
+    verdict = {"event_type": "noise", "sentiment_score": 0.0, "urgency": "low", "suggested_direction": "neutral", "classification_summary": NOISE_SUMMARY}
+    return rows.withColumns({c: F.when(noise, F.lit(v)).otherwise(F.col(c) if c in rows.columns else F.lit(None)) for c, v in verdict.items()})
+
+
+#: Answers that are worth another try, by status and by words of the failure; a bad answer is not.
+TRANSIENT_STATUS = (408, 429, 500, 502, 503, 504)
+TRANSIENT_WORDS = ("timeout", "timed out", "connection", "rate limit", "unavailable", "overloaded")
+
+
+def is_transient(status: Column, message: Column) -> Column:
+    """Whether a failed call may come through if it is tried again."""
+    told = F.lower(F.coalesce(message, F.lit("")))
+    words_ = F.lit(False)
+    for w in TRANSIENT_WORDS:
+        words_ = words_ | F.contains(told, F.lit(w))
+    return F.coalesce(status.isin(*TRANSIENT_STATUS), F.lit(False)) | words_
+
+
+def token_usage(explicit: Column, by_meta: Column, by_usage: Column) -> Column:
+    """Tokens of a call: as stated, else by the answer's usage metadata, else by its usage (each a struct of prompt and
+    candidate); a part that nobody tells is 0. An answer with metadata is not asked for its usage."""
+    told = F.when(by_meta.isNotNull(), by_meta).otherwise(by_usage)
+    return F.struct(*(F.coalesce(explicit[c], told[c], F.lit(0)).cast("long").alias(c) for c in ("prompt", "candidate")))
+
+
 def has_consensus(turns: DataFrame, keys: list[str], side: str, text: str, order: str, bull: str = "bull", bear: str = "bear") -> DataFrame:
     """keys and consensus of each debate: whether its two sides lean one way by their last statements,
     so that a further round has no use. Without a statement of either side there is none."""

@@ -53,6 +53,14 @@ def replace(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence
     return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
 
 
+def keep_first(old: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """new's rows, and old's of other keys; where a key was there already, the columns kept stay as they were."""
+    before = old.select(*keys, *(F.col(c).alias(f"old {c}") for c in kept))
+    joined = new.join(before, list(keys), "left")
+    rows = joined.select(*(F.coalesce(f"old {c}", c).alias(c) if c in kept else F.col(c) for c in old.columns))
+    return rows.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+
+
 def confirm(old: DataFrame, news: DataFrame, keys: Sequence[str], source: str, weaker: str) -> DataFrame:
     """Events that a better source confirms: old rows of the weaker source that aren't confirmed
     yet become the source's, with a note; all others stay; news without an old row are added.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import articles, enrichment, features, indicators, landed, listings, models, retrieval, settings, smart_money, stored, streams, tables, trends, usage, vector  # noqa: F401
+from tidemark.plans import articles, enrichment, features, indicators, landed, listings, models, reports, retrieval, settings, smart_money, stored, streams, tables, trends, usage, vector  # noqa: F401
 from tidemark.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
