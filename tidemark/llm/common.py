@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -46,11 +47,19 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(_slices(b.rename_columns(names) for b in batches))
-        pa.default_memory_pool().release_unused()
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Memory that a task has freed goes back to the system, where its C library can do that: workers
+    stay, and several operators use them in turn."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about BATCH_BYTES at most; a longer row is a batch of its own."""
     for batch in batches:
