@@ -11,7 +11,8 @@ Decoding checks the CRC-8 of each frame header, the CRC-16 of each frame and the
 MD5 of the samples, and raises ValueError where one of them is wrong.
 
 Edge cases: a null or empty text is a payload of 192 spaces; texts are taken
-whole, the longest as a piece of its own; equal texts give equal streams; other
+whole, the longest as a piece of its own; equal texts give equal streams; each of repeated
+rows, and of rows without an id, has its own; an empty table gives an empty result; other
 columns of the input are not read.
 """
 

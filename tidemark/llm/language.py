@@ -12,7 +12,8 @@ languages share, so what is broadcast has a bound.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is every
 text when there is nothing to learn from; texts are read whole; ties go to the
-language first by code point; other columns of the input are not read.
+language first by code point; each of repeated rows is learnt from and labelled; in the query a row without an id is never held out;
+an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
