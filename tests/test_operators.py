@@ -117,6 +117,61 @@ def test_lists_out_of_reach_lose_no_neighbour(spark, monkeypatch):
     assert knn._visiting(asked, lists, lambda _, bounds: bounds > 0.9).count() < asked.count() * len(lists.radius) / 2
 
 
+def dealt_rows(monkeypatch, vectors, key):
+    """Frames that are dealt by that key among others, as they come."""
+    kind, found = type(vectors), []
+    repartition = kind.repartition
+
+    def noted(self, *by):
+        if key in by:
+            found.append(self)
+        return repartition(self, *by)
+
+    monkeypatch.setattr(kind, "repartition", noted)
+    return found
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_sparse_bands_are_dealt_in_proportion(spark, monkeypatch, n):
+    """A row an hour, so 72 in a band, however many rows there are: each is written once and visits two bands."""
+    rng = random.Random(n)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>, published_at timestamp")
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    dealt = dealt_rows(monkeypatch, vectors, "band")
+    got = {r.id: r.other for r in knn.nearest_in_band(vectors, 0.35, 3, True).collect()}
+    assert sum(x.count() for x in dealt) <= 3 * n
+    near = {i: max(((round(likeness(v, rows[j][1]), 9), -j) for j in range(max(0, i - 72), i)), default=(0, 0)) for i, v, _ in rows}
+    assert got == {i: -j for i, (x, j) in near.items() if x > 0.35}
+
+
+def test_dense_bands_are_dealt_by_blocks(spark, monkeypatch):
+    """All rows within one band, out of reach of no list: a row comes for half a block of rows or more, and once more where a long list is cut."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], datetime(2024, 1, 1) + timedelta(minutes=i)) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>, published_at timestamp")
+    monkeypatch.setattr(knn, "BLOCK", 300)
+    dealt = dealt_rows(monkeypatch, vectors, "block")
+    got = {r.id: r.other for r in knn.nearest_in_band(vectors, 0.8, 3, False).collect()}
+    assert sum(x.count() for x in dealt) <= len(rows) * (1 + 1 + 2 * len(rows) / 150)
+    near = {i: max(((round(likeness(v, rows[j][1]), 9), -j) for j in range(i + 1, 900)), default=(0, 0)) for i, v, _ in rows}
+    assert got == {i: -j for i, (x, j) in near.items() if x > 0.8}
+
+
+def test_queries_come_once_for_a_block(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for name, value in (("BLOCK", 300), ("FIRST", 1)):
+        monkeypatch.setattr(knn, name, value)
+    dealt = dealt_rows(monkeypatch, vectors, "block")
+    found = knn.nearest(vectors, vectors.where("id % 9 = 0"), 5).collect()
+    assert sum(x.where("comes").count() for x in dealt) <= 100 * 2 * 900 / 150
+    for i in range(0, 900, 90):
+        wanted = sorted((-round(likeness(rows[i][1], w), 9), j) for j, w in rows)[:5]
+        assert [r.id for r in sorted((r for r in found if r.query_id == i), key=lambda r: r.rank)] == [j for _, j in wanted]
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_duplicates_are_those_of_the_loop(spark, monkeypatch, block):
     """Rows are taken oldest first; each looks for its nearest fellow within three days, either way, that

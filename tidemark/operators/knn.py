@@ -5,8 +5,10 @@ distance of a row from its centroid, so by Cauchy-Schwarz no row of it is more s
 the centroid is, plus the radius. Lists that can't hold a result are not visited: what is found is exact, whatever the centroids are. They are fitted
 by k-means on SAMPLE rows or so; tables of up to a block are one list.
 
-A list is dealt in blocks of BLOCK rows or so, by a hash. A row is written once, to its block; queries go to the
-blocks that they visit and stream past them, so a task holds one block.
+Near lists are put together in parts of half a block of rows to a block, so that a query comes once for that many
+rows, not once for each list; longer ones are dealt in blocks by a hash. Within bands of time only a band of more
+than a block is parted: rows of the others meet by band alone. A row is written once, to its block; queries go to
+the blocks that they visit and stream past them, so a task holds one block.
 """
 
 from __future__ import annotations
@@ -31,17 +33,51 @@ BLOCK, SAMPLE, MOST_LISTS, FIRST, TILE = 4096, 16_384, 1024, 8, 256
 SLACK = 1e-8
 
 
+#: Bits of a list's place in the tree of parts.
+DEPTH = 12
+
+
 class Lists(NamedTuple):
-    """What the driver knows of an index: each list's centroid and radius."""
+    """What the driver knows of an index: each list's centroid, radius and place in the tree of parts (ascending), and the number of rows."""
 
     centroids: np.ndarray
     radius: np.ndarray
+    path: np.ndarray
+    rows: int
+
+    def parts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of a depth, and where the lists of each begin."""
+        return np.unique(self.path >> (DEPTH - depth), return_index=True)
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The most that a row of each list can be similar to each query."""
+    def bounds(self, queries: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """The most that a row of each part can be similar to each query."""
         if len(self.radius) == 1:  # of all rows
             return np.full((len(queries), 1), 1 + SLACK)
-        return queries @ self.centroids.T + self.radius + SLACK
+        return np.maximum.reduceat(queries @ self.centroids.T + self.radius + SLACK, self.parts(depth)[1], axis=1)
+
+
+def _depth(n: int, block: int) -> int:
+    """Halvings of n rows that leave half a block or more in a part."""
+    return max(0, min(DEPTH, (2 * n // block).bit_length() - 1))
+
+
+def _paths(centroids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places of lists in a tree: halved by their rows, across the direction in which they are widest."""
+    path = np.zeros(len(rows), dtype=np.int64)
+
+    def halve(some: np.ndarray, bits: int, at: int) -> None:
+        path[some] = at << bits
+        if not bits or len(some) < 2:
+            return
+        apart = centroids[some] - centroids[some].mean(axis=0)
+        some = some[np.argsort(apart @ np.linalg.svd(apart, full_matrices=False)[2][0], kind="stable")]
+        before = np.cumsum(rows[some])
+        middle = min(max(int(np.searchsorted(before, before[-1] / 2)), 1), len(some) - 1)
+        halve(some[:middle], bits - 1, 2 * at)
+        halve(some[middle:], bits - 1, 2 * at + 1)
+
+    halve(np.arange(len(rows)), DEPTH, 0)
+    return path
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,11 +94,11 @@ def unit_rows(rows: DataFrame, id_col: str, vector_col: str, *more: str) -> Data
 
 
 def index(rows: DataFrame, block: int | None = None) -> tuple[DataFrame, Lists]:
-    """The rows (id, v, ...) with their list, and the lists; a table that is written."""
+    """The rows (id, v, ...) with the path of their list, and the lists; a table that is written."""
     rows = cut(rows)
     n, block = rows.count(), block or BLOCK
     if n <= block:
-        return rows.withColumn("list", F.lit(0)), Lists(np.zeros((1, 0)), np.ones(1))
+        return rows.withColumn("path", F.lit(0)), Lists(np.zeros((1, 0)), np.ones(1), np.zeros(1, dtype=np.int64), n)
     share = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, SAMPLE / n)) + 1)
     model = KMeans(k=max(2, min(isqrt(n), MOST_LISTS)), maxIter=4, initSteps=1, seed=42).fit(rows.where(share).select(array_to_vector("v").alias("features")))
     centroids = np.array(model.clusterCenters(), dtype=np.float64)
@@ -78,34 +114,46 @@ def index(rows: DataFrame, block: int | None = None) -> tuple[DataFrame, Lists]:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far)], [*batch.schema.names, "list", "far"])
 
     kept = cut(rows.mapInArrow(assign, StructType([*rows.schema, StructField("list", IntegerType()), StructField("far", DoubleType())])))
-    radius = np.zeros(len(centroids))
-    for r in kept.groupBy("list").agg(F.max("far").alias("radius")).collect():  # MOST_LISTS rows at most
-        radius[r.list] = r.radius
-    return kept.drop("far"), Lists(centroids, radius)
+    found = sorted(kept.groupBy("list").agg(F.max("far").alias("radius"), F.count("*").alias("rows")).collect())  # MOST_LISTS rows at most
+    own, radius, often = (np.array(x) for x in zip(*found, strict=True))
+    path = _paths(centroids[own], often)
+    order = np.argsort(path, kind="stable")
+    placed = rows.sparkSession.createDataFrame(list(zip(own.tolist(), path.tolist(), strict=True)), "list int, path int")
+    return kept.drop("far").join(F.broadcast(placed), "list").drop("list"), Lists(centroids[own[order]], radius[order], path[order], n)
 
 
-def _visiting(queries: DataFrame, lists: Lists, chosen: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> DataFrame:
-    """Each query once for each list that it visits: chosen tells which, given the bounds."""
+def _visiting(queries: DataFrame, lists: Lists, chosen: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], depth: int | None = DEPTH) -> DataFrame:
+    """Each query once for each part of that depth (None: of its column depth) that it visits: chosen tells which, given the bounds."""
     at = queries.columns.index("v")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, TILE):
-                some = batch.slice(first, TILE)
-                i, j = np.nonzero(chosen(some, lists.bounds(_matrix(some.column(at)))))
-                out = some.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(j.astype(np.int32))], [*some.schema.names, "list"])
+                tile = batch.slice(first, TILE)
+                depths = np.full(tile.num_rows, depth) if depth is not None else tile.column("depth").to_numpy()
+                for d in np.unique(depths).tolist():
+                    some = tile.take(pa.array(np.flatnonzero(depths == d)))
+                    i, j = np.nonzero(chosen(some, lists.bounds(_matrix(some.column(at)), d)))
+                    out = some.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.parts(d)[0][j].astype(np.int32))], [*some.schema.names, "part"])
 
-    return queries.mapInArrow(visit, StructType([*queries.schema, StructField("list", IntegerType())]))
+    return queries.mapInArrow(visit, StructType([*queries.schema, StructField("part", IntegerType())]))
 
 
 def _met(rows: DataFrame, visits: DataFrame, cell: list[str], compare: Callable[[dict, dict], pa.RecordBatch | None], schema: str, block: int | None = None) -> DataFrame:
-    """What compare (of a block's columns and some queries') gives where rows and visits meet in the cells."""
-    sizes = cut(rows.groupBy(*cell).agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks")))
-    own = rows.join(sizes, cell).withColumn("block", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int")).withColumn("comes", F.lit(False)).drop("blocks")
-    coming = visits.join(sizes, cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("comes", F.lit(True)).drop("blocks")
-    keys = [*cell, "block"]
-    dealt = own.unionByName(coming, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "comes", "id")
+    """What compare gives where rows and visits meet in the cells; those of over a block are dealt in blocks."""
+    half = (block or BLOCK) / 2
+    # a row for each block's rows or more
+    large = F.broadcast(cut(rows.groupBy(*cell).agg(F.floor(F.count("*") / half).cast("int").alias("blocks")).where("blocks > 1")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = rows.join(large, cell, "left").withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks).cast("int")).withColumn("comes", F.lit(False)).drop("blocks")
+    coming = visits.join(large, cell, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("comes", F.lit(True)).drop("blocks")
+    return _compared(own.unionByName(coming, allowMissingColumns=True), [*cell, "block"], compare, schema)
+
+
+def _compared(dealt: DataFrame, keys: list[str], compare: Callable[[dict, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What compare (of a block's columns and some queries') gives for each block, the rows of equal keys that don't come, and those that do."""
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "comes", "id")
     names = dealt.columns
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +202,12 @@ def _best(k: int) -> Callable[[dict, dict], pa.RecordBatch]:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", block: int | None = None) -> DataFrame:
     """query_id, rank, id and similarity (cosine) of the k rows of corpus nearest to each query.
 
-    All queries visit the FIRST lists by their bounds, then those others that may hold one of the k best.
+    All queries visit the FIRST parts by their bounds, then those others that may hold one of the k best.
     Vectors without length have no neighbours; ties go to the smaller id; a query finds itself if it is in
     the corpus; equal rows of one id each count."""
     rows, lists = index(unit_rows(corpus, id_col, vector_col), block)
+    depth = _depth(lists.rows, block or BLOCK)
+    rows = rows.withColumn("part", F.shiftright("path", DEPTH - depth)).drop("path")
     asked = cut(unit_rows(queries, id_col, vector_col).withColumn("least", F.lit(-2.0)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
 
@@ -170,13 +220,13 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", v
     def others(some: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
         return ~first(some, bounds) & (bounds >= some.column("least").to_numpy()[:, None])
 
-    found = ranked(_met(rows, _visiting(asked, lists, first), ["list"], _best(k), _FOUND, block))
-    if len(lists.radius) > FIRST:
+    found = ranked(_met(rows, _visiting(asked, lists, first, depth), ["part"], _best(k), _FOUND, block))
+    if len(lists.parts(depth)[0]) > FIRST:
         found = cut(found)
         full = found.groupBy(F.col("query_id").alias("id")).agg(F.min("similarity").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
         least = F.coalesce(F.col("kth") - SLACK, F.lit(-2.0))
         again = asked.drop("least").join(full, "id", "left").select("id", "v", least.alias("least"))
-        more = _met(rows, _visiting(again, lists, others), ["list"], _best(k), _FOUND, block)
+        more = _met(rows, _visiting(again, lists, others, depth), ["part"], _best(k), _FOUND, block)
         found = ranked(found.drop("rank").unionByName(more))
     return found.select("query_id", "rank", "id", "similarity")
 
@@ -185,15 +235,17 @@ def nearest_in_band(vectors: DataFrame, theta: float, days: int, earlier: bool,
     """id, other, similarity: of each row that has one, the most similar row above theta that was published up to some days
     earlier (or later, if not earlier; at one time the smaller id is the earlier), ties to the smaller id.
 
-    Rows are kept by list and by days of that width; a row visits the lists within its reach in its own
-    width and the one before (or after), and brings back its best of each block."""
-    width = days * 86_400_000_000
-    at = F.unix_micros(F.col(time_col).cast("timestamp")).alias("t")
-    rows, lists = index(unit_rows(vectors.where(F.col(time_col).isNotNull()), id_col, vector_col, at), block)
-    rows = rows.withColumn("band", F.floor(F.col("t") / width))
-    asked = _visiting(rows.select("id", "v", "t"), lists, lambda _, bounds: bounds > theta)
-    reach = F.array(*(F.floor(F.col("t") / width) + d for d in ((0, -1) if earlier else (0, 1))))
-    visits = asked.withColumn("band", F.explode(reach))
+    Rows are kept by days of that width; a row visits its own width and the one before (or after), and brings back
+    its best of each block. Of a width with more than a block of rows it visits the parts within its reach."""
+    width, half = days * 86_400_000_000, (block or BLOCK) / 2
+    timed = vectors.where(F.col(time_col).isNotNull())
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    # a row for each block's rows or more
+    halvings = F.least(F.lit(DEPTH), F.floor(F.log2(F.count("*") / half))).cast("int")
+    large = cut(timed.groupBy(F.floor(t / width).alias("band")).agg(halvings.alias("depth")).where("depth > 0"))
+    rows = unit_rows(timed, id_col, vector_col, t.alias("t"))
+    band = F.floor(F.col("t") / width)
+    visited = [band + d for d in ((0, -1) if earlier else (0, 1))]
 
     def compare(block: dict, some: dict) -> pa.RecordBatch | None:
         sims = some["v"] @ block["v"].T
@@ -206,6 +258,15 @@ def nearest_in_band(vectors: DataFrame, theta: float, days: int, earlier: bool,
         found = np.flatnonzero(some_best > -2)
         return pa.RecordBatch.from_arrays([pa.array(some["id"][found]), pa.array(block["id"][best[found]]), pa.array(some_best[found])], ["id", "other", "similarity"]) if len(found) else None
 
-    met = _met(rows, visits, ["list", "band"], compare, "id bigint, other bigint, similarity double", block)
+    schema = "id bigint, other bigint, similarity double"
+    if not large.head(1):
+        meets = F.array(F.struct(F.lit(False).alias("comes"), band.alias("band")), *(F.struct(F.lit(True).alias("comes"), b.alias("band")) for b in visited))
+        met = _compared(rows.withColumn("meets", F.explode(meets)).select("id", "v", "t", "meets.*"), ["band"], compare, schema)
+    else:
+        rows, lists = index(rows, block)
+        large, depth = F.broadcast(large), F.coalesce("depth", F.lit(0)).alias("depth")
+        own = rows.withColumn("band", band).join(large, "band", "left").select("id", "v", "t", "band", "path", depth).withColumn("part", F.expr(f"shiftright(path, {DEPTH} - depth)")).drop("path", "depth")
+        asked = rows.select("id", "v", "t", F.explode(F.array(*visited)).alias("band")).join(large, "band", "left").select("id", "v", "t", "band", depth)
+        met = _met(own, _visiting(asked, lists, lambda _, bounds: bounds > theta, None).drop("depth"), ["band", "part"], compare, schema, block)
     best = F.max_by(F.struct("other", "similarity"), F.struct(F.round("similarity", 9), -F.col("other")))
     return met.groupBy("id").agg(best.alias("best")).select("id", "best.other", "best.similarity")
