@@ -142,6 +142,30 @@ def test_five_million_short_lines_in_one_text():
     assert len(classes) == 9
 
 
+def test_copies_of_a_line_bring_no_prefix(spark):
+    """A task gives the prefix words of a class once, however many of its lines it has; every class has them."""
+    rows = [(i, "\n".join(["the very common line of all", f"own{i % 50} words{i % 50} of{i % 50} row{i % 50}", "alone"]), "en", "s", 0) for i in range(400)]
+    keyed = frame(spark, rows).repartition(3).select(F.col("doc_id").alias("did"), F.col("doc_id").alias("k1"), F.col("doc_id").alias("k2"), "text")
+    found = lines.line_classes(keyed, np.full(1 << lines.CELL_BITS, 2 * lines._RANK, dtype=np.int32)).withColumn("with prefix", (F.size("prefix") > 0).cast("int"))
+    got = sorted((r.n, r.rows, r.often) for r in found.groupBy("c1", "c2").agg(F.min("n").alias("n"), F.count("*").alias("rows"), F.sum("with prefix").alias("often")).collect())
+    assert [(n, k) for n, k, _ in got] == [(1, 400), *[(4, 8)] * 50, (6, 400)]
+    assert all((1 if n > 1 else 0) <= often <= (3 if n > 1 else 0) for n, _, often in got)
+
+
+@pytest.mark.parametrize("slots", [2, 8, 1024])
+def test_remembered_classes(slots):
+    """Of equal classes the first is fresh in any case, and with room enough no other."""
+    rng = np.random.default_rng(slots)
+    c1 = np.concatenate([rng.integers(-20, 20, 500), [0, 0, 1, 1]])
+    c2 = np.concatenate([rng.integers(0, 2, 500), [0, 0, 0, 0]])
+    seen, fresh = lines.Remembered(slots), Counter()
+    for k in range(0, len(c1), 50):
+        for key, new in zip(zip(c1[k : k + 50].tolist(), c2[k : k + 50].tolist(), strict=True), seen.fresh(c1[k : k + 50], c2[k : k + 50]), strict=True):
+            fresh[key] += bool(new)
+        assert all(fresh[key] for key in zip(c1[: k + 50].tolist(), c2[: k + 50].tolist(), strict=True))
+    assert slots < 1024 or sum(fresh.values()) < len(c1)
+
+
 def test_a_line_in_a_tenth_of_all_documents(spark):
     """Its rows get their verdict by broadcast: no task of a join holds more than its share."""
     rows = [(i, (f"the very common line of all\n" if i % 10 == 0 else "") + f"own{i} words{i} of{i} row{i}", "en", "s", 0) for i in range(3000)]

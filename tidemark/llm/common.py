@@ -158,17 +158,18 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 HOT_SHARE = 1 / 1000
 
 
-def join_of_keys(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def join_of_keys(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, hint: str | None = None) -> DataFrame:
     """Inner join of rows with a table of one row for each key, whose column weight says how
     many rows the key has.  Rows of hot keys stay where they are and get theirs by broadcast
-    (of under 1 / HOT_SHARE rows); all others meet by key.  Both must be cut tables."""
+    (of under 1 / HOT_SHARE rows); all others meet by key, by the join that hint asks for, if any.  Both must be cut tables."""
     with shuffles_end(table.sparkSession):
         total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.where(F.col(weight) > total * HOT_SHARE)
     if is_empty(hot):
-        return rows.join(table, keys)
+        return rows.join(table.hint(hint) if hint else table, keys)
     by_share = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= total * HOT_SHARE), keys)
+    rest = table.where(F.col(weight) <= total * HOT_SHARE)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint(hint) if hint else rest, keys)
     return by_share.unionByName(others)
 
 

@@ -18,8 +18,6 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASK = (1 << 64) - 1
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: A batch is cut into pieces of about this many bytes of text, so the working
 #: arrays (some ten times as large) fit a processor's cache whatever Spark hands over.
@@ -81,7 +79,10 @@ class Piece(NamedTuple):
         n = len(self.data)
         run = np.empty(n + 1, dtype=np.uint64)
         run[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table("up", n), out=run[1:])
+        terms = self.data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _power_table("up", n)
+        np.cumsum(terms, out=run[1:])
         poly = (run[self.ends] - run[self.starts]) * _power_table("down", n + 1)[self.starts]
         return mix64(poly + (self.ends - self.starts).astype(np.uint64) * _MIX2)
 
@@ -124,17 +125,16 @@ def word_bounds(data: np.ndarray, row_bytes: np.ndarray) -> tuple[np.ndarray, np
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(row_bytes), dtype=np.int64)
-    inside = ~_SPACE[data]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    edge = row_bytes[1:-1]
+    inside = (data != 0x20) & (data - np.uint8(9) > 4)
+    flips = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    flips = np.concatenate([[0] * bool(inside[0]), flips, [n] * bool(inside[-1])]).astype(np.int64)
+    starts, ends = flips[::2], flips[1::2]
+    edge = np.unique(row_bytes[1:-1])
     edge = edge[(edge > 0) & (edge < n)]
-    begin[edge] |= inside[edge]
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:]
-    stop[edge - 1] |= inside[edge - 1]
-    starts = np.flatnonzero(begin)
-    ends = np.flatnonzero(stop) + 1
+    edge = edge[inside[edge] & inside[edge - 1]]  # two words meet there
+    if len(edge):
+        starts = np.insert(starts, np.searchsorted(starts, edge), edge)
+        ends = np.insert(ends, np.searchsorted(ends, edge), edge)
     return starts, ends, np.searchsorted(starts, row_bytes)
 
 
